@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sharding
+from . import exact_dedup, near_dedup, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_ngram_likelihood_rules": quality_rules.op5_ngram_likelihood_rules,
+        "op8_hyperminhash_components": near_dedup.op8_hyperminhash_components,
         "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
