@@ -21,6 +21,25 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold few rows, as a text may be very long; a smaller number that the user set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
+def lowest_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the lowest hashes (all, if there are fewer): a sample that does not depend on partitions.
+
+    The rows are counted first, so that few more than ``n`` are sorted, whatever the input's size.
+    """
+    mark = F.xxhash64(*rows.columns)
+    total = rows.count()
+    share = (1.2 * n + 1000) / max(total, 1)
+    few = rows.where(mark < int(-(2**63) + share * 2**64)) if share < 1 else rows
+    return few.orderBy(mark, *rows.columns).limit(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 

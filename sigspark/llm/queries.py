@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, quality_rules, sharding
+from . import byte_bpe, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hilbert_packing": packing.op1_hilbert_packing,
+        "op2_boosted_url_filter": url_filter.op2_boosted_url_filter,
+        "op3_boosted_candidates": pii.op3_boosted_candidates,
+        "op4_whole_token_counts": token_counts.op4_whole_token_counts,
         "op5_ngram_likelihood_rules": quality_rules.op5_ngram_likelihood_rules,
+        "op6_positive_unlabelled": quality_classifier.op6_positive_unlabelled,
+        "op7_tiktoken_round_trip": byte_bpe.op7_tiktoken_round_trip,
         "op8_hyperminhash_components": near_dedup.op8_hyperminhash_components,
         "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
