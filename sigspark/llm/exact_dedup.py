@@ -97,6 +97,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, salts: int =
     )
 
 
+def distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns they came with."""
+    marked = docs.withColumn("__row", F.struct("*")).select("__row", "doc_id", "text")
+    return exact_dedup(marked, index).where("kept").select("__row.*")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

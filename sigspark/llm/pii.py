@@ -14,7 +14,8 @@ numbers), between cue words or others. The composition is deterministic.
 How places are found: a pattern splits the text; the lengths of the parts before a match, in code points, add
 up to its start. Sums run in blocks of ``BLOCK``, so a text of very many matches costs little more than its
 length. The patterns use possessive repeats and anchors at the ends of earlier matches, which leave the leftmost
-matches as they are and make long runs of characters linear. Everything is a projection: no row is shuffled.
+matches as they are and make long runs of characters linear; what must not stand before a match is looked at
+behind its first character, so that most places are passed over by that character alone. Everything is a projection: no row is shuffled.
 
 Defined results: null is the empty text, with no span; repeated rows get equal spans; input columns pass through
 but for those named as a result.
@@ -32,16 +33,16 @@ KINDS = ["email", "ip", "card", "phone"]
 #: The contract's patterns, written so that no run of characters is read more than a fixed number of times.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Candidates, by kind.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{2,63}+){1,4}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?: ?\. ?|\[\.\]|\(\.\)| dot )[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ ./_-]?[0-9]){11,22}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:00|\()?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot )[A-Za-z0-9-]{2,63}+){1,4}+| at [A-Za-z0-9-]{1,63}+(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]{2,63}+){1,4}+)",
+    "ip": r"[0-9](?<![0-9.][0-9])[0-9]{0,2}+(?:(?: ?\. ?|\[\.\]|\(\.\)| dot )[0-9]{1,3}+){3}+(?![0-9])",
+    "card": r"[0-9](?<![0-9][0-9])(?:[ ./_-]?[0-9]){11,22}(?![0-9])",
+    "phone": r"[0-9(](?<![0-9A-Za-z+][0-9(])(?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
 }
 BLOCK = 256
 EXAMPLES, PRECISION = 12_000, 0.98
@@ -55,25 +56,64 @@ CUES = {
 AROUND = 24
 
 
-def _starts(lengths: Column) -> Column:
-    """The sums of the numbers before each, in blocks, so that no sum runs over more than a block's numbers or all blocks."""
-    add = lambda s, n: s + n
-    zero = F.lit(0)
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(zero, F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
-    before = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), zero, add))
-    return F.transform(lengths, lambda _, i: F.element_at(before, F.floor(i / BLOCK).cast("int") + 1) + F.aggregate(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), zero, add))
+#: What a text must hold for a pattern to be tried on it at all.
+GATES = {
+    "base_email": lambda t: t.contains("@"),
+    "base_phone": lambda t: t.contains("+"),
+    "loose_email": lambda t: t.contains("@") | t.contains("(at)") | t.contains("[at]") | t.contains("{at}") | (t.contains(" at ") & t.contains(" dot ")),
+}
+MATCH = "array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"
+
+
+def with_matches(rows: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
+    """For each kind a column ``__<prefix>_<kind>`` of the matches in ``__text``, null without any.
+
+    A match: kind, start, end (code points, end exclusive), found, and up to ``AROUND`` characters at either side
+    that belong to no other match. Each step is a column of its own, so that none is computed twice.
+    """
+    text, kept, add, zero = F.col("__text"), rows.columns, (lambda s, n: s + n), F.lit(0)
+    name = {step: {k: f"__{step}_{k}" for k in patterns} for step in ("m", "p", "l", "b", "s", prefix)}
+
+    def step(of: str, make) -> DataFrame:
+        return rows.withColumns({name[of][k]: make(k) for k in patterns})
+
+    def found(k: str):
+        every = F.regexp_extract_all(text, F.lit(patterns[k]), F.lit(0))
+        gate = GATES.get(f"{prefix}_{k}")
+        return F.when(gate(text), every) if gate else every
+
+    rows = step("m", found)
+    rows = step("p", lambda k: F.when(F.size(name["m"][k]) > 0, F.split(text, patterns[k], -1)))
+    rows = step("l", lambda k: F.zip_with(name["p"][k], name["m"][k], lambda p, m: F.length(p) + F.coalesce(F.length(m), zero)))
+
+    def block_sums(k: str) -> Column:
+        lengths = F.col(name["l"][k])
+        return F.transform(F.sequence(zero, F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+
+    rows = step("b", lambda k: F.when(F.col(name["l"][k]).isNotNull(), block_sums(k)))
+    rows = step("s", lambda k: F.transform(name["b"][k], lambda _, b: F.aggregate(F.slice(F.col(name["b"][k]), F.lit(1), b), zero, add)))
+
+    def places(k: str) -> Column:
+        lengths, before, parts = F.col(name["l"][k]), F.col(name["s"][k]), F.col(name["p"][k])
+
+        def match(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            part = F.element_at(parts, i + 1)
+            start = F.element_at(before, block + 1) + F.aggregate(F.slice(lengths, block * BLOCK + 1, i % BLOCK), zero, add) + F.length(part)
+            return F.struct(
+                F.lit(k).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"),
+                F.right(part, F.lit(AROUND)).alias("before"), F.left(F.element_at(parts, i + 2), F.lit(AROUND)).alias("after"),
+            )
 
+        return F.when(parts.isNotNull(), F.transform(name["m"][k], match))
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """The matches of a pattern: an array of (kind, start, end, found), places in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    lengths = F.zip_with(parts, found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
-    rows = F.zip_with(found, F.zip_with(_starts(lengths), parts, lambda s, p: s + F.length(p)), lambda m, s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("found")))
-    rows = F.filter(rows, lambda r: r["found"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
-    return F.when(F.size(found) > 0, rows).otherwise(none)
+    rows = step(prefix, places)
+    return rows.select(*kept, *name[prefix].values())
+
+
+def joined(columns: list[Column]) -> Column:
+    """The arrays of matches as one; a null array is empty."""
+    return F.concat(*[F.coalesce(c, F.array().cast(MATCH)) for c in columns])
 
 
 def digits_of(found: Column) -> Column:
@@ -91,28 +131,47 @@ def small_parts(found: Column) -> Column:
     return ~F.exists(F.split(found, r"\."), lambda p: ~F.regexp(p, F.lit(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")))
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans, by kind and start."""
-    checks = {
-        "email": lambda r: F.lit(True),
-        "ip": lambda r: small_parts(r["found"]),
-        "card": lambda r: F.length(digits_of(r["found"])).between(16, 19) & luhn(digits_of(r["found"])),
-        "phone": lambda r: F.length(digits_of(r["found"])).between(8, 15),
-    }
-    return F.concat(*[F.filter(matches(text, BASE[k], k), checks[k]) for k in KINDS])
+CHECKS = {
+    "email": lambda r: F.lit(True),
+    "ip": lambda r: small_parts(r["found"]),
+    "card": lambda r: F.length(digits_of(r["found"])).between(16, 19) & luhn(digits_of(r["found"])),
+    "phone": lambda r: F.length(digits_of(r["found"])).between(8, 15),
+}
+
+
+def with_base(rows: DataFrame) -> DataFrame:
+    """``__base``: the base spans of ``__text``, by kind and start."""
+    kept = rows.columns
+    rows = with_matches(rows, BASE, "base")
+    return rows.select(*kept, joined([F.filter(f"__base_{k}", CHECKS[k]) for k in KINDS]).alias("__base"))
+
 
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """``__all``: the candidates in ``__text``."""
+    kept = rows.columns
+    rows = with_matches(rows, LOOSE, "loose")
+    return rows.select(*kept, joined([F.col(f"__loose_{k}") for k in KINDS]).alias("__all"))
 
-NAMES = ["kind", "length", "digits", "separators", "groups", "luhn", "largest", "bracket", "spelt", "at", "dots", "leading_zero", "cue_before", "cue_near", "colon_before", "money_before", "unit_after", "same_separator", "letters", "first_group", "last_group"]
 
+NAMES = ["kind", "length", "digits", "separators", "groups", "luhn", "largest", "bracket", "spelt", "dot_spelt", "dot_space", "at", "dots", "leading_zero", "cue_before", "cue_near", "colon_before", "money_before", "unit_after", "same_separator", "letters", "first_group", "last_group"]
 
-def candidate_features(text: Column, candidate: Column) -> Column:
-    """A struct of the features of one candidate of ``text``."""
-    found, kind = candidate["found"], candidate["kind"]
-    begin = F.greatest(candidate["start"] - AROUND, F.lit(0))
-    before = F.lower(F.substring(text, begin + 1, candidate["start"] - begin))
-    after = F.lower(F.substring(text, candidate["end"] + 1, F.lit(AROUND // 2)))
-    number = digits_of(found)
-    groups = F.filter(F.split(found, "[^0-9]+"), lambda g: g != "")
+
+def prepared(candidate: Column) -> Column:
+    """A candidate with what several features read."""
+    found = candidate["found"]
+    return F.struct(
+        candidate.alias("c"),
+        F.lower(candidate["before"]).alias("before"),
+        F.lower(candidate["after"]).alias("after"),
+        digits_of(found).alias("number"),
+        F.filter(F.split(found, "[^0-9]+"), lambda g: g != "").alias("groups"),
+        F.regexp_replace(found, "[A-Za-z0-9]", "").alias("signs"),
+    )
+
+
+def candidate_features(x: Column) -> Column:
+    """A struct of the features of one candidate, ``prepared``."""
+    found, kind, before, after, number, groups = x["c"]["found"], x["c"]["kind"], x["before"], x["after"], x["number"], x["groups"]
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
     at = lambda pattern, where: yes(F.regexp(where, F.lit(pattern)))
 
@@ -126,12 +185,14 @@ def candidate_features(text: Column, candidate: Column) -> Column:
         F.array_position(F.array(*map(F.lit, KINDS)), kind),
         F.length(found),
         F.length(number),
-        F.length(F.regexp_replace(found, "[A-Za-z0-9]", "")),
+        F.length(x["signs"]),
         F.size(groups),
         yes(luhn(number) & (F.length(number) > 0)),
         F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)),
         at(r"[()\[\]{}]", found),
-        at(r"(?i)\b(?:at|dot)\b", found),
+        at(r"\b(?:at|dot)\b", found),
+        at(r"[(\[{ ](?:dot)[)\]} ]", found),
+        at(r"\. ", found),
         at("@", found),
         F.length(found) - F.length(F.replace(found, F.lit("."))),
         at("^0", found),
@@ -140,7 +201,7 @@ def candidate_features(text: Column, candidate: Column) -> Column:
         at(r"[:=#] ?$", before),
         at(r"[$€£%] ?$", before),
         at(r"^ ?(?:km|kg|eur|usd|euro|dollars?|percent|%|items|units|pages|people|words|rows)", after),
-        F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(found, "[A-Za-z0-9]", ""), ""), lambda c: c != ""))),
+        F.size(F.array_distinct(F.filter(F.split(x["signs"], ""), lambda c: c != ""))),
         F.length(F.regexp_replace(found, "[^A-Za-z]", "")),
         F.length(F.coalesce(F.try_element_at(groups, F.lit(1)), F.lit(""))),
         F.length(F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit(""))),
@@ -148,10 +209,6 @@ def candidate_features(text: Column, candidate: Column) -> Column:
     return F.struct(*[v.cast("double").alias(n) for n, v in zip(NAMES, values, strict=True)])
 
 
-def candidates(text: Column) -> Column:
-    return F.concat(*[matches(text, LOOSE[k], k) for k in KINDS])
-
-
 def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """(text, kind, label): composed texts, each with one candidate; ``label`` 1 where it is personal data."""
     part = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
@@ -160,9 +217,8 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     word = lambda k: F.element_at(F.split(F.lit("amber brook cedar delta ember fjord grove heron inlet joker kayak lemon maple north ocean pearl"), " "), part(k, 16).cast("int") + 1)
     name = F.concat(word(1), F.lit("."), word(2))
     host = F.concat(word(3), F.lit(".example"))
-    body = num(11, 15)
+    body, check = F.col("body"), F.col("check")
     total = F.aggregate(F.transform(F.filter(F.split(F.reverse(body), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0))), F.lit(0), lambda s, d: s + d)
-    check = F.pmod(F.lit(10) - total % 10, F.lit(10))
     card = F.concat(body, check.cast("string"))
     wrong = F.concat(body, F.pmod(check + 1 + part(12, 9), F.lit(10)).cast("string"))
 
@@ -174,8 +230,9 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         ("email", 1, text(name, F.lit(" (at) "), word(3), F.lit(" (dot) example"))),
         ("email", 1, text(name, F.lit("[at]"), host)),
         ("email", 1, text(name, F.lit(" at "), word(3), F.lit(" dot example"))),
-        ("email", 0, text(word(1), F.lit(" at "), word(2), F.lit(". "), F.initcap(word(3)))),
-        ("email", 0, text(word(1), F.lit(" at "), word(2), F.lit("."), word(3))),
+        ("email", 1, text(name, F.lit(" @ "), host)),
+        ("email", 0, text(word(1), F.lit(" at "), low(5, 1, 99), F.lit(" dot "), num(6, 2))),
+        ("email", 0, text(low(5, 1, 99), F.lit(" @ "), low(6, 1, 99), F.lit("."), num(7, 2))),
         ("ip", 1, text(low(21, 1, 255), F.lit("[.]"), low(22, 0, 255), F.lit("[.]"), low(23, 0, 255), F.lit("[.]"), low(24, 1, 254))),
         ("ip", 1, text(low(21, 1, 255), F.lit(" . "), low(22, 0, 255), F.lit(" . "), low(23, 0, 255), F.lit(" . "), low(24, 1, 254))),
         ("ip", 0, text(low(21, 300, 999), F.lit(". "), low(22, 300, 999), F.lit(". "), low(23, 0, 999), F.lit(". "), low(24, 300, 999))),
@@ -197,7 +254,8 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         ("phone", 0, text(low(41, 1, 99), F.lit(" "), num(42, 3), F.lit(" "), num(43, 3))),
     ]
     cue_of = {k: CUES[k].split("|") for k in KINDS}
-    rows = spark.range(n).withColumn("form", F.pmod("id", F.lit(len(forms))).cast("int"))
+    rows = spark.range(n).withColumns({"form": F.pmod("id", F.lit(len(forms))).cast("int"), "body": num(11, 15)})
+    rows = rows.withColumn("check", F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("int"))
     content, kind, label, cue = F.lit(""), F.lit(""), F.lit(0), F.lit("")
     for i, (k, y, c) in enumerate(forms):
         here = F.col("form") == i
@@ -218,11 +276,13 @@ class PiiModel:
 def fit_pii(spark: SparkSession, labelled: DataFrame | None = None, precision: float = PRECISION, seed: int = 7) -> PiiModel:
     """``labelled``: (id, text, kind, label) like ``examples``, which are taken without it. A third calibrates."""
     rows = (labelled or examples(spark)).select("id", "text", "kind", "label")
-    found = rows.select("id", "text", F.col("kind").alias("of"), "label", F.explode(candidates(F.col("text"))).alias("c"))
+    rows = written(rows, "examples").withColumn("__text", text_of())
+    found = with_candidates(rows).select("id", F.col("kind").alias("of"), "label", F.explode("__all").alias("c"))
     label = F.when(F.col("c.kind") == F.col("of"), F.col("label")).otherwise(0)
-    table = found.select(candidate_features(F.col("text"), F.col("c")).alias("f"), "c.kind", label.alias("label"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"))
+    found = found.select(prepared(F.col("c")).alias("x"), F.col("c.kind").alias("kind"), label.alias("label"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"))
+    table = found.select(candidate_features(F.col("x")).alias("f"), "kind", "label", "held")
     table = written(table.select("f.*", F.col("kind").alias("of"), "label", "held"), "candidates")
-    trees = fit_trees(table.where("NOT held"), NAMES, rounds=20, depth=4, seed=seed)
+    trees = fit_trees(table.where("NOT held"), NAMES, rounds=16, depth=4, seed=seed)
     scored = table.where("held").select("of", "label", F.round(probability(trees, [F.col(n) for n in NAMES]), 2).alias("p"))
     counts = scored.groupBy("of", "p").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).collect()  # a row for each kind and hundredth
     thresholds = {}
@@ -242,14 +302,13 @@ def find_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
 
     An added span overlaps no base span and no likelier candidate.
     """
-    text = F.col("__text")
     touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rows = docs.withColumn("__text", text_of()).withColumns({"__base": base_spans(text), "__all": candidates(text)})
+    rows = with_candidates(with_base(docs.withColumn("__text", text_of())))
     free = F.filter("__all", lambda c: ~F.exists("__base", lambda b: touches(b, c)))
-    rows = rows.withColumn("__free", F.when(F.size("__all") > 0, free).otherwise(F.col("__all")))
-    rows = rows.withColumn("__seen", F.transform("__free", lambda c: F.struct(c.alias("c"), candidate_features(text, c).alias("f"))))
-    judged = F.transform("__seen", lambda s: F.struct(probability(model.trees, [s["f"][n] for n in NAMES]).alias("p"), s["c"].alias("c")))
-    rows = rows.withColumn("__judged", F.when(F.size("__seen") > 0, judged))
+    rows = rows.withColumn("__free", F.when(F.size("__all") > 0, free))
+    rows = rows.withColumn("__seen", F.when(F.size("__free") > 0, F.transform("__free", prepared)))
+    rows = rows.withColumn("__seen", F.transform("__seen", lambda x: F.struct(x["c"].alias("c"), candidate_features(x).alias("f"))))
+    rows = rows.withColumn("__judged", F.transform("__seen", lambda s: F.struct(probability(model.trees, [s["f"][n] for n in NAMES]).alias("p"), s["c"].alias("c"))))
     enough = F.lit(2.0)
 
     def passes(s: Column) -> Column:
@@ -264,7 +323,7 @@ def find_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
     rows = rows.withColumn("__added", F.when(F.size("__passed") > 0, F.transform(best, lambda s: s["c"])))
     plain = lambda spans: F.transform(spans, lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
     place = F.array(*map(F.lit, KINDS))
-    keyed = F.transform(F.concat("__base", "__added"), lambda r: F.struct(F.array_position(place, r["kind"]).alias("at"), r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
+    keyed = F.transform(F.concat("__base", F.col("__added").cast(MATCH)), lambda r: F.struct(F.array_position(place, r["kind"]).alias("at"), r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
     rows = rows.withColumn("__spans", F.when(F.col("__added").isNull(), plain(F.col("__base"))).otherwise(plain(F.array_sort(keyed))))
     return with_results(rows, docs.columns, {"base": plain(F.col("__base")), "spans": F.col("__spans")})
 

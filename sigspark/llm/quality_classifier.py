@@ -163,6 +163,12 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     return with_results(rows, docs.columns, {"score": F.col("__score"), "predicted": (F.col("__score") >= threshold).cast("int")})
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with the columns they came with."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn("__score", scores(model, text_of())).where(F.col("__score") >= threshold).drop("__score")
+
+
 def held_out() -> Column:
     """A fifth of the ids, by checksum; their labels are never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
