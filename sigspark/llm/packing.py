@@ -1,21 +1,23 @@
 """Packing along a space-filling curve.
 
-1. Every document is tokenised and gets a vector: its token counts, damped by a logarithm, hashed to
+1. Every document gets a vector: the counts of its byte triples (A-Z as a-z), damped by a logarithm, hashed to
    ``WIDTH`` signed dimensions and scaled to length one. A fixed random projection takes it to ``DIMS``
    dimensions, whose values are put on a grid of ``BITS`` bits each; the Hilbert curve through that grid
    gives the key.
-2. Rows are range-partitioned and sorted by (key, id, ids), so that neighbours on the curve, near copies and
+2. Rows are range-partitioned and sorted by (key, id, text), so that neighbours on the curve, near copies and
    texts of one language among them, end up side by side. The id takes part in the ranges: a group of copies
-   with one key is spread over partitions like any other rows.
-3. A task fills sequences of ``length`` tokens from its rows in order, cutting documents wherever a sequence
-   is full. What is left at its end is cut into sequences of powers of two (those need no padding), eleven at
-   most a task. A task holds one batch of rows at a time.
+   with one key is spread over partitions like any other rows. Bounds are drawn from keys alone, before any text
+   is tokenised.
+3. A task tokenises its rows in order and fills sequences of ``length`` tokens, cutting documents wherever a
+   sequence is full. What is left at its end is cut into sequences of powers of two (those need no padding),
+   eleven at most a task. A task holds one batch of rows at a time.
 
 The sequence id has the partition in its upper bits: the result is meant to be written once; it holds for one
 run, as partition bounds are drawn from samples.
 
-Words are encoded once for as long as a task's table of ``MEMO`` words holds them: the tokenizer drops white
-space and never merges over it, so a text's ids are those of its parts between spaces and line feeds.
+Words are encoded once for as long as a worker's table of ``MEMO`` words holds them: the tokenizer drops white
+space and never merges over it, nor from letters into signs, so a text's ids are those of its words, and of a
+word's letters and the signs behind them.
 
 Defined results: a null or empty text is the closing id alone; very long texts are cut over many sequences;
 rows that repeat are each packed; an empty table gives no pieces.
@@ -23,6 +25,7 @@ rows that repeat are each packed; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import read_table, small_batches
+from .common import read_table, small_batches, text_of
 
 LENGTH, CLOSE = 2048, 1
 WIDTH, DIMS, BITS = 512, 4, 15
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 400_000, 48
+#: Signs that are tokens apart from letters before them; none is part of a contraction or of a special token.
+SIGNS = "!#$%&()*+,-./:;=?@[]^_`{}~"
 
 
 @lru_cache(maxsize=2)
@@ -57,25 +62,59 @@ class Encoder:
         words = (text or "").replace("\n", " ").split(" ")
         found = list(map(self.memo.get, words))
         if None in found:
-            new = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+            fresh = self._encoded({w for w, x in zip(words, found, strict=True) if x is None})
             found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            self.memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
         return b"".join(found)
 
+    def _encoded(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the table lacks; their letters and signs may be in it."""
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        parts = {w: self._parts(w) for w in words}
+        known = {p: self.memo.get(p) for both in parts.values() for p in both}
+        new = [p for p, x in known.items() if x is None]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        fresh = {w: b"".join([known[p] for p in both]) for w, both in parts.items()}
+        self.memo.update((w, x) for w, x in (known | fresh).items() if len(w) <= MEMO_CHARS)
+        return fresh
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        letters = word.rstrip(SIGNS)
+        if not letters.isalpha():
+            return (word,)
+        try:  # within Latin-1 lower case goes letter by letter, as in the tokenizer
+            letters.encode("latin-1")
+        except UnicodeEncodeError:
+            return (word,)
+        low = letters.lower()
+        return (low, word[len(letters) :]) if len(letters) < len(word) else (low,)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which its tasks share."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Encoder(path)
+
 
 def projection(seed: int = 11) -> np.ndarray:
     """From ``WIDTH`` dimensions to ``DIMS``; of a vector of length one each result is about standard normal."""
     return np.random.default_rng(seed).standard_normal((WIDTH, DIMS)).astype(np.float32)
 
 
-def document_vector(ids: np.ndarray) -> np.ndarray:
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    place = (mixed >> np.uint64(40)) % np.uint64(2 * WIDTH)
-    counts = np.log1p(np.bincount(place.astype(np.int64), minlength=2 * WIDTH))
-    vector = counts[:WIDTH] - counts[WIDTH:]  # a sign for each token, from the same hash
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def document_vector(text: str | None) -> np.ndarray:
+    raw = _LOWER[np.frombuffer((text or "").encode(), np.uint8)].astype(np.uint32)
+    if len(raw) < 3:
+        return np.zeros(WIDTH)
+    triples = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(0x9E3779B1)
+    counts = np.log1p(np.bincount(triples >> np.uint32(32 - (2 * WIDTH).bit_length() + 1), minlength=2 * WIDTH))
+    vector = counts[:WIDTH] - counts[WIDTH:]  # a sign for each triple, from the same hash
     norm = np.sqrt((vector * vector).sum())
     return vector / norm if norm else vector
 
@@ -105,20 +144,17 @@ def hilbert_key(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def keyed(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids, hilbert) of every row; ids as little-endian 32-bit integers, closed by ``CLOSE``."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hilbert) of every row."""
     small_batches(docs.sparkSession)
-    closing = np.array([CLOSE], "<u4").tobytes()
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, project = Encoder(tokenizer), projection()
-        for frame in frames:
-            found = [encoder.ids(t) for t in frame["text"]]
-            vectors = np.array([document_vector(np.frombuffer(x, "<u4")) for x in found]).reshape(-1, WIDTH)
-            grid = np.clip((vectors @ project / 3 + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": [x + closing for x in found], "hilbert": hilbert_key(grid.astype(np.int64))})
+    @F.pandas_udf("bigint")
+    def key(texts: pd.Series) -> pd.Series:
+        vectors = np.array([document_vector(t) for t in texts]).reshape(-1, WIDTH)
+        grid = np.clip((vectors @ projection() / 3 + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1)
+        return pd.Series(hilbert_key(grid.astype(np.int64)), dtype="int64")
 
-    return docs.select("doc_id", "text").mapInPandas(build, "doc_id bigint, ids binary, hilbert bigint")
+    return docs.select("doc_id", "text", key(text_of()).alias("hilbert"))
 
 
 def powers(n: int) -> list[int]:
@@ -144,13 +180,14 @@ def cut(doc: tuple, at: int, base: int, length: int) -> list[tuple]:
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """The pieces of all documents: ids, and their place in the document and in the sequence."""
     spark = docs.sparkSession
-    ordered = keyed(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
-    columns = ["hilbert", "doc_id", "ids"]
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    closing = np.array([CLOSE], "<u4").tobytes()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = ordered.repartitionByRange(parts, "hilbert", "doc_id").sortWithinPartitions(*columns)
+    ordered = keyed(docs).repartitionByRange(parts, "hilbert", "doc_id").sortWithinPartitions("hilbert", "doc_id", "text")
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
+        encode = encoder(path).ids
         at, waiting = 0, []  # the documents that have tokens in the sequence that is not full yet
         names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -161,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
         for frame in frames:
             rows = []
             ids_of = [None if x is pd.NA else int(x) for x in frame["doc_id"].astype("Int64")]
-            for doc in zip(ids_of, frame["ids"], frame["hilbert"].tolist(), strict=True):
+            for doc in zip(ids_of, (encode(t) + closing for t in frame["text"]), frame["hilbert"].tolist(), strict=True):
                 waiting += cut(doc, at, base, length)
                 at += len(doc[1]) // 4
                 full = base + at // length
