@@ -2,7 +2,8 @@
 
 1. A document's shingles are hashed to 64 bits. One pass of HyperMinHash puts each hash into one of
    ``REGISTERS`` buckets by its first bits and keeps the bucket's least remainder, compressed to a count of
-   leading zeros (6 bits) and the ``MANTISSA`` bits that follow.
+   leading zeros (6 bits) and the ``MANTISSA`` bits that follow. Empty buckets borrow from others in a fixed order,
+   so that bands of small sets are no weaker than those of large ones.
 2. Documents with the same shingle set become one class, so copies cost one row from here on.
 3. Bands of ``ROWS`` registers are hashed; classes that share a band are candidates. Every class is tied to
    the least class of each of its bands, and the components of those ties are the candidate clusters.
@@ -12,9 +13,9 @@
    full sets. What leaves the group is a spanning forest of verified links, never all pairs.
 5. The components of the forests give the result.
 
-No candidate is dropped by a cap. What can be lost is a link that shares no band: with 42 bands of 6 rows a
-link at similarity 0.85 is missed with probability (1 - 0.85**6)**42 < 3e-9, at 0.8 with 2e-6; and one whose
-estimate is off by more than ``SIGMAS`` standard deviations.
+No candidate is dropped by a cap. What can be lost is a link that shares no band: with 64 bands of 8 rows a
+link at similarity 0.85 is missed with probability (1 - 0.85**8)**64 < 2e-9, at 0.8 with 8e-6; and one whose
+estimate is off by more than ``SIGMAS`` standard deviations. Pairs of similarity 0.4 share a band with 4 %.
 
 Defined results: null or blank texts have an empty set and link with nothing; texts of fewer words than a
 shingle count as one shingle; repeated rows belong to one component; rows without an id link with
@@ -24,6 +25,7 @@ nothing but their copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 from .components import connected_components
 
-REGISTERS, MANTISSA, ROWS = 256, 10, 6
+REGISTERS, MANTISSA, ROWS = 512, 10, 8
 BANDS = REGISTERS // ROWS
+BUCKET_BITS = REGISTERS.bit_length() - 1
 EMPTY = 0xFFFF
 SIGMAS = 6.0
 #: Sets and shingles a block has at most, beyond which a cluster is dealt into more blocks.
-BLOCK_SETS, BLOCK_SHINGLES, FEW_BLOCKS = 256, 2_000_000, 64
+BLOCK_SETS, BLOCK_SHINGLES, FEW_BLOCKS = 1024, 2_000_000, 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -72,18 +75,43 @@ def registers_of(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return out
     hashes = _mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
+    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, bucket, (hashes << np.uint64(8)) >> np.uint64(1))  # 63 bits, so that the maximum stays free
+    np.minimum.at(least, bucket, (hashes << np.uint64(BUCKET_BITS)) >> np.uint64(1))  # 63 bits, so that the maximum stays free
     full = np.unique(bucket)
     rest = least[full]
     zeros = 63 - np.frexp(np.maximum(rest >> np.uint64(10), np.uint64(1)).astype(np.float64))[1] - 10  # of the upper 53 bits, exact in a double
     mantissa = ((rest << (zeros + 2).astype(np.uint64)) >> np.uint64(64 - MANTISSA)).astype(np.uint16)
     out[full] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa
-    return out
+    return _dense(out, full)
+
 
+@lru_cache(maxsize=1)
+def _probes() -> np.ndarray:
+    """For each register the others, in an order of its own that is the same for all sets."""
+    rng = np.random.default_rng(20_240_301)
+    return np.array([rng.permutation(REGISTERS) for _ in range(REGISTERS)], np.int64)
 
-def estimate(agree: np.ndarray, filled: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+
+def _dense(out: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Empty registers take the value of the first full one in their order, so that each agrees between two sets
+    with the sets' similarity, also where sets are smaller than ``REGISTERS``."""
+    if len(full) == REGISTERS:
+        return out
+    filled, empty = out != EMPTY, np.flatnonzero(out == EMPTY)
+    order = _probes()
+    dense = out.copy()
+    for begin, end in ((0, 16), (16, REGISTERS)):
+        found = filled[order[empty, begin:end]]
+        hit = found.any(1)
+        dense[empty[hit]] = out[order[empty[hit], begin + found[hit].argmax(1)]]
+        empty = empty[~hit]
+        if not len(empty):
+            break
+    return dense
+
+
+def estimate(agree: np.ndarray, registers: int, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Jaccard from registers that agree, less those expected to agree by chance.
 
     Two minima of different sets share zeros and mantissa with a probability of about
@@ -91,7 +119,7 @@ def estimate(agree: np.ndarray, filled: np.ndarray, size_a: np.ndarray, size_b:
     """
     ratio = size_a / np.maximum(size_b, 1)
     chance = 2.0**-MANTISSA * 2 * ratio / (1 + ratio) ** 2
-    share = agree / np.maximum(filled, 1)
+    share = agree / registers
     return (share - chance) / (1 - chance)
 
 
@@ -124,24 +152,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(build, "doc_id bigint, digest binary, shingles binary")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-
 def forest_of(frame: pd.DataFrame, tau_num: int, tau_den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within each cluster of ``frame``, or between two blocks (column ``side``)."""
     frame = frame.assign(n=frame["shingles"].str.len() // 8).sort_values(["cluster", "n", "node"], ignore_index=True)
     n, side, nodes = frame["n"].to_numpy(), frame["side"].to_numpy(), frame["node"].tolist()
     regs = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
     shingles = frame["shingles"].tolist()
-    full = regs != EMPTY
-    tau, forest, out = tau_num / tau_den, _Forest(len(frame)), []
+    filled = REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)  # registers that are full before others borrow
+    tau, tree, out = tau_num / tau_den, np.arange(len(frame)), []
     last = np.searchsorted(frame["cluster"].to_numpy(), frame["cluster"].to_numpy(), "right")
     sets: dict[int, set] = {}
 
@@ -157,18 +175,22 @@ def forest_of(frame: pd.DataFrame, tau_num: int, tau_den: int) -> list[tuple[int
             sets.clear()
         if end <= i + 1:
             continue
-        others = slice(i + 1, end)
-        agree = ((regs[others] == regs[i]) & full[i]).sum(1)
-        filled = (full[others] | full[i]).sum(1)
-        guess = estimate(agree, filled, n[i], n[others])
-        slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / np.maximum(filled, 1)))
-        near = np.flatnonzero((guess >= tau - slack) & ((side[others] != side[i]) | (side[i] < 0)))
-        for j in (near[np.argsort(-guess[near], kind="stable")] + i + 1).tolist():
-            a, b = forest.root(i), forest.root(j)
-            if a != b:
+        # Only those that no link has tied to this set yet, and between two blocks only the other block's.
+        apart = tree[i + 1 : end] != tree[i]
+        if side[i] >= 0:
+            apart &= side[i + 1 : end] != side[i]
+        others = np.flatnonzero(apart) + i + 1
+        if not len(others):
+            continue
+        agree = (regs[others] == regs[i]).sum(1)
+        guess = estimate(agree, REGISTERS, n[i], n[others])
+        slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / filled[i]))
+        near = np.flatnonzero(guess >= tau - slack)
+        for j in others[near[np.argsort(-guess[near], kind="stable")]].tolist():
+            if tree[i] != tree[j]:
                 common = len(members(i) & members(j))
                 if tau_den * common >= tau_num * (int(n[i]) + int(n[j]) - common):
-                    forest.up[max(a, b)] = min(a, b)
+                    tree[tree == tree[j]] = tree[i]
                     out.append((nodes[i], nodes[j]))
     return out
 
@@ -185,7 +207,7 @@ def near_components(docs: DataFrame, k: int = 5, tau: tuple[int, int] = (80, 100
 
     named = classes.where("node IS NOT NULL")
     part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("part")))
-    bands = named.select("node", F.explode(part).alias("band")).where(F.col("band.part") != F.lit(b"\xff" * (2 * ROWS)))
+    bands = named.select("node", F.explode(part).alias("band"))
     bands = bands.select("node", F.xxhash64("band.i", "band.part").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("key", "b")
     ties = bands.join(written(shared, "bands"), "key").select(F.col("node").alias("a"), "b").distinct()
