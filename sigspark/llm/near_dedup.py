@@ -6,7 +6,8 @@
    so that bands of small sets are no weaker than those of large ones.
 2. Documents with the same shingle set become one class, so copies cost one row from here on.
 3. Bands of ``ROWS`` registers are hashed; classes that share a band are candidates. Every class is tied to
-   the least class of each of its bands, and the components of those ties are the candidate clusters.
+   the least class it shares a band with, those least classes to each other where they meet in a band, and the
+   components of those ties are the candidate clusters.
 4. A cluster is dealt into blocks; each pair of blocks is one group of a grouped map, at most
    ``2 * block`` sets in memory. There a pair whose collision-corrected Jaccard estimate is far below the
    threshold is passed over, pairs already connected are skipped, and the rest are compared on their
@@ -210,8 +211,13 @@ def near_components(docs: DataFrame, k: int = 5, tau: tuple[int, int] = (80, 100
     bands = named.select("node", F.explode(part).alias("band"))
     bands = bands.select("node", F.xxhash64("band.i", "band.part").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("key", "b")
-    ties = bands.join(written(shared, "bands"), "key").select(F.col("node").alias("a"), "b").distinct()
-    clusters = connected_components(ties)
+    tied = written(bands.join(written(shared, "bands"), "key"), "tied")
+    # One tie for each class, to the least class of its bands; then those least classes of a band are tied to each other.
+    least = tied.groupBy("node").agg(F.min("b").alias("least"))
+    met = written(tied.join(least, "node").select("key", "least").distinct(), "met")
+    lowest = met.groupBy("key").agg(F.min("least").alias("b"))
+    ties = met.join(lowest, "key").select(F.col("least").alias("a"), "b").unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    clusters = connected_components(ties.where("a <> b").distinct())
 
     # Clusters of one block share groups; of others each pair of blocks is a group.
     member = clusters.join(named, "node").select("node", F.col("label").alias("cluster"), "registers", "n")
