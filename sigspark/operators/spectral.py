@@ -28,10 +28,11 @@ def _spectrum(s: Signal, lines: Callable[[np.ndarray], tuple[np.ndarray, np.ndar
 
 def fft_amplitude(s: Signal, true_freq: bool = False) -> Signal:
     """2/n * |DFT| of the lower half. The frequency axis runs evenly from 0 to fs/2 unless ``true_freq``."""
+    fs = s.fs
 
     def lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(x)
-        freq = np.arange(n // 2) * s.fs / n if true_freq else np.linspace(0, s.fs / 2, n // 2)
+        freq = np.arange(n // 2) * fs / n if true_freq else np.linspace(0, fs / 2, n // 2)
         return freq, 2 / n * np.abs(np.fft.fft(x, axis=0)[: n // 2])
 
     return _spectrum(s, lines)
@@ -39,13 +40,14 @@ def fft_amplitude(s: Signal, true_freq: bool = False) -> Signal:
 
 def welch_psd(s: Signal) -> Signal:
     """Power density of one Hann segment as long as the epoch, without its mean, one-sided."""
+    fs = s.fs
 
     def lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(x)
         w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        power = np.abs(np.fft.rfft((x - x.mean(0)) * w[:, None], axis=0)) ** 2 / (s.fs * (w**2).sum())
+        power = np.abs(np.fft.rfft((x - x.mean(0)) * w[:, None], axis=0)) ** 2 / (fs * (w**2).sum())
         power[1 : (n + 1) // 2] *= 2
-        return np.fft.rfftfreq(n, 1 / s.fs), power
+        return np.fft.rfftfreq(n, 1 / fs), power
 
     return _spectrum(s, lines)
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import signals
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(signals.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(signals.SQL)
