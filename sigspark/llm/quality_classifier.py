@@ -127,9 +127,9 @@ def fit(docs: DataFrame, trusted: DataFrame, seed: int = 5) -> Model:
     """A model of ``trusted`` (doc_id) as positives and ``docs`` as unlabelled; bounded samples of both."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def features_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts], dtype=object)
+        return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
     def lowest(ids: DataFrame, n: int) -> DataFrame:
         return lowest_hashes(ids.where("doc_id IS NOT NULL").distinct(), n)
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, trusted: DataFrame, seed: int = 5) -> Model:
     chosen = positive.join(unlabelled, "doc_id", "full")  # TRUSTED + UNLABELLED ids at most, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", features_of(text_of()).alias("x"))
     found = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    matrix = np.array(found["x"].tolist(), np.float32).reshape(-1, SIZE)
+    matrix = np.frombuffer(b"".join(map(bytes, found["x"])), np.float32).reshape(-1, SIZE)
     return fit_arrays(matrix[found["p"].notna()], matrix[found["u"].notna()], seed)
 
 
