@@ -1 +1 @@
-"""Operators over unbounded streams."""
+"""Operators over unbounded streams; see ``stateful``."""
