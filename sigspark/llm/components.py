@@ -11,9 +11,11 @@ from .common import written
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): for every node of ``edges`` (a, b: of one orderable type) the smallest node it can reach.
 
-    Each round gives a node the least label among its own and its neighbours', then the label of that label,
-    so that long chains halve. Rounds are written to the shared folder, which cuts lineage. Grouping
-    pre-aggregates, so a node of very many edges costs no task more than its share of them.
+    Each round gives a node the least label among its own and its neighbours', then what the node of its label
+    has. That node takes the least label that any node of its label sees, so that whole trees of labels meet at once and
+    a chain takes rounds in the logarithm of its length, whatever the order of its nodes. Rounds end when no label
+    changes; if ``rounds`` do not suffice, an error is raised. They are written to the shared folder, which cuts
+    lineage. Grouping pre-aggregates, so a node of very many edges costs no task more than its share of them.
     """
     both = written(
         edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
@@ -22,11 +24,12 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = near.join(jump, "label").select("node", "old", F.least("label", "far").alias("label"))
+        near = written(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "near")
+        hook = near.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("hook"))
+        jump = near.join(hook, "node", "left").select(F.col("node").alias("old"), F.least("label", "hook").alias("far"))
+        new = near.join(jump, "old").select("node", "old", F.least("label", "far").alias("label"))
         new = written(new, "labels")
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -12,7 +12,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sigspark.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from sigspark.llm import byte_bpe, components, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter
 
 from . import brute
 
@@ -101,6 +101,26 @@ def test_near_dedup(docs, odd):
     assert near_dedup.near_components(odd.limit(0)).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(5)
+    chains = [rng.permutation(1000).tolist(), [1000, *range(1999, 1000, -1)], [*range(2000, 2300)]]
+    found = {r.node: r.label for r in components.connected_components(spark.createDataFrame([e for c in chains for e in zip(c, c[1:])], "a bigint, b bigint")).collect()}
+    up = list(range(2300))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for c in chains:
+        for a, b in zip(c, c[1:]):
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    assert found == {i: root(i) for i in range(2300)}
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint"), rounds=2)
+
+
 def test_quality_rules(spark, sf_dir, docs, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     for r in both(docs, odd, lambda df: quality_rules.judge(df, labels=labels)):
