@@ -60,7 +60,7 @@ AROUND = 24
 GATES = {
     "base_email": lambda t: t.contains("@"),
     "base_phone": lambda t: t.contains("+"),
-    "loose_email": lambda t: t.contains("@") | t.contains("(at)") | t.contains("[at]") | t.contains("{at}") | (t.contains(" at ") & t.contains(" dot ")),
+    "loose_email": lambda t: t.contains("@") | t.contains("(at)") | t.contains("[at]") | t.contains("{at}") | (t.contains(" at ") & (t.contains(" dot ") | t.contains("(dot)") | t.contains("[dot]"))),
 }
 MATCH = "array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"
 

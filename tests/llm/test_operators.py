@@ -137,6 +137,15 @@ def test_personal_data(spark, docs, odd):
     assert pii.redact(text, model).first().text == "Call: <PHONE> or <EMAIL>, <EMAIL>"
 
 
+def test_every_loose_address_passes_its_gate(spark):
+    at = [" at ", "@", *[f"{a}{x}{b}" for x in ("@", "(at)", "[at]", "{at}") for a in ("", " ") for b in ("", " ")]]
+    dot = [".", " dot ", *[f"{a}{x}{b}" for x in ("(dot)", "[dot]", "{dot}") for a in ("", " ") for b in ("", " ")]]
+    rows = spark.createDataFrame([(f"jane.doe{a}river{d}example",) for a in at for d in dot], "text string").withColumn("__text", F.col("text"))
+    fits = rows.where(F.regexp("text", F.lit(pii.LOOSE["email"])))
+    assert fits.count() == (len(at) - 1) * len(dot) + 9  # after " at " no plain dot and no curly one
+    assert pii.with_candidates(fits).where(~F.exists("__all", lambda c: (c["kind"] == "email") & (c["found"] == F.col("text")))).count() == 0
+
+
 def test_classifier(spark, sf_dir, docs, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit_on_labels(docs, labels)
