@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,21 +30,32 @@ class Discriminant:
 
 
 def fit_lda(df: DataFrame, features: list[str], label: str, ridge: float = 1e-9) -> Discriminant:
-    """Counts, means and the pooled covariance in one grouping; one row a class reaches the driver."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    col = lambda i: F.col(f"`{features[i]}`").cast("double")
-    sums = [F.sum(col(i)).alias(f"s{i}") for i in range(len(features))]
-    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *sums, *[F.sum(col(i) * col(j)).alias(f"p{i}_{j}") for i, j in pairs]).orderBy(label).collect()
-    d, total = len(features), sum(r["n"] for r in rows)
-    means = np.array([[r[f"s{i}"] / r["n"] for i in range(d)] for r in rows])
+    """Counts, means and the pooled covariance: sums of each batch, added up by place; one row a class reaches the driver."""
+    import pandas as pd
+
+    low, high = np.triu_indices(len(features))
+
+    def batch_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for of, x in frame.groupby("label"):
+                x = x[names].to_numpy(np.float64)
+                yield pd.DataFrame({"label": [of], "sums": [np.concatenate([[len(x)], x.sum(0), (x.T @ x)[low, high]])]})
+
+    names = [f"x{i}" for i in range(len(features))]
+    x = [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(n) for f, n in zip(features, names, strict=True)]
+    found = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), *x)
+    kind = found.schema["label"].dataType.simpleString()
+    sums = found.mapInPandas(batch_sums, f"label {kind}, sums array<double>").select("label", F.posexplode("sums").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    rows = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("sums")).orderBy("label").collect()
+    each, d = np.array([r["sums"] for r in rows]), len(features)
+    counts, total = each[:, 0], each[:, 0].sum()
+    means = each[:, 1 : d + 1] / counts[:, None]
     scatter = np.zeros((d, d))
-    for r, m in zip(rows, means, strict=True):
-        for i, j in pairs:
-            scatter[i, j] += r[f"p{i}_{j}"] - r["n"] * m[i] * m[j]
+    scatter[low, high] = each[:, d + 1 :].sum(0) - (counts[:, None] * means[:, low] * means[:, high]).sum(0)
     pooled = (scatter + np.triu(scatter, 1).T) / total
     weights = np.linalg.solve(pooled + ridge * np.eye(d), means.T).T
-    offsets = np.array([np.log(r["n"] / total) for r in rows]) - 0.5 * (weights * means).sum(1)
-    return Discriminant(tuple(r[label] for r in rows), weights, offsets)
+    offsets = np.array([np.log(n / total) for n in counts]) - 0.5 * (weights * means).sum(1)
+    return Discriminant(tuple(r["label"] for r in rows), weights, offsets)
 
 
 def classify(df: DataFrame, features: list[str], model: Discriminant, output: str = "class") -> DataFrame:

@@ -54,8 +54,8 @@ def vector_epochs(spark: SparkSession, sf_dir: str) -> Signal:
     return Signal(df, ("x",), 64.0, "epoch")
 
 
-def vector_signal(spark: SparkSession, sf_dir: str, channels: int = 8) -> Signal:
-    """The first channels of the embeddings, by vector number, one recording a label."""
+def vector_signal(spark: SparkSession, sf_dir: str, channels: int = 64) -> Signal:
+    """The embeddings' values as channels, by vector number, one recording a label."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     names = tuple(f"e{i}" for i in range(channels))
     df = df.select(F.col("label").cast("bigint").alias("rec"), F.col("vec_id").alias("seq"), (F.col("vec_id") / 250.0).alias("t"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.filters import butter_bandpass, chebyshev_lowpass, from_coefficients, notch
 from sigspark.functions.student import below
-from sigspark.operators import artifacts, epochs, iir, project
-from sigspark.sources import generator, scenario
+from sigspark.operators import artifacts, epochs, features, iir, project
+from sigspark.plans import signals
+from sigspark.sources import generator, scenario, tables
 from sigspark.spec import Signal
 
 
@@ -78,6 +79,21 @@ def test_peak_pruning_keeps_the_likeliest_of_a_cluster():
     assert artifacts.pruned(np.array([100, 150, 190, 230]), scores, 100).tolist() == [150, 230]
 
 
+def test_every_embedding_value_counts(spark, sf_dir):
+    s = tables.vector_signal(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, y = np.stack(rows["embedding"]).astype(float), rows["label"].to_numpy()
+    model = features.fit_lda(s.df, list(s.channels), "rec")
+    means = np.array([x[y == c].mean(0) for c in model.classes])
+    centred = x - means[np.searchsorted(model.classes, y)]
+    want = np.linalg.solve(centred.T @ centred / len(x) + 1e-9 * np.eye(64), means.T).T
+    np.testing.assert_allclose(model.weights, want, rtol=1e-5, atol=1e-6 * np.abs(want).max())
+    found = {r["seq"]: r["class"] for r in signals.QUERIES["lda_class"](spark, sf_dir).collect()}
+    scores = x @ want.T + np.log([(y == c).mean() for c in model.classes]) - 0.5 * (want * means).sum(1)
+    assert [found[v] for v in rows["vec_id"]] == [model.classes[i] for i in scores.argmax(1)]
+    assert signals.QUERIES["hilbert_channels"](spark, sf_dir).columns[2:] == [f"e{i}" for i in range(64)]
+
+
 def test_scenario_counts(spark):
     described = {"trials": 4, "sessions": 2, "random": True, "classes": [1, 2], "init": [(9, 1.0, 1.0)], "loop": [(5, 1.0, 2.0), (None, 1.0, 1.0)], "intersession": [(7, 1.0, 1.0)], "end": [(8, 1.0, 1.0)]}
     counts = {r["marker"]: r["count"] for r in scenario.scenario(spark, described).groupBy("marker").count().collect()}
