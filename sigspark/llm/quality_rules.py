@@ -1,7 +1,6 @@
 """Quality rules: fixed counts of each text, and a hashed n-gram log-likelihood ratio.
 
-The n-grams are pairs of neighbouring words' endings (their last two characters; the last word pairs with
-the text's end), hashed to ``BUCKETS`` buckets. One multinomial is counted over trusted documents (rows of
+The n-grams are whole words and pairs of neighbouring ones (the last word pairs with the text's end), hashed to ``BUCKETS`` buckets. One multinomial is counted over trusted documents (rows of
 the labels with quality 1, at most ``TRUSTED`` of them, those with the lowest hashes), the other over all
 documents. A bucket's weight is the difference of the smoothed log-probabilities in thousandths, an integer,
 so that a document's sum doesn't depend on any order. The sum divided by the number of n-grams is compared
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, lowest_hashes, read_table, text_of, with_results
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 TRUSTED = 20_000
 SMOOTHING = 1.0
 #: In thousandths of a natural logarithm a n-gram.
@@ -36,9 +35,10 @@ def words_of(text: Column) -> Column:
 
 
 def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """A bucket for each word: of its ending and the next word's."""
-    ends = F.transform(words, lambda w: F.right(w, F.lit(2)))
-    return F.zip_with(ends, F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+    """Two buckets for each word: its own, and that of it and the next word."""
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: bucket(a, F.coalesce(b, F.lit(""))))
+    return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
@@ -113,8 +113,8 @@ def judge(docs: DataFrame, weights: Column | None = None, labels: DataFrame | No
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": F.col("__repeat"),
             "base_failed": failed,
-            "score": F.when(n > 0, F.col("__sum") / n).otherwise(F.lit(0.0)),
-            "kept": ~failed & (F.col("__sum") >= threshold * n),
+            "score": F.when(n > 0, F.col("__sum") / (2 * n)).otherwise(F.lit(0.0)),
+            "kept": ~failed & (F.col("__sum") >= threshold * 2 * n),
         },
     )
 

@@ -137,6 +137,14 @@ def test_personal_data(spark, docs, odd):
     assert pii.redact(text, model).first().text == "Call: <PHONE> or <EMAIL>, <EMAIL>"
 
 
+def test_whole_words_are_scored(spark):
+    good, junk = (" ".join(a + b for a in lead for b in ("ing", "tion", "ed")) for lead in (("walk", "read", "build", "farm"), ("zzqx", "kkvw", "xxjq", "wwpz")))
+    docs = spark.createDataFrame([(i, good if i < 20 else junk) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in quality_rules.judge(docs, labels=labels).collect()}
+    assert score[15] > score[25] + 1000
+
+
 def test_every_loose_address_passes_its_gate(spark):
     at = [" at ", "@", *[f"{a}{x}{b}" for x in ("@", "(at)", "[at]", "{at}") for a in ("", " ") for b in ("", " ")]]
     dot = [".", " dot ", *[f"{a}{x}{b}" for x in ("(dot)", "[dot]", "{dot}") for a in ("", " ") for b in ("", " ")]]
