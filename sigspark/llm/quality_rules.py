@@ -1,11 +1,10 @@
 """Quality rules: fixed counts of each text, and a hashed n-gram log-likelihood ratio.
 
-The n-grams are whole words and pairs of neighbouring ones (the last word pairs with the text's end), hashed to ``BUCKETS`` buckets. One multinomial is counted over trusted documents (rows of
-the labels with quality 1, at most ``TRUSTED`` of them, those with the lowest hashes), the other over all
-documents. A bucket's weight is the difference of the smoothed log-probabilities in thousandths, an integer,
+The n-grams are whole words and pairs of neighbouring ones (the last word pairs with the text's end), hashed to ``BUCKETS`` buckets. One multinomial is counted over trusted documents (all that
+have quality 1 in the labels), the other over all documents. A bucket's weight is the difference of the smoothed log-probabilities in thousandths, an integer,
 so that a document's sum doesn't depend on any order. The sum divided by the number of n-grams is compared
 with a threshold. Everything runs in DataFrame functions; a row is never taken apart to be judged, and the
-only shuffle is that of bucket counts. The weights reach the rows as one array of ``BUCKETS`` integers.
+shuffles are those of the join with the labels and of bucket counts. The weights reach the rows as one array of ``BUCKETS`` integers.
 
 Defined results: a null or blank text has no words, all counts 0, score 0, and fails the base rule; without
 labels both multinomials are flat or equal and the ratio is 0, which is kept; repeated rows are judged alike.
@@ -18,10 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, lowest_hashes, read_table, text_of, with_results
+from .common import SPACE, read_table, text_of, with_results
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 SMOOTHING = 1.0
 #: In thousandths of a natural logarithm a n-gram.
 THRESHOLD = -200
@@ -43,8 +41,8 @@ def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
 
 def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
     """By bucket, thousandths of log(p(trusted) / p(all)), as a constant array; ``BUCKETS`` counts pass the driver."""
-    trusted = lowest_hashes(labels.where("quality = 1").select("doc_id").distinct(), TRUSTED)  # so few rows may be broadcast
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("__trusted", F.lit(1))), "doc_id", "left")
+    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("__trusted", F.lit(1)), "doc_id", "left")
     grams = marked.select("__trusted", words_of(text_of()).alias("words")).select(
         "__trusted", F.explode(gram_buckets(F.col("words"))).alias("bucket")
     )

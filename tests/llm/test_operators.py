@@ -145,6 +145,13 @@ def test_whole_words_are_scored(spark):
     assert score[15] > score[25] + 1000
 
 
+def test_every_trusted_document_counts(spark):
+    # All are trusted, so both multinomials are equal.
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    judged = quality_rules.judge(docs, labels=docs.select("doc_id", F.lit(1).alias("quality")))
+    assert judged.where("score <> 0").count() == 0
+
+
 def test_every_loose_address_passes_its_gate(spark):
     at = [" at ", "@", *[f"{a}{x}{b}" for x in ("@", "(at)", "[at]", "{at}") for a in ("", " ") for b in ("", " ")]]
     dot = [".", " dot ", *[f"{a}{x}{b}" for x in ("(dot)", "[dot]", "{dot}") for a in ("", " ") for b in ("", " ")]]
