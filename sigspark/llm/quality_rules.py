@@ -32,19 +32,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
-def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """Two buckets for each word: its own, and that of it and the next word."""
+def hashes_of(words: Column) -> Column:
+    """A hash of each whole word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
+    """Two buckets for each word's hash: its own, and that of it and the next word's."""
     bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: bucket(a, F.coalesce(b, F.lit(""))))
-    return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
+    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: bucket(a, F.coalesce(b, F.lit(0).cast("bigint"))))
+    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
     """By bucket, thousandths of log(p(trusted) / p(all)), as a constant array; ``BUCKETS`` counts pass the driver."""
     trusted = labels.where("quality = 1").select("doc_id").distinct()
     marked = docs.select("doc_id", "text").join(trusted.withColumn("__trusted", F.lit(1)), "doc_id", "left")
-    grams = marked.select("__trusted", words_of(text_of()).alias("words")).select(
-        "__trusted", F.explode(gram_buckets(F.col("words"))).alias("bucket")
+    grams = marked.select("__trusted", hashes_of(words_of(text_of())).alias("hashes")).select(
+        "__trusted", F.explode(gram_buckets(F.col("hashes"))).alias("bucket")
     )
     counts = {r["bucket"]: (r["n"], r["t"]) for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("__trusted").alias("t")).collect()}
     all_n, all_t = (sum(c[k] for c in counts.values()) for k in (0, 1))
@@ -89,12 +94,13 @@ def judge(docs: DataFrame, weights: Column | None = None, labels: DataFrame | No
     text = F.col("__text")
     rows = docs.withColumn("__text", text_of())
     rows = rows.withColumns({"__words": words_of(text), "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
+    rows = rows.withColumn("__each", hashes_of(F.col("__words")))
     n = F.size("__words")
     first = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumns(
         {
-            "__hashes": F.transform(first, lambda i: F.xxhash64(F.slice(F.col("__words"), i, WINDOW))),
-            "__sum": F.aggregate(gram_buckets(F.col("__words")), F.lit(0).cast("bigint"), lambda s, b: s + F.element_at(weights, b + 1)),
+            "__hashes": F.transform(first, lambda i: F.xxhash64(F.slice(F.col("__each"), i, WINDOW))),
+            "__sum": F.aggregate(gram_buckets(F.col("__each")), F.lit(0).cast("bigint"), lambda s, b: s + F.element_at(weights, b + 1)),
         }
     )
     bare = F.regexp_replace(text, f"[{SPACE}]+", "")
