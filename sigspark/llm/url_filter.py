@@ -9,7 +9,7 @@ the labelled urls of the other half (each half gets the other's statistics in tr
 ``BUCKETS`` numbers. Everything is a projection over ``url``; no url is shuffled to be judged.
 
 Defined results: a null url or one without ``://`` has empty host and path, and fits no rule; its features are
-those of the empty url. Without labelled urls of both kinds the trees allow. Repeated rows are judged alike;
+those of the url as it is (a null one's: of the empty url). Without labelled urls of both kinds the trees allow. Repeated rows are judged alike;
 input columns pass through but for those named as a result.
 """
 
@@ -165,7 +165,7 @@ def fit_urls(labelled: DataFrame, seed: int = 7) -> UrlModel:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel, block_at: float = BLOCK_AT) -> DataFrame:
     """Every row with ``host``, ``path``, ``rule``, ``score`` (probability of being unwanted) and ``verdict``."""
     url, host, path = F.col("__url"), F.col("__host"), F.col("__path")
-    rows = pages.withColumn("__url", F.when(F.col("url").contains("://"), F.col("url")).otherwise(""))
+    rows = pages.withColumn("__url", F.coalesce("url", F.lit("")))
     rows = rows.withColumns({"__host": host_of(url), "__path": path_of(url)})
     top, ending = suffixes(host)
     features = lexical(url, host, path, *(F.element_at(_array(o), b + 1) for o, b in zip(model.odds, (top, ending), strict=True)))

@@ -191,6 +191,14 @@ def test_url_filter(spark):
     assert (found[6].verdict, found[7].verdict) == ("block", "allow")
 
 
+def test_urls_without_scheme_keep_their_features(spark):
+    labelled = [(f"{c * n}", int(c == "7")) for c in "a7" for n in range(20, 60)]
+    model = url_filter.fit_urls(spark.createDataFrame(labelled, "url string, label int"))
+    rows = spark.createDataFrame([(1, "a" * 33), (2, "7" * 33)], "page_id bigint, url string")
+    found = {r.page_id: r for r in url_filter.judge_urls(rows, url_filter.RULES, model).collect()}
+    assert (found[1].verdict, found[2].verdict) == ("allow", "block") and {r.host + r.path for r in found.values()} == {""}
+
+
 def test_pipeline(spark, sf_dir, docs):
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
