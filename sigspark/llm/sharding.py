@@ -4,13 +4,14 @@ Rows fall by a seeded hash into cells (logical partitions that do not depend on
 From the cells' counts the driver draws how many rows each cell sends to each shard: row by row of the
 matrix, multivariate hypergeometric, so that columns add up to the shard sizes, which differ by one at
 most. Rows are permuted within their cell, dealt by the matrix, and permuted again within their shard. Only
-the matrix passes the driver: ``MAX_CELLS`` rows of one number a shard, whatever the input's size.
+the matrix passes the driver: ``MATRIX`` numbers at most, whatever the input's size.
 
 The second permutation goes by a random key. A shard is cut by ranges of that key into pieces of about
 ``ROWS_PER_TASK`` rows, each a window of its own; the pieces' sizes, summed in order, give where they begin.
 
 Defined results: null texts have size 1 and checksum 0; null ids are rows like others; rows that repeat
-are each dealt; an empty table gives an empty result. A row's place depends on its id, text and the seed.
+are each dealt; an empty table gives an empty result; input columns pass through but for those named as a result.
+A row's place depends on its id, text and the seed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import read_table, text_of, with_results
 
 ROWS_PER_TASK = 16_384
-MAX_CELLS = 32_768
+MATRIX = 1 << 23
+#: What NumPy draws from at most.
+LIBRARY = 10**9
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -42,20 +45,39 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
     """One multivariate hypergeometric draw: ``n`` of the places that are left, colour by colour."""
     out, rest = np.zeros_like(left), int(left.sum())
-    for s, have in enumerate(left):
-        rest -= int(have)
-        if n and have:
-            # NumPy draws up to 10**9 of a colour exactly; beyond, the normal limit differs by less than rounding.
-            if have + rest < 10**9:
-                out[s] = rng.hypergeometric(int(have), rest, n)
-            else:
-                p = have / (have + rest)
-                sd = math.sqrt(n * p * (1 - p) * (have + rest - n) / max(1, have + rest - 1))
-                out[s] = min(have, n, max(n - rest, round(rng.normal(n * p, sd))))
-            n -= int(out[s])
+    for s, have in enumerate(left.tolist()):
+        rest -= have
+        out[s] = drawn(rng, have, rest, n)
+        n -= int(out[s])
     return out
 
 
+def drawn(rng: np.random.Generator, have: int, rest: int, n: int) -> int:
+    """How many of ``n`` places drawn from ``have`` + ``rest`` are of the first kind: hypergeometric at any size.
+
+    Beyond the library's range every place is first taken with probability n / (have + rest), on its own: two binomial
+    counts. Given how many were taken, all choices are equally likely, so those taken too many are given back by
+    the same kind of draw among them, or those lacking are drawn from the places that were not taken. Either draw
+    is for about the square root of ``n`` places.
+    """
+    if n == 0 or have == 0:
+        return 0
+    if have + rest < LIBRARY:
+        return int(rng.hypergeometric(have, rest, n))
+    if 2 * n > have + rest:
+        return have - drawn(rng, have, rest, have + rest - n)
+    if n <= 32:
+        found = 0
+        for i in range(n):
+            found += int(rng.integers(have + rest - i)) < have - found
+        return found
+    share = n / (have + rest)
+    a, b = int(rng.binomial(have, share)), int(rng.binomial(rest, share))
+    if a + b >= n:
+        return a - drawn(rng, a, b, a + b - n)
+    return a + drawn(rng, have - a, rest - b, n - a - b)
+
+
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_229) -> DataFrame:
     """Every row with ``size``, ``text_crc32``, ``shard`` and ``slot`` (its place in the shard, gapless from 0)."""
     spark = docs.sparkSession
@@ -65,7 +87,8 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_229) -> DataFrame
     rows = rows.withColumns({f"__r{k}": F.xxhash64(F.lit(seed + k), *identity) for k in range(3)})
 
     total = docs.count()
-    cells = min(MAX_CELLS, 1 << max(3, math.ceil(math.log2(max(1, total / ROWS_PER_TASK))) + 3))
+    most = 1 << max(3, (MATRIX // max(1, shards)).bit_length() - 1)
+    cells = min(most, 1 << max(3, math.ceil(math.log2(max(1, total / ROWS_PER_TASK))) + 3))
     cell = F.pmod(F.col("__r0"), F.lit(cells))
     sizes = sorted(rows.groupBy(cell.alias("cell")).count().collect())
     matrix = communication_matrix([r["count"] for r in sizes], shards, seed)
@@ -81,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_229) -> DataFrame
 
     # The permutation within the shard, piece by piece along the random key.
     pieces = max(1, math.ceil(total / shards / ROWS_PER_TASK))
-    pieces = min(MAX_CELLS, max(pieces, 8))
+    pieces = min(most, max(pieces, 8))
     piece = F.floor(F.shiftrightunsigned("__r2", 33) * F.lit(pieces) / F.lit(float(1 << 31))).cast("int")
     sent = sent.withColumn("__piece", piece)
     per_piece = sent.groupBy("__shard", "__piece").count()
@@ -92,7 +115,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_229) -> DataFrame
     )
     order = [F.col(c) for c in ("__r2", "doc_id", "__size", "__crc")]
     nth = F.row_number().over(Window.partitionBy("__shard", "__piece").orderBy(*order))
-    placed = sent.withColumn("__nth", nth).join(F.broadcast(begins), ["__shard", "__piece"])  # at most shards x MAX_CELLS rows
+    placed = sent.withColumn("__nth", nth).join(F.broadcast(begins), ["__shard", "__piece"])  # MATRIX rows at most
     return with_results(
         placed,
         docs.columns,
