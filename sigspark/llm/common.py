@@ -43,17 +43,21 @@ def lowest_hashes(rows: DataFrame, n: int) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place, for the whole session.
+    Where that is unset, a session of one machine (``local``) takes a temporary folder; on a cluster it is an error.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sigspark.shared.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("sigspark.shared.dir", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sigspark-")
         spark.conf.set("sigspark.shared.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sigspark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; those of one application lie in a folder of its own, to be removed behind it."""
+    return f"{shared_dir(spark)}/sigspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +67,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        for place in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, place)
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a ``key``, so that no task gets all rows of a hot key.
+
+    Rows are dealt by (key, salt), the salt coming from column ``by``. The pairs that occur, at most one row a pair and
+    map task, meet ``keyed`` first; there are as many salts as shuffle partitions, so a hot key fills all of them.
+    """
+    salts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    shares = salted.select(key, "__salt").distinct().join(keyed, key)
+    return salted.join(shares, [key, "__salt"], how).drop("__salt")
+
+
 def with_results(df: DataFrame, source: list[str], results: dict[str, Column]) -> DataFrame:
     """The input's columns and the results; a result replaces an input column of the same name (in any case)."""
     taken = {name.lower() for name in results}

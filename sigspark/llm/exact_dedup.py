@@ -4,9 +4,12 @@ The index is a table of one row per distinct text, bucketed and sorted by the te
 grouped by digest, the digests that the index lacks are found by a sort-merge anti-join (the bucketed side
 is not shuffled), appended, and the batch's rows then read their verdict from the index.
 
+Recovery: a batch has a name. If a job dies behind its append and is run again with the same name and rows, the index
+knows the batch's texts as its own, adds nothing, and gives the same verdicts.
+
 Skew: a text may make up a third of all rows. Rows are grouped by (digest, salt), the salt coming from the
-row's id, so that no task gets more than a share of a hot text; only the partial groups, at most ``salts``
-for a digest, meet at the digest.
+row's id, and these shares are written to the shared folder before anything is joined, so that no plan can skip that
+step; only the shares, as many for a digest as there are shuffle partitions at most, meet at the digest.
 
 Defined results: a null text is the empty text; null ids sort below all others, so they stay only if the
 text has no row with an id; of rows that repeat both id and text exactly one stays; an empty table gives an
@@ -20,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, text_of, with_results
+from .common import discard, fresh_path, read_table, remove, text_of, with_results, written
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
@@ -57,6 +60,12 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self, delete: bool = False) -> None:
+        """Forget the table's name in this session's catalog; with ``delete`` its files go, too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if delete:
+            remove(self.spark, self.path)
+
     def missing(self, digests: DataFrame) -> DataFrame:
         """Those of ``digests`` that the index lacks."""
         return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
@@ -67,18 +76,21 @@ class DigestIndex:
         self._write(new.repartition(self.buckets, "digest"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, salts: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, salts: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     ``keep_id``: the id of the row that stays, the largest of its text in the batch that brought the text
-    first. ``group_size``: this batch's rows with the text. A text of an earlier batch keeps no row.
+    first. ``group_size``: this batch's rows with the text. A text of another batch keeps no row. ``batch`` names this
+    one; without a name every call is a batch of its own. Without ``index`` one is made for this call alone.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
+    salts = salts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     rows = docs.withColumns({"__digest": F.unhex(F.sha2(text_of(), 256)), "__salt": salt})
-    shares = rows.groupBy("__digest", "__salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    shares = written(rows.groupBy("__digest", "__salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "shares")
     texts = shares.groupBy(F.col("__digest").alias("digest")).agg(F.max("top").alias("keep_id"), F.sum("n").alias("n"))
     index.append(texts.select("digest", "keep_id"), batch)
 
@@ -87,6 +99,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, salts: int =
         known.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("n").alias("__n"), (F.col("batch") == batch).alias("__new")),
         "__digest",
     )
+    groups = written(groups, "groups")
+    discard(shares)
+    if own:
+        index.close(delete=True)
     nth = F.row_number().over(Window.partitionBy("__digest", "__salt").orderBy(F.col("doc_id").desc_nulls_last()))
     found = rows.join(groups, ["__digest", "__salt"]).withColumn("__nth", nth)
     kept = F.col("__new") & F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__nth") == 1)
@@ -97,10 +113,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, salts: int =
     )
 
 
-def distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def distinct_texts(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they came with."""
     marked = docs.withColumn("__row", F.struct("*")).select("__row", "doc_id", "text")
-    return exact_dedup(marked, index).where("kept").select("__row.*")
+    return exact_dedup(marked, index, batch).where("kept").select("__row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
