@@ -86,6 +86,19 @@ def test_exact_dedup(docs, odd):
         assert all((r.keep_id, r.group_size) == (best[r.text or ""], size[r.text or ""]) for r in rows)
 
 
+def test_failed_batch_is_run_again(spark, odd, monkeypatch):
+    """A job that dies between its append and its read gives the same verdicts when it is run again."""
+    want = sorted(map(str, exact_dedup.exact_dedup(odd).collect()))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "rows", lambda self: (_ for _ in ()).throw(RuntimeError("lost")) if self.spark.table(self.table).count() else self.spark.table(self.table))
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_dedup(odd, index, batch="monday")
+    monkeypatch.undo()
+    assert sorted(map(str, exact_dedup.exact_dedup(odd, index, batch="monday").collect())) == want
+    assert exact_dedup.exact_dedup(odd, index, batch="tuesday").where("kept").count() == 0
+    index.close(delete=True)
+
+
 def test_index_remembers(spark, odd):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     assert exact_dedup.exact_dedup(odd, index).where("kept").count() > 0
@@ -101,6 +114,32 @@ def test_near_dedup(docs, odd):
     assert near_dedup.near_components(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_in_many_blocks(spark, monkeypatch):
+    """Revisions of a few texts, each some words from the last, so that bands hold several components and many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 4)
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        for _ in range(60):
+            words = list(words)
+            for place in rng.integers(0, len(words), int(rng.integers(1, 6))):
+                words[place] = f"w{rng.integers(0, 400)}"
+            rows.append(" ".join(words))
+    ids = rng.permutation(len(rows)).tolist()
+    rows = [*zip(ids, rows), (None, rows[0]), (None, rows[0]), (ids[3], "another text with the same id as a revision")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for k, tau in ((3, 85), (5, 80)):
+        want = brute.components([r for r in rows[:-3]], k, tau)
+        assert 3 < len({root for _, root in want.values()}) < 170
+        found = near_dedup.near_components(docs, k, (tau, 100)).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert (r.component_id, r.kept) == ((want[r.doc_id][1], r.doc_id == want[r.doc_id][1]) if r.doc_id is not None else (None, True))
+    kept = near_dedup.keep_one_of_each(docs).collect()
+    assert sum(r.doc_id is None for r in kept) == 2
+
+
 def test_components_of_long_chains(spark):
     rng = np.random.default_rng(5)
     chains = [rng.permutation(1000).tolist(), [1000, *range(1999, 1000, -1)], [*range(2000, 2300)]]
