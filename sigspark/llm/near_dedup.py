@@ -217,16 +217,27 @@ class Candidates:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, tau: tuple[int, int]):
         self.tau = tau
+        spark = docs.sparkSession
         part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("part")))
         bands = classes.select("node", F.explode(part).alias("s")).select("node", F.col("s.i").alias("band"), F.xxhash64("s.i", "s.part").alias("key"))
-        shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader <> top").select("key", "leader")
+        shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("leader <> top")
+        shared = written(shared.select("key", "leader", "m"), "bands")
+        # Hot keys are dealt by salts. Each has more than 1 / most of all rows, so there are fewer than ``most``.
+        most = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+        fair = classes.count() * BANDS // most + 1
+        hot = F.broadcast(shared.where(F.col("m") > fair).select("key", F.ceil(F.col("m") / fair).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = bands.join(hot, "key", "left").select("node", "band", "key", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+        leaders = shared.join(hot, "key", "left").select("key", "leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         #: (node, band, key, leader): a row for each band that a class shares.
-        self.pairs = written(spread_join(bands, written(shared, "bands"), "key", "node"), "pairs")
-        ours = classes.join(self.pairs.select("node").distinct(), "node").select("node", "digest", "registers", "n")
-        texts = docs.select("doc_id", "text").join(ours.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        self.pairs = written(dealt.join(leaders, ["key", "salt"]).drop("salt"), "pairs")
+        nodes = written(self.pairs.select("node").distinct(), "nodes")
+        ours = classes.join(nodes, "node").select("node", "digest", "registers", "n")
+        texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
         found = _sets(texts, k).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("shingles").alias("shingles"))
         #: (node, registers, n, shingles): rows of one id that have different texts keep their sets apart.
         self.sets = written(ours.join(found, ["node", "digest"]).drop("digest"), "sets")
+        discard(shared, nodes)
         self.labels: DataFrame | None = None
 
     def learn(self, links: DataFrame) -> None:
@@ -293,6 +304,7 @@ class Candidates:
         total = rows.join(self.sets.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
         groups = total // BLOCK_SHINGLES * 8 + 8
         sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+        # A group is one large part, or many small ones.
         alone = F.when(F.col("m") > BLOCK_SETS // 4, F.col("part")).otherwise(F.pmod("part", F.lit(groups)))
         rows = spread_join(rows, sizes.select("part", alone.alias("group")), "part", "node").join(self.sets, "node")
 
@@ -326,14 +338,16 @@ def near_components(docs: DataFrame, k: int = 5, tau: tuple[int, int] = (80, 100
 
     ``tau``: a link has tau[1] * |intersection| >= tau[0] * |union|.
     """
-    signed = written(signatures(docs, k), "signatures")
+    whole = written(signatures(docs, k), "signatures")
     # Copies become one class, named by its least id.
-    named = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    named = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
     classes = written(named.agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("n").alias("n")), "classes")
+    signed = written(whole.select("doc_id", "n", "digest"), "signed")
+    discard(whole)
     linked = Candidates(docs, classes, k, tau).connected()
     # Back from classes to rows; a row's own id may name the class of another text with that id.
     component = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    out = spread_join(signed.select("doc_id", "n", "digest"), component, "digest", "doc_id", "left")
+    out = spread_join(signed, component, "digest", "doc_id", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
