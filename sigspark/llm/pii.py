@@ -12,13 +12,15 @@ candidate each, of forms that are personal data or only look like it (measures,
 numbers), between cue words or others. The composition is deterministic.
 
 How places are found: a pattern splits the text; the lengths of the parts before a match, in code points, add
-up to its start. Sums run in blocks of ``BLOCK``, so a text of very many matches costs little more than its
-length. The patterns use possessive repeats and anchors at the ends of earlier matches, which leave the leftmost
+up to its start. Sums and running maxima go in blocks of ``BLOCK``, so a text of very many matches costs little more
+than its length. Spans are sorted once: what touches a candidate shows in the running maximum of the ends before
+it and in the next start; only candidates that touch another one are compared, with those within ``REACH`` places, as
+candidates have a greatest and a least length. The patterns use possessive repeats and anchors at the ends of earlier matches, which leave the leftmost
 matches as they are and make long runs of characters linear; what must not stand before a match is looked at
 behind its first character, so that most places are passed over by that character alone. Everything is a projection: no row is shuffled.
 
-Defined results: null is the empty text, with no span; repeated rows get equal spans; input columns pass through
-but for those named as a result.
+Defined results: null is the empty text, with no span; repeated rows get equal spans; an empty table gives an empty
+result; input columns pass through but for those named as a result.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ LOOSE = {
     "phone": r"[0-9(](?<![0-9A-Za-z+][0-9(])(?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])",
 }
 BLOCK = 256
+#: The longest candidate (an address, 413 characters) can touch at most 413 / 6 + 413 / 7 + 413 / 12 + 413 / 7 others
+#: on either side: candidates of one kind don't overlap, and have at least 6, 7, 12 and 7 characters.
+REACH = 256
+CHUNK = 1024
 EXAMPLES, PRECISION = 12_000, 0.98
 #: Cue words, by kind.
 CUES = {
@@ -297,15 +303,63 @@ def fit_pii(spark: SparkSession, labelled: DataFrame | None = None, precision: f
     return PiiModel(trees, thresholds)
 
 
+def with_running_max(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """``name``: for each place of the array of integers ``values`` the largest value up to it, itself included."""
+    x, tops = F.col(values), f"__tops_{name}"
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+    rows = rows.withColumn(tops, F.when(F.size(x) > 0, blocks))
+
+    def top(_: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        inside = F.array_max(F.slice(x, block * BLOCK + 1, i % BLOCK + 1))
+        return F.greatest(inside, F.coalesce(F.array_max(F.slice(F.col(tops), F.lit(1), block)), inside))
+
+    # A column that a lambda reads is also read outside of it, lest its expression be moved into the lambda.
+    return rows.withColumn(name, F.when(F.col(tops).isNotNull(), F.transform(x, top))).drop(tops)
+
+
+def with_free(rows: DataFrame) -> DataFrame:
+    """``__free``: the candidates of ``__all`` that touch no base span, by start; null without candidates."""
+    kept = rows.columns
+    entry = lambda base: lambda r: F.struct(r["start"].alias("start"), F.lit(base).alias("base"), r.alias("r"))
+    both = F.array_sort(F.concat(F.transform("__base", entry(1)), F.transform("__all", entry(0))))
+    rows = rows.withColumn("__both", F.when((F.size("__all") > 0) & (F.size("__base") > 0), both))
+    rows = rows.withColumn("__ends", F.transform("__both", lambda e: F.when(e["base"] == 1, e["r"]["end"]).otherwise(-1)))
+    rows = with_running_max(rows, "__ends", "__until")
+    far = 2**31 - 1
+    rows = rows.withColumn("__starts", F.reverse(F.transform("__both", lambda e: F.when(e["base"] == 1, -e["start"]).otherwise(-far))))
+    rows = with_running_max(rows, "__starts", "__next")
+    judged = F.zip_with("__both", F.zip_with("__until", F.reverse("__next"), lambda u, n: F.struct(u.alias("until"), (-n).alias("next"))), lambda e, s: F.struct(e["r"].alias("r"), ((e["base"] == 0) & (s["until"] <= e["start"]) & (s["next"] >= e["r"]["end"])).alias("free")))
+    free = F.transform(F.filter(judged, lambda e: e["free"]), lambda e: e["r"])
+    alone = F.array_sort(F.transform("__all", entry(0)))
+    return rows.select(*kept, F.when(F.size("__all") > 0, F.when(F.col("__both").isNull(), F.transform(alone, lambda e: e["r"])).otherwise(free)).alias("__free"))
+
+
+def with_best(rows: DataFrame) -> DataFrame:
+    """``__added``: of ``__passed`` (p, c; by start) the candidates that touch no likelier one; null without any."""
+    kept, passed = rows.columns, F.col("__passed")
+    rows = rows.withColumn("__ends", F.when(F.size(passed) > 0, F.transform(passed, lambda s: s["c"]["end"])))
+    rows = with_running_max(rows, "__ends", "__until")
+    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    stronger = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["c"]["start"] < b["c"]["start"]) | ((a["c"]["start"] == b["c"]["start"]) & (a["c"]["kind"] < b["c"]["kind"]))))
+
+    def placed(s: Column, i: Column) -> Column:
+        clear_before = (i == 0) | (F.coalesce(F.try_element_at("__until", F.greatest(i, F.lit(1))), F.lit(0)) <= s["c"]["start"])
+        clear_after = F.coalesce(F.try_element_at(passed, i + 2)["c"]["start"] >= s["c"]["end"], F.lit(True))
+        near = F.slice(passed, F.greatest(i + 1 - REACH, F.lit(1)), F.lit(2 * REACH + 1))
+        best = F.when(clear_before & clear_after, True).otherwise(~F.exists(near, lambda o: touches(o["c"], s["c"]) & stronger(o, s)))
+        return F.struct(s["c"].alias("c"), best.alias("best"))
+
+    marked = F.filter(F.transform(passed, placed), lambda s: s["best"])
+    return rows.select(*kept, F.when((F.size(passed) > 0) & F.col("__until").isNotNull(), F.transform(marked, lambda s: s["c"])).alias("__added"))
+
+
 def find_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
     """Every row with ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed, then start.
 
     An added span overlaps no base span and no likelier candidate.
     """
-    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rows = with_candidates(with_base(docs.withColumn("__text", text_of())))
-    free = F.filter("__all", lambda c: ~F.exists("__base", lambda b: touches(b, c)))
-    rows = rows.withColumn("__free", F.when(F.size("__all") > 0, free))
+    rows = with_free(with_candidates(with_base(docs.withColumn("__text", text_of()))))
     rows = rows.withColumn("__seen", F.when(F.size("__free") > 0, F.transform("__free", prepared)))
     rows = rows.withColumn("__seen", F.transform("__seen", lambda x: F.struct(x["c"].alias("c"), candidate_features(x).alias("f"))))
     rows = rows.withColumn("__judged", F.transform("__seen", lambda s: F.struct(probability(model.trees, [s["f"][n] for n in NAMES]).alias("p"), s["c"].alias("c"))))
@@ -317,10 +371,7 @@ def find_spans(docs: DataFrame, model: PiiModel) -> DataFrame:
             need = F.when(s["c"]["kind"] == k, t).otherwise(need)
         return s["p"] >= need
 
-    rows = rows.withColumn("__passed", F.filter("__judged", passes))
-    stronger = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["c"]["start"] < b["c"]["start"]) | ((a["c"]["start"] == b["c"]["start"]) & (a["c"]["kind"] < b["c"]["kind"]))))
-    best = F.filter("__passed", lambda s: ~F.exists("__passed", lambda o: touches(o["c"], s["c"]) & stronger(o, s)))
-    rows = rows.withColumn("__added", F.when(F.size("__passed") > 0, F.transform(best, lambda s: s["c"])))
+    rows = with_best(rows.withColumn("__passed", F.filter("__judged", passes)))
     plain = lambda spans: F.transform(spans, lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
     place = F.array(*map(F.lit, KINDS))
     keyed = F.transform(F.concat("__base", F.col("__added").cast(MATCH)), lambda r: F.struct(F.array_position(place, r["kind"]).alias("at"), r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
@@ -334,21 +385,32 @@ def digest_of(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """The rows of ``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    text = text_of()
-    found = find_spans(docs.withColumn("__doc", F.struct("*")).select("__doc", text.alias("text")), model).select("__doc", "text", F.array_sort(F.transform("spans", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))).alias("spans"))
+    """The rows of ``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one.
+
+    What stands between spans is put together from chunks of ``CHUNK`` characters, so that no place is counted from
+    the text's start.
+    """
+    found = find_spans(docs.withColumn("__doc", F.struct("*")).select("__doc", text_of().alias("text")), model)
+    by_start = F.array_sort(F.transform("spans", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"))))
+    some = F.size("spans") > 0
+    rows = found.select("__doc", "text", F.when(some, by_start).alias("spans"), F.when(some, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))).alias("__chunks"))
+    rows = with_running_max(rows.withColumn("__ends", F.transform("spans", lambda r: r["end"])), "__ends", "__until")
+    chunks = F.col("__chunks")
+    chunk = lambda k: F.coalesce(F.try_element_at(chunks, k + 1), F.lit(""))
+
+    def between(a: Column, b: Column) -> Column:
+        low, high = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        first = F.substring(chunk(low), a % CHUNK + 1, b - a)
+        rest = F.concat(F.array_join(F.slice(chunks, low + 2, F.greatest(high - low - 1, F.lit(0))), ""), F.substring(chunk(high), F.lit(1), b % CHUNK))
+        return F.when(b <= a, "").when(low == high, first).otherwise(F.concat(first, rest))
+
     # Where a span begins inside an earlier one, only what reaches beyond that one is cut out with it.
-    ends = F.transform("spans", lambda r, i: F.struct(r.alias("r"), F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda e: e["end"])), F.lit(0)).alias("before")))
-    rows = found.withColumn("__ends", ends)
-    pieces = F.transform(
-        "__ends",
-        lambda e: F.concat(
-            F.when(e["r"]["start"] > e["before"], F.substring("text", e["before"] + 1, e["r"]["start"] - e["before"])).otherwise(""),
-            F.when(e["r"]["start"] >= e["before"], F.concat(F.lit("<"), F.upper(e["r"]["kind"]), F.lit(">"))).otherwise(""),
-        ),
-    )
-    last = F.coalesce(F.array_max(F.transform("spans", lambda r: r["end"])), F.lit(0))
-    redacted = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last + 1, F.length("text")))).otherwise(F.col("__doc.text"))
+    def piece(r: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.try_element_at("__until", F.greatest(i, F.lit(1))))
+        return F.concat(between(before, r["start"]), F.when(r["start"] >= before, F.concat(F.lit("<"), F.upper(r["kind"]), F.lit(">"))).otherwise(""))
+
+    rows = rows.withColumn("__pieces", F.transform("spans", piece))
+    redacted = F.when(F.col("spans").isNotNull(), F.concat(F.array_join("__pieces", ""), between(F.element_at("__until", -1), F.length("text")))).otherwise(F.col("__doc.text"))
     values = {"text": redacted} | ({"n_chars": F.length(redacted).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[values.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
 
