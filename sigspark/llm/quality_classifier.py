@@ -15,8 +15,9 @@ a few ratios of words, lines and letters. A text's score is sigmoid(f).
 The fit takes at most ``TRUSTED`` positives and ``UNLABELLED`` documents, those with the lowest hashes of
 their ids; features of these, and nothing else, reach the driver. Every document is scored, whole.
 
-Defined results: a null text scores as the empty text, whose features are all zero; without positives every
-score is 0.5; repeated rows score alike; input columns pass through but for those named as a result.
+Defined results: a text without words (null, empty or blank) has nothing to speak for it and scores 0, whatever was
+learned; without positives every other score is 0.5; repeated rows score alike; an empty table gives an empty result;
+input columns pass through but for those named as a result. Rows without an id are scored, but never learned from.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def scores(model: Model, text: Column) -> Column:
         if not len(texts):
             return pd.Series([], dtype="float64")
         f = np.array([features(t) for t in texts]) @ weights
-        return pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
+        return pd.Series(np.where(texts.str.isspace() | (texts == ""), 0.0, 1 / (1 + np.exp(-np.clip(f, -30, 30)))))
 
     return score(text)
 
