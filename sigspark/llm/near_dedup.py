@@ -11,7 +11,8 @@
    leaders it is not connected with. Work and data grow with the number of (class, band) pairs.
 5. Leftovers: bands that still hold more than one component besides their leader's pairs. There all classes outside
    the band's largest component are compared with each other and with that component, in blocks of ``BLOCK_SETS``
-   sets or ``BLOCK_SHINGLES`` shingles; a pair is compared in the first band that it shares.
+   sets or ``BLOCK_SHINGLES`` shingles; a pair is compared in the first band that it shares. Registers are compared
+   first; pairs that may link are then verified on their sets as stars, but where they are many the blocks meet whole.
 6. The components of all links found give the result.
 
 A comparison: pairs already connected are skipped, as are those whose collision-corrected Jaccard estimate is far
@@ -49,6 +50,8 @@ EMPTY = 0xFFFF
 SIGMAS = 6.0
 #: Sets and shingles a block has (about, as sets are dealt by hashes), beyond which there are more blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Pairs a class, up to which a part's pairs leave it one by one to be verified; beyond, all its sets meet.
+FEW_PAIRS = 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -160,21 +163,52 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(build, "doc_id bigint, digest binary, shingles binary")
 
 
-def forest_of(frame: pd.DataFrame, tau_num: int, tau_den: int) -> list[tuple[int, int]]:
-    """Links between the classes of each part of ``frame``, as a spanning forest of what they connect.
+class Parts:
+    """Classes to be compared within each part of ``frame``.
 
-    A row is one class: ``part``, ``node``, ``label`` (its component so far), ``registers``, ``shingles``, ``side``
-    and ``band``. Pairs of one label are passed over, and where sides are given pairs of one side; so are those that
+    A row is one class: ``part``, ``node``, ``label`` (its component so far), ``registers``, ``n``, ``side`` and
+    ``band``. Pairs of one label are passed over, and where sides are given pairs of one side; so are those that
     share a band before ``band``, if that isn't negative.
     """
-    frame = frame.assign(n=frame["shingles"].str.len() // 8).sort_values(["part", "n", "node"], ignore_index=True)
-    n, side, band, nodes = frame["n"].to_numpy(), frame["side"].to_numpy(), frame["band"].to_numpy(), frame["node"].tolist()
-    regs = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
-    shingles = frame["shingles"].tolist()
-    filled = REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)  # registers that are full before others borrow
-    part = frame["part"].to_numpy()
-    last = np.searchsorted(part, part, "right")
-    tau, tree, out = tau_num / tau_den, frame["label"].to_numpy().copy(), []
+
+    def __init__(self, frame: pd.DataFrame, tau: tuple[int, int]):
+        self.frame = frame = frame.sort_values(["part", "n", "node"], ignore_index=True)
+        self.tau, self.n, self.nodes, self.part = tau, frame["n"].to_numpy(), frame["node"].tolist(), frame["part"].to_numpy()
+        self.first, self.last = np.searchsorted(self.part, self.part, "left"), np.searchsorted(self.part, self.part, "right")
+        #: The component of each row, as far as known.
+        self.tree = frame["label"].to_numpy().copy()
+
+    def near(self) -> Iterator[tuple[int, list[int]]]:
+        """For each row the later ones of its part that may link with it, likeliest first."""
+        side, band, n, last = self.frame["side"].to_numpy(), self.frame["band"].to_numpy(), self.n, self.last
+        regs = np.frombuffer(b"".join(self.frame["registers"]), np.uint16).reshape(len(n), REGISTERS)
+        filled = REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)  # registers that are full before others borrow
+        tau = self.tau[0] / self.tau[1]
+        for i in range(len(n)):
+            # Within the part sets rise in size; the later ones are too large to reach the threshold.
+            end = i + int(np.searchsorted(n[i : last[i]], n[i] * self.tau[1] // self.tau[0], "right"))
+            if end <= i + 1:
+                continue
+            apart = self.tree[i + 1 : end] != self.tree[i]
+            if side[i] >= 0:
+                apart &= side[i + 1 : end] != side[i]
+            others = np.flatnonzero(apart) + i + 1
+            if not len(others):
+                continue
+            same = regs[others] == regs[i]
+            if band[i] >= 0:
+                first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band[i]
+                others, same = others[first], same[first]
+            guess = estimate(same.sum(1), REGISTERS, n[i], n[others])
+            slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / filled[i]))
+            near = np.flatnonzero(guess >= tau - slack)
+            yield i, others[near[np.argsort(-guess[near], kind="stable")]].tolist()
+
+
+def forest_of(frame: pd.DataFrame, tau: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links in each part of ``frame`` (with ``shingles``), as a spanning forest of what they connect."""
+    parts = Parts(frame, tau)
+    shingles, tree, n, out = parts.frame["shingles"].tolist(), parts.tree, parts.n, []
     sets: dict[int, set] = {}
 
     def members(i: int) -> set:
@@ -182,36 +216,32 @@ def forest_of(frame: pd.DataFrame, tau_num: int, tau_den: int) -> list[tuple[int
             sets[i] = set(np.frombuffer(shingles[i], np.uint64).tolist())
         return sets[i]
 
-    for i in range(len(frame)):
-        # Within the part sets rise in size; the later ones are too large to reach the threshold.
-        end = i + int(np.searchsorted(n[i : last[i]], n[i] * tau_den // tau_num, "right"))
-        if i and last[i - 1] == i:
+    begin = 0
+    for i, others in parts.near():
+        if parts.first[i] != begin:
+            begin = parts.first[i]
             sets.clear()
-        if end <= i + 1:
-            continue
-        apart = tree[i + 1 : end] != tree[i]
-        if side[i] >= 0:
-            apart &= side[i + 1 : end] != side[i]
-        others = np.flatnonzero(apart) + i + 1
-        if not len(others):
-            continue
-        same = regs[others] == regs[i]
-        if band[i] >= 0:
-            first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band[i]
-            others, same = others[first], same[first]
-        guess = estimate(same.sum(1), REGISTERS, n[i], n[others])
-        slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / filled[i]))
-        near = np.flatnonzero(guess >= tau - slack)
-        for j in others[near[np.argsort(-guess[near], kind="stable")]].tolist():
+        for j in others:
             if tree[i] != tree[j]:
                 common = len(members(i) & members(j))
-                if tau_den * common >= tau_num * (int(n[i]) + int(n[j]) - common):
-                    same_part = slice(np.searchsorted(part, part[i]), last[i])
-                    tree[same_part][tree[same_part] == tree[j]] = tree[i]
-                    out.append((nodes[i], nodes[j]))
+                if tau[1] * common >= tau[0] * (int(n[i]) + int(n[j]) - common):
+                    own = tree[begin : parts.last[i]]
+                    own[own == tree[j]] = tree[i]
+                    out.append((parts.nodes[i], parts.nodes[j]))
     return out
 
 
+def screened(frame: pd.DataFrame, tau: tuple[int, int]) -> list[tuple[int, int | None, int | None]]:
+    """(part, a, b) of the pairs that may link; of a part with more than ``FEW_PAIRS`` a class only (part, None, None)."""
+    parts, found = Parts(frame, tau), {}
+    for i, others in parts.near():
+        pairs = found.setdefault(int(parts.part[i]), [])
+        if len(pairs) <= FEW_PAIRS * (parts.last[i] - parts.first[i]):
+            pairs += [(parts.nodes[i], parts.nodes[j]) for j in others]
+    size = dict(zip(parts.part.tolist(), (parts.last - parts.first).tolist(), strict=True))
+    return [row for p, pairs in found.items() for row in ([(p, a, b) for a, b in pairs] if len(pairs) <= FEW_PAIRS * size[p] else [(p, None, None)])]
+
+
 class Candidates:
     """The classes that share a band with another one, and the comparisons among them."""
 
@@ -296,25 +326,39 @@ class Candidates:
         dealt = dealt.withColumns({"block": block, "other": F.explode(meets)})
         low, high = F.least("block", "other"), F.greatest("block", "other")
         side = F.when(low == high, F.lit(-1)).otherwise((F.col("block") > F.col("other")).cast("int"))
-        return self._compared(dealt.select("node", F.xxhash64("key", low, high).alias("part"), side.alias("side"), "band", "label"))
+        rows = written(dealt.select("node", F.xxhash64("key", low, high).alias("part"), side.alias("side"), "band", "label"), "parts")
+        # Registers alone decide on most pairs; sets are sent for what is left.
+        tau = self.tau
 
-    def _compared(self, rows: DataFrame) -> DataFrame:
-        """Links of ``rows``: (node, part, side, band, label). Small parts share groups."""
-        rows = written(rows, "compared")
+        def screen(frame: pd.DataFrame) -> pd.DataFrame:
+            found = pd.DataFrame(screened(frame, tau), columns=["part", "a", "b"])
+            return found.astype({"a": "Int64", "b": "Int64"})
+
+        found = self._grouped(rows, ["registers", "n"]).applyInPandas(screen, "part bigint, a bigint, b bigint")
+        found = written(found, "screened")
+        pairs = found.where("b IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("leader")).distinct()
+        dense = found.where("b IS NULL").select("part").distinct()
+        links = self.stars(pairs)
+        return links if dense.isEmpty() else links.unionByName(self._compared(spread_join(rows, dense, "part", "node")))
+
+    def _grouped(self, rows: DataFrame, columns: list[str]):
+        """``rows`` with ``columns`` of their classes, a group or two of a task's size each; small parts share groups."""
         total = rows.join(self.sets.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
         groups = total // BLOCK_SHINGLES * 8 + 8
         sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
         # A group is one large part, or many small ones.
         alone = F.when(F.col("m") > BLOCK_SETS // 4, F.col("part")).otherwise(F.pmod("part", F.lit(groups)))
-        rows = spread_join(rows, sizes.select("part", alone.alias("group")), "part", "node").join(self.sets, "node")
+        rows = spread_join(rows, sizes.select("part", alone.alias("group")), "part", "node").join(self.sets.select("node", *columns), "node")
+        return rows.select("group", "part", "node", "label", "side", "band", *columns).groupBy("group")
 
+    def _compared(self, rows: DataFrame) -> DataFrame:
+        """Links of ``rows``: (node, part, side, band, label)."""
         tau = self.tau
 
         def verify(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(forest_of(frame, *tau), columns=["a", "b"])
+            return pd.DataFrame(forest_of(frame, tau), columns=["a", "b"])
 
-        kept = rows.select("group", "part", "node", "label", "registers", "shingles", "side", "band")
-        return kept.groupBy("group").applyInPandas(verify, "a bigint, b bigint")
+        return self._grouped(written(rows, "compared"), ["registers", "n", "shingles"]).applyInPandas(verify, "a bigint, b bigint")
 
     def connected(self) -> DataFrame:
         """(node, label) of every class that has a link."""
