@@ -5,24 +5,21 @@
    leading zeros (6 bits) and the ``MANTISSA`` bits that follow. Empty buckets borrow from others in a fixed order,
    so that bands of small sets are no weaker than those of large ones.
 2. Documents with the same shingle set become one class, so copies cost one row from here on.
-3. Bands of ``ROWS`` registers are hashed; classes that share a band are candidates.
-4. Stars: in each band the class of the least id is the leader, and the others are compared with it. First each class
-   meets the least of its leaders; then, in bands that still hold more than one component, every class meets the
-   leaders it is not connected with. Work and data grow with the number of (class, band) pairs.
-5. Leftovers: bands that still hold more than one component besides their leader's pairs. There all classes outside
-   the band's largest component are compared with each other and with that component, in blocks of ``BLOCK_SETS``
-   sets or ``BLOCK_SHINGLES`` shingles; a pair is compared in the first band that it shares. Registers are compared
-   first; pairs that may link are then verified on their sets as stars, but where they are many the blocks meet whole.
-6. The components of all links found give the result.
-
-A comparison: pairs already connected are skipped, as are those whose collision-corrected Jaccard estimate is far
-below the threshold; the rest are decided on their full sets. What leaves a group are links of a spanning forest,
-never all pairs. A task holds two blocks of sets.
+3. Bands of ``ROWS`` registers are hashed; classes that share a band are candidates. Every class is tied to
+   the least class it shares a band with, those least classes to each other where they meet in a band, and the
+   components of those ties are the candidate clusters.
+4. A cluster is dealt into blocks of ``BLOCK_SETS`` sets or ``BLOCK_SHINGLES`` shingles; each pair of blocks is one
+   group of a grouped map, which holds two blocks of sets. There a pair whose collision-corrected Jaccard estimate is far below the
+   threshold is passed over, pairs already connected are skipped, and the rest are compared on their
+   full sets. What leaves the group is a spanning forest of verified links, never all pairs.
+5. The components of the forests give the result.
 
 No candidate is dropped by a cap. What can be lost is a link that shares no band: with 64 bands of 8 rows a
 link at similarity 0.85 is missed with probability (1 - 0.85**8)**64 < 2e-9, at 0.8 with 8e-6; and one whose
 estimate is off by more than ``SIGMAS`` standard deviations. Pairs of similarity 0.4 share a band with 4 %.
 
+Cost: the rows that leave for the groups grow with the square of a cluster's distinct sets beyond one block.
+
 Defined results: null or blank texts have an empty set and link with nothing; texts of fewer words than a
 shingle count as one shingle; repeated rows, and rows that share an id, belong to one component and have one verdict;
 rows without an id link with nothing, have no component_id and are kept; an empty table gives an empty result. The
@@ -48,10 +45,8 @@ BANDS = REGISTERS // ROWS
 BUCKET_BITS = REGISTERS.bit_length() - 1
 EMPTY = 0xFFFF
 SIGMAS = 6.0
-#: Sets and shingles a block has (about, as sets are dealt by hashes), beyond which there are more blocks.
+#: Sets and shingles a block has (about, as sets are dealt by hashes), beyond which a cluster has more blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
-#: Pairs a class, up to which a part's pairs leave it one by one to be verified; beyond, all its sets meet.
-FEW_PAIRS = 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -163,52 +158,15 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(build, "doc_id bigint, digest binary, shingles binary")
 
 
-class Parts:
-    """Classes to be compared within each part of ``frame``.
-
-    A row is one class: ``part``, ``node``, ``label`` (its component so far), ``registers``, ``n``, ``side`` and
-    ``band``. Pairs of one label are passed over, and where sides are given pairs of one side; so are those that
-    share a band before ``band``, if that isn't negative.
-    """
-
-    def __init__(self, frame: pd.DataFrame, tau: tuple[int, int]):
-        self.frame = frame = frame.sort_values(["part", "n", "node"], ignore_index=True)
-        self.tau, self.n, self.nodes, self.part = tau, frame["n"].to_numpy(), frame["node"].tolist(), frame["part"].to_numpy()
-        self.first, self.last = np.searchsorted(self.part, self.part, "left"), np.searchsorted(self.part, self.part, "right")
-        #: The component of each row, as far as known.
-        self.tree = frame["label"].to_numpy().copy()
-
-    def near(self) -> Iterator[tuple[int, list[int]]]:
-        """For each row the later ones of its part that may link with it, likeliest first."""
-        side, band, n, last = self.frame["side"].to_numpy(), self.frame["band"].to_numpy(), self.n, self.last
-        regs = np.frombuffer(b"".join(self.frame["registers"]), np.uint16).reshape(len(n), REGISTERS)
-        filled = REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)  # registers that are full before others borrow
-        tau = self.tau[0] / self.tau[1]
-        for i in range(len(n)):
-            # Within the part sets rise in size; the later ones are too large to reach the threshold.
-            end = i + int(np.searchsorted(n[i : last[i]], n[i] * self.tau[1] // self.tau[0], "right"))
-            if end <= i + 1:
-                continue
-            apart = self.tree[i + 1 : end] != self.tree[i]
-            if side[i] >= 0:
-                apart &= side[i + 1 : end] != side[i]
-            others = np.flatnonzero(apart) + i + 1
-            if not len(others):
-                continue
-            same = regs[others] == regs[i]
-            if band[i] >= 0:
-                first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band[i]
-                others, same = others[first], same[first]
-            guess = estimate(same.sum(1), REGISTERS, n[i], n[others])
-            slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / filled[i]))
-            near = np.flatnonzero(guess >= tau - slack)
-            yield i, others[near[np.argsort(-guess[near], kind="stable")]].tolist()
-
-
-def forest_of(frame: pd.DataFrame, tau: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links in each part of ``frame`` (with ``shingles``), as a spanning forest of what they connect."""
-    parts = Parts(frame, tau)
-    shingles, tree, n, out = parts.frame["shingles"].tolist(), parts.tree, parts.n, []
+def forest_of(frame: pd.DataFrame, tau_num: int, tau_den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within each cluster of ``frame``, or between two blocks (column ``side``)."""
+    frame = frame.assign(n=frame["shingles"].str.len() // 8).sort_values(["cluster", "n", "node"], ignore_index=True)
+    n, side, nodes = frame["n"].to_numpy(), frame["side"].to_numpy(), frame["node"].tolist()
+    regs = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
+    shingles = frame["shingles"].tolist()
+    filled = REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)  # registers that are full before others borrow
+    tau, tree, out = tau_num / tau_den, np.arange(len(frame)), []
+    last = np.searchsorted(frame["cluster"].to_numpy(), frame["cluster"].to_numpy(), "right")
     sets: dict[int, set] = {}
 
     def members(i: int) -> set:
@@ -216,165 +174,50 @@ def forest_of(frame: pd.DataFrame, tau: tuple[int, int]) -> list[tuple[int, int]
             sets[i] = set(np.frombuffer(shingles[i], np.uint64).tolist())
         return sets[i]
 
-    begin = 0
-    for i, others in parts.near():
-        if parts.first[i] != begin:
-            begin = parts.first[i]
+    for i in range(len(frame)):
+        # Within the cluster sets rise in size; the later ones are too large to reach the threshold.
+        end = i + int(np.searchsorted(n[i : last[i]], n[i] * tau_den // tau_num, "right"))
+        if i and last[i - 1] == i:
             sets.clear()
-        for j in others:
+        if end <= i + 1:
+            continue
+        # Only those that no link has tied to this set yet, and between two blocks only the other block's.
+        apart = tree[i + 1 : end] != tree[i]
+        if side[i] >= 0:
+            apart &= side[i + 1 : end] != side[i]
+        others = np.flatnonzero(apart) + i + 1
+        if not len(others):
+            continue
+        agree = (regs[others] == regs[i]).sum(1)
+        guess = estimate(agree, REGISTERS, n[i], n[others])
+        slack = np.maximum(0.1, SIGMAS * np.sqrt(tau * (1 - tau) / filled[i]))
+        near = np.flatnonzero(guess >= tau - slack)
+        for j in others[near[np.argsort(-guess[near], kind="stable")]].tolist():
             if tree[i] != tree[j]:
                 common = len(members(i) & members(j))
-                if tau[1] * common >= tau[0] * (int(n[i]) + int(n[j]) - common):
-                    own = tree[begin : parts.last[i]]
-                    own[own == tree[j]] = tree[i]
-                    out.append((parts.nodes[i], parts.nodes[j]))
+                if tau_den * common >= tau_num * (int(n[i]) + int(n[j]) - common):
+                    tree[tree == tree[j]] = tree[i]
+                    out.append((nodes[i], nodes[j]))
     return out
 
 
-def screened(frame: pd.DataFrame, tau: tuple[int, int]) -> list[tuple[int, int | None, int | None]]:
-    """(part, a, b) of the pairs that may link; of a part with more than ``FEW_PAIRS`` a class only (part, None, None)."""
-    parts, found = Parts(frame, tau), {}
-    for i, others in parts.near():
-        pairs = found.setdefault(int(parts.part[i]), [])
-        if len(pairs) <= FEW_PAIRS * (parts.last[i] - parts.first[i]):
-            pairs += [(parts.nodes[i], parts.nodes[j]) for j in others]
-    size = dict(zip(parts.part.tolist(), (parts.last - parts.first).tolist(), strict=True))
-    return [row for p, pairs in found.items() for row in ([(p, a, b) for a, b in pairs] if len(pairs) <= FEW_PAIRS * size[p] else [(p, None, None)])]
-
-
-class Candidates:
-    """The classes that share a band with another one, and the comparisons among them."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, tau: tuple[int, int]):
-        self.tau = tau
-        spark = docs.sparkSession
-        part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("part")))
-        bands = classes.select("node", F.explode(part).alias("s")).select("node", F.col("s.i").alias("band"), F.xxhash64("s.i", "s.part").alias("key"))
-        shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("leader <> top")
-        shared = written(shared.select("key", "leader", "m"), "bands")
-        # Hot keys are dealt by salts. Each has more than 1 / most of all rows, so there are fewer than ``most``.
-        most = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-        fair = classes.count() * BANDS // most + 1
-        hot = F.broadcast(shared.where(F.col("m") > fair).select("key", F.ceil(F.col("m") / fair).cast("int").alias("salts")))
-        salts = F.coalesce("salts", F.lit(1))
-        dealt = bands.join(hot, "key", "left").select("node", "band", "key", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
-        leaders = shared.join(hot, "key", "left").select("key", "leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        #: (node, band, key, leader): a row for each band that a class shares.
-        self.pairs = written(dealt.join(leaders, ["key", "salt"]).drop("salt"), "pairs")
-        nodes = written(self.pairs.select("node").distinct(), "nodes")
-        ours = classes.join(nodes, "node").select("node", "digest", "registers", "n")
-        texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        found = _sets(texts, k).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("shingles").alias("shingles"))
-        #: (node, registers, n, shingles): rows of one id that have different texts keep their sets apart.
-        self.sets = written(ours.join(found, ["node", "digest"]).drop("digest"), "sets")
-        discard(shared, nodes)
-        self.labels: DataFrame | None = None
-
-    def learn(self, links: DataFrame) -> None:
-        """Connect what ``links`` (a, b) tie together: of earlier components only their labels take part."""
-        found = written(links, "links")
-        if self.labels is None:
-            self.labels = connected_components(found)
-        elif not found.isEmpty():
-            label = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-            ends = found.join(label("a"), "a", "left").join(label("b"), "b", "left")
-            tied = connected_components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
-            known = self.labels.unionByName(tied.select("node", F.col("node").alias("label")).join(self.labels.select("node"), "node", "left_anti"))
-            far = tied.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            labels = written(spread_join(known, far, "label", "node", "left").select("node", F.coalesce("far", "label").alias("label")), "components")
-            discard(self.labels, tied)
-            self.labels = labels
-        discard(found)
-
-    def labelled(self) -> DataFrame:
-        """``pairs`` with the components of class and leader."""
-        mine = spread_join(self.pairs, self.labels.withColumnsRenamed({"node": "leader", "label": "leads"}), "leader", "node", "left")
-        return mine.join(self.labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "leads": F.coalesce("leads", "leader")})
-
-    def stars(self, pairs: DataFrame) -> DataFrame:
-        """Links of (node, leader): chunks of a leader's classes, each with the leader's own set."""
-        pairs = pairs.where("node <> leader")
-        sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-        chunks = F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("chunks")
-        dealt = spread_join(pairs, sizes.select("leader", chunks), "leader", "node")
-        dealt = dealt.select("node", "leader", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-        heads = dealt.select("leader", "chunk").distinct().select(F.col("leader").alias("node"), "leader", "chunk", F.lit(0).alias("side"))
-        rows = dealt.withColumn("side", F.lit(1)).unionByName(heads)
-        rows = rows.select("node", F.xxhash64("leader", "chunk").alias("part"), "side", F.lit(-1).alias("band"), F.col("node").alias("label"))
-        return self._compared(rows)
-
-    def leftovers(self, rows: DataFrame) -> DataFrame:
-        """Links of (key, band, node, label), within each key."""
-        each = rows.join(self.sets.select("node", "n").dropDuplicates(["node"]), "node")
-        by_label = each.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-        largest = F.max(F.struct("m", "label")).alias("top")
-        sizes = by_label.groupBy("key").agg(largest, F.sum("m").alias("m"), F.sum("total").alias("total"), F.max_by("total", F.struct("m", "label")).alias("big"))
-        blocks = lambda m, total: F.greatest(F.ceil(m / BLOCK_SETS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
-        few = blocks(F.col("m"), F.col("total")) <= 1
-        others = blocks(F.col("m") - F.col("top.m"), F.col("total") - F.col("big"))
-        sizes = sizes.select(
-            "key",
-            F.col("top.label").alias("giant"),
-            F.when(few, F.lit(1)).otherwise(F.greatest(others, F.lit(1))).alias("others"),
-            F.when(few, F.lit(0)).otherwise(blocks(F.col("top.m"), F.col("big"))).alias("own"),
-        )
-        dealt = spread_join(each, sizes, "key", "node")
-        inside = (F.col("label") == F.col("giant")) & (F.col("own") > 0)
-        block = F.pmod(F.xxhash64("node"), F.when(inside, F.col("own")).otherwise(F.col("others"))).cast("int") + F.when(inside, F.col("others")).otherwise(0)
-        # Blocks of the largest component meet all others, but not each other.
-        meets = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)
-        dealt = dealt.withColumns({"block": block, "other": F.explode(meets)})
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        side = F.when(low == high, F.lit(-1)).otherwise((F.col("block") > F.col("other")).cast("int"))
-        rows = written(dealt.select("node", F.xxhash64("key", low, high).alias("part"), side.alias("side"), "band", "label"), "parts")
-        # Registers alone decide on most pairs; sets are sent for what is left.
-        tau = self.tau
-
-        def screen(frame: pd.DataFrame) -> pd.DataFrame:
-            found = pd.DataFrame(screened(frame, tau), columns=["part", "a", "b"])
-            return found.astype({"a": "Int64", "b": "Int64"})
-
-        found = self._grouped(rows, ["registers", "n"]).applyInPandas(screen, "part bigint, a bigint, b bigint")
-        found = written(found, "screened")
-        pairs = found.where("b IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("leader")).distinct()
-        dense = found.where("b IS NULL").select("part").distinct()
-        links = self.stars(pairs)
-        return links if dense.isEmpty() else links.unionByName(self._compared(spread_join(rows, dense, "part", "node")))
-
-    def _grouped(self, rows: DataFrame, columns: list[str]):
-        """``rows`` with ``columns`` of their classes, a group or two of a task's size each; small parts share groups."""
-        total = rows.join(self.sets.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-        groups = total // BLOCK_SHINGLES * 8 + 8
-        sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-        # A group is one large part, or many small ones.
-        alone = F.when(F.col("m") > BLOCK_SETS // 4, F.col("part")).otherwise(F.pmod("part", F.lit(groups)))
-        rows = spread_join(rows, sizes.select("part", alone.alias("group")), "part", "node").join(self.sets.select("node", *columns), "node")
-        return rows.select("group", "part", "node", "label", "side", "band", *columns).groupBy("group")
-
-    def _compared(self, rows: DataFrame) -> DataFrame:
-        """Links of ``rows``: (node, part, side, band, label)."""
-        tau = self.tau
-
-        def verify(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(forest_of(frame, tau), columns=["a", "b"])
-
-        return self._grouped(written(rows, "compared"), ["registers", "n", "shingles"]).applyInPandas(verify, "a bigint, b bigint")
-
-    def connected(self) -> DataFrame:
-        """(node, label) of every class that has a link."""
-        first = self.pairs.groupBy("node").agg(F.min("leader").alias("leader"))
-        self.learn(self.stars(first))
-        apart = written(self.labelled().where("label <> leads").select("node", "leader").distinct(), "apart")
-        if not apart.isEmpty():
-            self.learn(self.stars(apart))
-        # Leaders have met everyone of their band.
-        left = self.labelled().where("node <> leader").select("key", "band", "node", "label")
-        mixed = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = written(spread_join(left, mixed, "key", "node"), "leftovers")
-        if not left.isEmpty():
-            self.learn(self.leftovers(left))
-        discard(apart, left, self.pairs, self.sets)
-        return self.labels
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(node, key, b): a row for each band that a class shares with others; ``b`` is the least node of the band."""
+    spark = classes.sparkSession
+    part = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("part")))
+    bands = classes.select("node", F.explode(part).alias("band")).select("node", F.xxhash64("band.i", "band.part").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("b <> last")
+    shared = written(shared.select("key", "b", "m"), "bands")
+    # Hot keys are dealt by salts. Each has more than 1 / most of all rows, so there are fewer than ``most``.
+    most = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    fair = classes.count() * BANDS // most + 1
+    hot = F.broadcast(shared.where(F.col("m") > fair).select("key", F.ceil(F.col("m") / fair).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = bands.join(hot, "key", "left").select("node", "key", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+    least = shared.join(hot, "key", "left").select("key", "b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    tied = written(dealt.join(least, ["key", "salt"]).drop("salt"), "tied")
+    discard(shared)
+    return tied
 
 
 def near_components(docs: DataFrame, k: int = 5, tau: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -388,7 +231,45 @@ def near_components(docs: DataFrame, k: int = 5, tau: tuple[int, int] = (80, 100
     classes = written(named.agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("n").alias("n")), "classes")
     signed = written(whole.select("doc_id", "n", "digest"), "signed")
     discard(whole)
-    linked = Candidates(docs, classes, k, tau).connected()
+
+    tied = shared_bands(classes)
+    # One tie for each class, to the least class of its bands; then those least classes of a band are tied to each other.
+    least = tied.groupBy("node").agg(F.min("b").alias("least"))
+    met = written(tied.join(least, "node").select("key", "least").distinct(), "met")
+    lowest = met.groupBy("key").agg(F.min("least").alias("b"))
+    ties = spread_join(met, lowest, "key", "least").select(F.col("least").alias("a"), "b").unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    clusters = connected_components(ties.where("a <> b").distinct())
+    discard(tied, met)
+
+    # Clusters of one block share groups; of others each pair of blocks is a group.
+    member = clusters.join(classes, "node").select("node", "digest", F.col("label").alias("cluster"), "registers", "n")
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS), F.lit(1)).cast("int")
+    sizes = written(sizes.select("cluster", "total", blocks.alias("blocks")), "clusters")
+    member = written(spread_join(member, sizes.drop("total"), "cluster", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    nodes = written(member.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    # Rows of one id that have different texts keep their sets apart; repeated rows have one set.
+    sets = _sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), k)
+    sets = sets.groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("shingles").alias("shingles"))
+    whole = (sizes.agg(F.sum("total")).first()[0] or 0) // BLOCK_SHINGLES * 8 + 8
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = member.join(sets, ["node", "digest"]).select("cluster", "node", "registers", "shingles", "blocks", "block", other)
+    rows = rows.select(
+        F.when(F.col("blocks") > 1, F.xxhash64("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(whole))).alias("group"),
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        "cluster",
+        "node",
+        "registers",
+        "shingles",
+        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
+    )
+
+    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(forest_of(frame, *tau), columns=["a", "b"])
+
+    linked = connected_components(rows.groupBy("group", "low", "high").applyInPandas(verify, "a bigint, b bigint"))
+    discard(sizes, member, nodes)
     # Back from classes to rows; a row's own id may name the class of another text with that id.
     component = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     out = spread_join(signed, component, "digest", "doc_id", "left")
