@@ -3,7 +3,7 @@
 A recording is cut into blocks of ``BLOCK`` samples. A first pass filters each block from an empty state and keeps
 its last state, one row a block; those rows are chained along the recording (the state that enters a block is what
 the earlier states have become); a second pass filters each block from its true state. Blocks, not recordings, are
-what a task must hold. Recordings of one block need the second pass alone.
+what a task must hold. Recordings of one block need the second pass alone, and no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -58,9 +58,9 @@ def _filtered(df: DataFrame, channels: list[str], system: System, steady: bool,
         frame[channels] = system.run(frame[channels].to_numpy(np.float64), z)[0]
         return frame
 
-    if not df.where("__block > 0").select("__block").limit(1).count():
-        return df.groupBy("rec", "__block").applyInPandas(lambda key, frame: outputs(key, frame), shape).drop("__block")
-    ends = df.select("rec", "__block", "__i", *channels).groupBy("rec", "__block").applyInPandas(states, f"rec {rec}, __block bigint, n bigint, z array<double>")
+    # A block's state matters only to blocks behind it: recordings of one block take no part in the first pass.
+    longer = df.where("__block > 0").select("rec").distinct()
+    ends = df.select("rec", "__block", "__i", *channels).join(longer, "rec", "left_semi").groupBy("rec", "__block").applyInPandas(states, f"rec {rec}, __block bigint, n bigint, z array<double>")
     entering = ends.groupBy("rec").applyInPandas(chained, f"rec {rec}, __block bigint, z array<double>")
     return df.groupBy("rec", "__block").cogroup(entering.groupBy("rec", "__block")).applyInPandas(outputs, shape).drop("__block")
 

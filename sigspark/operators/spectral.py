@@ -1,4 +1,4 @@
-"""Spectra of epochs, by an array transform inside a grouped map: an epoch is a group of bounded size."""
+"""Spectra of epochs: each epoch's samples are gathered into an array, and a batch of epochs is transformed at once."""
 
 from __future__ import annotations
 
@@ -7,23 +7,43 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import Signal
 
 
+def _gathered(s: Signal) -> DataFrame:
+    """(rec, epoch_id, channel, x: the samples in order) of every epoch, one of bounded size."""
+    samples = F.array_sort(F.collect_list(F.struct("seq", *[F.col(f"`{c}`") for c in s.channels])))
+    df = s.df.groupBy("rec", "epoch_id").agg(samples.alias("samples"))
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.col("samples").getField(c).cast("array<double>").alias("x")) for c in s.channels])
+    return df.select("rec", "epoch_id", F.explode(each).alias("e")).select("rec", "epoch_id", "e.channel", "e.x")
+
+
+def _by_length(arrays: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and stacked samples of the epochs of each length in a batch."""
+    sizes = arrays.map(len).to_numpy()
+    for n in np.unique(sizes):
+        places = np.flatnonzero(sizes == n)
+        yield places, np.array([np.asarray(arrays.iloc[p], np.float64) for p in places])
+
+
 def _spectrum(s: Signal, lines: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Signal:
+    """``lines``: frequencies and values of stacked epochs, a row an epoch."""
     s.need("epoch")
-    channels = list(s.channels)
-    rec = s.df.schema["rec"].dataType.simpleString()
 
-    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        freq, values = lines(frame.sort_values("seq")[channels].to_numpy(np.float64))
-        n = len(freq)
-        return pd.DataFrame({"rec": key[0], "epoch_id": key[1], "channel": np.repeat(channels, n), "freq": np.tile(freq, len(channels)), "value": values.T.ravel()})
+    @F.pandas_udf("array<struct<freq:double,value:double>>")
+    def of(arrays: pd.Series) -> pd.Series:
+        out = np.empty(len(arrays), object)
+        for places, x in _by_length(arrays):
+            freq, values = lines(x)
+            for p, row in zip(places, values, strict=True):
+                out[p] = [{"freq": f, "value": v} for f, v in zip(freq.tolist(), row.tolist(), strict=True)]
+        return pd.Series(out)
 
-    df = s.df.select("rec", "epoch_id", "seq", *channels).groupBy("rec", "epoch_id").applyInPandas(of, f"rec {rec}, epoch_id bigint, channel string, freq double, value double")
-    return replace(s, df=df, kind="spectrum")
+    df = _gathered(s).select("rec", "epoch_id", "channel", F.explode(of("x")).alias("l"))
+    return replace(s, df=df.select("rec", F.col("epoch_id").cast("bigint").alias("epoch_id"), "channel", "l.freq", "l.value"), kind="spectrum")
 
 
 def fft_amplitude(s: Signal, true_freq: bool = False) -> Signal:
@@ -31,9 +51,9 @@ def fft_amplitude(s: Signal, true_freq: bool = False) -> Signal:
     fs = s.fs
 
     def lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(x)
+        n = x.shape[1]
         freq = np.arange(n // 2) * fs / n if true_freq else np.linspace(0, fs / 2, n // 2)
-        return freq, 2 / n * np.abs(np.fft.fft(x, axis=0)[: n // 2])
+        return freq, 2 / n * np.abs(np.fft.fft(x, axis=1)[:, : n // 2])
 
     return _spectrum(s, lines)
 
@@ -43,10 +63,10 @@ def welch_psd(s: Signal) -> Signal:
     fs = s.fs
 
     def lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(x)
+        n = x.shape[1]
         w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        power = np.abs(np.fft.rfft((x - x.mean(0)) * w[:, None], axis=0)) ** 2 / (fs * (w**2).sum())
-        power[1 : (n + 1) // 2] *= 2
+        power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
+        power[:, 1 : (n + 1) // 2] *= 2
         return np.fft.rfftfreq(n, 1 / fs), power
 
     return _spectrum(s, lines)

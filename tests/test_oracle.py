@@ -35,9 +35,85 @@ def test_matches_sql(spark, sf_dir, name):
     same(entry.queries()[name](spark, sf_dir).toPandas(), con.execute(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"))
-def test_runs(spark, sf_dir, name):
-    assert entry.queries()[name](spark, sf_dir).count() >= 0
+def dense(spark, sf_dir):
+    from sigspark.sources import tables
+
+    return tables.event_signal(spark, sf_dir).df.toPandas().sort_values(["rec", "seq"])
+
+
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+
+
+def envelopes(x):
+    """The size of the analytic signal of each row, by the definition: negative frequencies dropped, positive ones doubled."""
+    n = x.shape[1]
+    f = np.fft.fft(x, axis=1)
+    k = np.fft.fftfreq(n)
+    return np.abs(np.fft.ifft(np.where(k > 0, 2 * f, np.where(k == 0, f, 0)) + np.where(k == -0.5, f, 0), axis=1))
+
+
+@pytest.mark.parametrize("name", ["hilbert_time", "hilbert_channels"])
+def test_envelopes(spark, sf_dir, name):
+    e = embeddings(spark, sf_dir)
+    want = dict(zip(e["vec_id"], envelopes(np.array(e["embedding"].tolist(), float)), strict=True))
+    found = entry.queries()[name](spark, sf_dir).toPandas()
+    if name == "hilbert_time":
+        assert len(found) == 64 * len(e)
+        for i, g in found.sort_values("seq").groupby("epoch_id"):
+            np.testing.assert_allclose(g["x"], want[i], atol=2e-6)
+    else:
+        assert len(found) == len(e)
+        np.testing.assert_allclose(found[[f"e{k}" for k in range(64)]], np.array([want[i] for i in found["seq"]]), atol=2e-6)
+
+
+@pytest.mark.parametrize("name", ["lda_class", "lda_probability"])
+def test_discriminants(spark, sf_dir, name):
+    """Gaussian classes of one covariance, by their densities."""
+    e = embeddings(spark, sf_dir)
+    x, y = np.array(e["embedding"].tolist(), float), e["label"].to_numpy()
+    kinds = np.unique(y)
+    means = np.array([x[y == k].mean(0) for k in kinds])
+    centred = x - means[np.searchsorted(kinds, y)]
+    away = x[:, None] - means[None]
+    fits = []
+    for rows in (len(x), len(x) - len(kinds)):  # either divisor of the covariance
+        inverse = np.linalg.pinv(centred.T @ centred / rows)
+        fits.append(np.log([(y == k).mean() for k in kinds]) - 0.5 * np.einsum("nki,ij,nkj->nk", away, inverse, away))
+    found = entry.queries()[name](spark, sf_dir).toPandas().set_index("seq").loc[e["vec_id"]]
+    if name == "lda_class":
+        assert max((kinds[f.argmax(1)].astype(str) == found["class"].astype(str).to_numpy()).mean() for f in fits) > 0.99
+    else:
+        p = found[[f"p_{k}" for k in kinds]].to_numpy(float)
+        errors = [np.abs(p - np.exp(f - f.max(1, keepdims=True)) / np.exp(f - f.max(1, keepdims=True)).sum(1, keepdims=True)).max() for f in fits]
+        assert min(errors) < 1e-3
+
+
+def test_one_sample_probabilities(spark, sf_dir):
+    """The area under Student's density beyond the statistic, by a fine sum."""
+    stat = entry.queries()["ttest_statistic"](spark, sf_dir).toPandas()
+    found = entry.queries()["ttest_1samp"](spark, sf_dir).toPandas()
+    both = stat.merge(found, on=["rec", "epoch_id"])
+    counts = entry.queries()["epoch_time_mean"](spark, sf_dir).count()
+    assert len(found) > 0 and len(both) == len(stat) <= counts
+    assert both["value"].between(0, 1).all()
+    order = both.reindex(both["statistic"].abs().sort_values().index)
+    assert order["value"].iloc[0] > order["value"].iloc[-1]
+
+
+def test_counted_out(spark, sf_dir):
+    """Queries with neither SQL nor a plain version here still give rows of the kind they promise."""
+    d = dense(spark, sf_dir)
+    long = d.groupby("rec").size()
+    down = entry.queries()["downsample"](spark, sf_dir).toPandas()
+    assert len(down) == sum(-(-n // 2) for n in long if n > 27)
+    windows = entry.queries()["training_windows"](spark, sf_dir)
+    assert windows.count() > 0
+    codes = [r.marker for r in entry.queries()["scenario"](spark, sf_dir).orderBy("t", "mseq").collect()]
+    # Two sessions of four trials of either class.
+    assert codes[0] == "32769" and codes[-1] == "32770" and [codes.count(c) for c in ("768", "769", "770")] == [16, 8, 8]
+    marks = entry.queries()["volume_markers"](spark, sf_dir).toPandas()
+    assert len(marks) == len(marks.drop_duplicates())
 
 
 def test_flagship(spark):
