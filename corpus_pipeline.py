@@ -1,8 +1,9 @@
 """A training-data pipeline of five stages over ``documents``; each stage reads what its predecessor kept.
 
 All but the last stage return the columns of ``documents``. Null texts are empty texts throughout: the quality
-stage judges them like any text, copies of the empty text are copies like others, empty shingle sets link with
-nothing, and packing closes an empty text with one id. Columns with names of a stage's results pass through.
+stage rejects texts without words, copies of the empty text are copies like others, empty shingle sets link with
+nothing, and packing closes an empty text with one id. Rows without an id are judged like others by the first two stages
+and kept by the third. An empty table gives no pieces. Columns with names of a stage's results pass through.
 """
 
 from __future__ import annotations
@@ -50,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL expresses neither the classifier nor the tokens; tests hold the stages against plain versions.
+#: SQL expresses neither the classifier nor the tokens; the stages' operators are tested against plain versions.
 ORACLE_SQL = None
