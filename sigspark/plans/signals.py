@@ -236,13 +236,13 @@ query(
 )
 query(
     "nearest_latency",
-    f"""WITH {EVENTS}, n AS (SELECT rec, seq, t AS nt FROM sig WHERE seq % 5 = 0), m AS (SELECT rec, event_id, t FROM ev WHERE event_type = 'signup'),
-    p AS (SELECT m.rec, m.event_id, m.t, n.seq AS ps, n.nt AS pt FROM m ASOF LEFT JOIN n ON m.rec = n.rec AND m.t >= n.nt),
-    q AS (SELECT p.*, n.seq AS ns, n.nt FROM p ASOF LEFT JOIN n ON p.rec = n.rec AND p.t <= n.nt)
-    SELECT rec, event_id, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt < nt - t) THEN ps ELSE ns END AS seq FROM q""",
+    f"""WITH {EVENTS}, n AS (SELECT rec, event_id AS other, t AS nt FROM ev WHERE event_type <> 'signup'), m AS (SELECT rec, event_id, t FROM ev WHERE event_type = 'signup'),
+    p AS (SELECT m.rec, m.event_id, m.t, n.other AS ps, n.nt AS pt FROM m ASOF LEFT JOIN n ON m.rec = n.rec AND m.t >= n.nt),
+    q AS (SELECT p.*, n.other AS ns, n.nt FROM p ASOF LEFT JOIN n ON p.rec = n.rec AND p.t <= n.nt)
+    SELECT rec, event_id, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt < nt - t) THEN ps ELSE ns END AS other FROM q""",
 )(
-    lambda spark, d: joins.nearest(tables.events(spark, d).where("event_type = 'signup'").select("rec", "event_id", "t"), tables.event_signal(spark, d).df.where("seq % 5 = 0").select("rec", "t", "seq"), 10 * DAY).select(
-        "rec", "event_id", F.col("found.seq").alias("seq")
+    lambda spark, d: joins.nearest(tables.events(spark, d).where("event_type = 'signup'").select("rec", "event_id", "t"), tables.events(spark, d).where("event_type <> 'signup'").select("rec", "t", F.col("event_id").alias("other")), 10 * DAY).select(
+        "rec", "event_id", F.col("found.other").alias("other")
     )
 )
 
