@@ -10,10 +10,12 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.filters import butter_bandpass, from_coefficients
 from ..spec import Signal
+from .iir import zero_phase
 from .joins import latest
 
 
@@ -119,35 +121,59 @@ def r_peaks(s: Signal, ecg: str, detector: PeakDetector, stride: int = 50, min_h
     d = F.sequence(F.greatest(F.floor((F.col("__j") - length) / stride) + 1, F.lit(0)), F.floor(F.col("__j") / stride))
     rows = s.df.select("rec", "seq", F.col(f"`{ecg}`").cast("float").alias("x")).join(first, "rec").withColumn("__j", F.col("seq") - F.col("__first"))
     rows = rows.withColumn("d", F.explode(d)).where(F.col("d") * stride + length <= F.col("__last") - F.col("__first"))
-    rec = s.df.schema["rec"].dataType.simpleString()
+    whole = rows.groupBy("rec", "d").agg(F.array_sort(F.collect_list(F.struct("seq", "x"))).alias("w")).where(F.size("w") == length)
+    windows = whole.select("rec", "d", F.col("w")[0]["seq"].alias("begin"), F.col("w.x").alias("x"))
 
-    def judge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        x = frame["x"].to_numpy(np.float32)
-        if len(x) != length:
-            return pd.DataFrame({"rec": [], "d": [], "begin": [], "x": [], "p": []})
-        p = detector.predict(scale_window(x)[None].astype(np.float64))[0]
-        return pd.DataFrame({"rec": [key[0]], "d": [key[1]], "begin": [frame["seq"].iloc[0]], "x": [x.tolist()], "p": [p.tolist()]})
+    @F.pandas_udf("array<double>")
+    def judge(xs: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype=object)
+        scaled = np.stack([scale_window(np.asarray(x, np.float32)) for x in xs])
+        return pd.Series(list(detector.predict(scaled.astype(np.float64))))
 
-    judged = rows.groupBy("rec", "d").applyInPandas(judge, f"rec {rec}, d bigint, begin bigint, x array<float>, p array<double>")
+    judged = windows.withColumn("p", judge("x"))
     parts = -(-length // stride)
     # A window takes part in the means of the windows after it that overlap it.
-    spread = judged.withColumn("at", F.explode(F.sequence(F.col("d"), F.col("d") + parts - 1)))
-
-    def decide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["d"] == key[1]]
-        if not len(own):
-            return pd.DataFrame({"rec": [], "seq": []})
-        total, count = np.zeros(length), np.zeros(length)
-        for row_d, p in zip(frame["d"], frame["p"], strict=True):
-            shift = (key[1] - int(row_d)) * stride
-            total[: length - shift] += np.asarray(p)[shift:]
-            count[: length - shift] += 1
-        found = peaks_of(np.asarray(own["x"].iloc[0]), total / count, threshold, least)
-        found = found[found < stride]
-        return pd.DataFrame({"rec": [key[0]] * len(found), "seq": found + int(own["begin"].iloc[0])})
-
-    return spread.groupBy("rec", "at").applyInPandas(decide, f"rec {rec}, seq bigint")
+    others = judged.select("rec", F.explode(F.sequence(F.col("d"), F.col("d") + parts - 1)).alias("at"), "d", "begin", F.when(F.col("d") == F.col("at"), F.col("x")).alias("x"), "p")
+    others = others.withColumn("at", F.col("at").cast("bigint"))
+    own = [F.max(F.when(F.col("d") == F.col("at"), F.col(c))).alias(c) for c in ("begin", "x")]
+    spread = others.groupBy("rec", "at").agg(*own, F.array_sort(F.collect_list(F.struct("d", "p"))).alias("w")).where("begin IS NOT NULL")
+
+    @F.pandas_udf("array<bigint>")
+    def decide(ats: pd.Series, xs: pd.Series, ds: pd.Series, ps: pd.Series) -> pd.Series:
+        out = []
+        for at, x, d, p in zip(ats, xs, ds, ps, strict=True):
+            total, count = np.zeros(length), np.zeros(length)
+            for one, scores in zip(d, p, strict=True):
+                shift = (int(at) - int(one)) * stride
+                total[: length - shift] += np.asarray(scores)[shift:]
+                count[: length - shift] += 1
+            found = peaks_of(np.asarray(x), total / count, threshold, least)
+            out.append(found[found < stride])
+        return pd.Series(out, dtype=object)
+
+    found = spread.withColumn("found", decide("at", "x", F.col("w.d"), F.col("w.p")))
+    return found.select("rec", "begin", F.explode("found").alias("at")).select("rec", (F.col("at") + F.col("begin")).alias("seq"))
+
+
+def ecg_of(channels: tuple[str, ...]) -> str:
+    """The first channel named ECG or EKG, in capitals or not."""
+    found = [c for c in channels if c.upper() in ("ECG", "EKG")]
+    if not found:
+        raise ValueError("no channel is named ECG or EKG")
+    return found[0]
+
+
+def _cycles(s: Signal, peaks: DataFrame, min_wins: int, max_wins: int, max_hc: float) -> tuple[DataFrame, Column, WindowSpec]:
+    """Rows with their heart cycle and place in it, whether enough cycles reach that place, and the cycles' window."""
+    longest = round(max_hc * s.fs)
+    numbered = peaks.select("rec", F.col("seq").alias("peak"), F.col("seq").cast("double").alias("t"), F.row_number().over(Window.partitionBy("rec").orderBy("seq")).alias("cycle"))
+    rows = latest(s.df.withColumn("__t", F.col("t")).withColumn("t", F.col("seq").cast("double")), numbered, 16.0 * longest, "__peak")
+    place = F.col("seq") - F.col("__peak.peak")
+    inside = F.coalesce(place < longest, F.lit(False))
+    rows = rows.withColumns({"t": F.col("__t"), "__cycle": F.col("__peak.cycle"), "__p": F.when(inside, place).otherwise(-1 - F.col("seq") % longest)})
+    over = Window.partitionBy("rec", "__p").orderBy("__cycle").rangeBetween(1 - max_wins, 0)
+    return rows, (F.col("__p") >= 0) & (F.count(F.lit(1)).over(over) > min_wins), over
 
 
 def pulse_correction(s: Signal, ecg: str, peaks: DataFrame, min_wins: int = 10, max_wins: int = 20, max_hc: float = 1.5, all_channels: bool = False) -> Signal:
@@ -157,13 +183,34 @@ def pulse_correction(s: Signal, ecg: str, peaks: DataFrame, min_wins: int = 10,
     ``peaks``: (rec, seq) of R peaks. Places of ``max_hc`` seconds and later, and those before the first peak, pass.
     """
     s.need("signal")
-    longest = round(max_hc * s.fs)
-    numbered = peaks.select("rec", F.col("seq").alias("peak"), F.col("seq").cast("double").alias("t"), F.row_number().over(Window.partitionBy("rec").orderBy("seq")).alias("cycle"))
-    rows = latest(s.df.withColumn("__t", F.col("t")).withColumn("t", F.col("seq").cast("double")), numbered, 16.0 * longest, "__peak")
-    place = F.col("seq") - F.col("__peak.peak")
-    inside = F.coalesce(place < longest, F.lit(False))
-    rows = rows.withColumns({"t": F.col("__t"), "__cycle": F.col("__peak.cycle"), "__p": F.when(inside, place).otherwise(-1 - F.col("seq") % longest)})
-    over = Window.partitionBy("rec", "__p").orderBy("__cycle").rangeBetween(1 - max_wins, 0)
-    enough = inside & (F.count(F.lit(1)).over(over) > min_wins)
+    rows, enough, over = _cycles(s, peaks, min_wins, max_wins, max_hc)
     changing = [c for c in s.channels if c != ecg] if all_channels else list(s.channels)[: list(s.channels).index(ecg)]
     return replace(s, df=rows).project({c: F.when(enough, v - F.avg(v).over(over)).otherwise(v) if c in changing else v for c, v in s.values().items()})
+
+
+def pulse_artifact(
+    s: Signal, detector: PeakDetector, markers: DataFrame | None = None, start_marker: str | None = "Start of GA subtraction", ecg: str | None = None, stride: int = 50,
+    min_wins: int = 10, max_wins: int = 20, min_hc: float = 0.4, max_hc: float = 1.5, threshold: float = 0.05, filter_ecg: bool = False, all_channels: bool = False,
+) -> tuple[Signal, DataFrame]:
+    """(corrected signal, markers) from detection to subtraction, from the first start marker on; samples before pass.
+
+    ``filter_ecg`` lets the detector hear 0.5 to 30 Hz, filtered without phase over the whole recording. Markers are
+    (rec, t, marker): ``Start of R peak detection``, ``R peak fixed`` for each final peak, and ``Start of PA
+    subtraction``. Both results run the detector; ``r_peaks`` and ``pulse_correction`` with written peaks run it once.
+    """
+    s.need("signal")
+    ecg = ecg or ecg_of(s.channels)
+    starts = start_of(s, markers, start_marker)
+    heard = s.project({ecg: F.col(f"`{ecg}`")})
+    if filter_ecg:
+        heard = zero_phase(heard, from_coefficients(*butter_bandpass(4, 0.5, 30.0, s.fs)))
+    gated = replace(heard, df=heard.df.join(starts.select("rec", "__start"), "rec").where(F.col("seq") >= F.col("__start")).drop("__start"))
+    peaks = r_peaks(gated, ecg, detector, stride, min_hc, threshold)
+    corrected = pulse_correction(s, ecg, peaks, min_wins, max_wins, max_hc, all_channels)
+    rows, enough, _ = _cycles(s, peaks, min_wins, max_wins, max_hc)
+    named = lambda df, name: df.select("rec", "t", F.lit(name).alias("marker"))
+    times = s.df.select("rec", "seq", "t")
+    detecting = times.join(starts, "rec").groupBy("rec").agg(F.min_by("t", F.when(F.col("seq") >= F.col("__start"), F.col("seq"))).alias("t"), (F.max("seq") - F.min("__start")).alias("n")).where(F.col("n") >= detector.length)
+    subtracting = rows.withColumn("__on", enough).where("__on").groupBy("rec").agg(F.min_by("t", "seq").alias("t"))
+    out = named(detecting, "Start of R peak detection").unionByName(named(times.join(peaks, ["rec", "seq"]), "R peak fixed"))
+    return corrected, out.unionByName(named(subtracting, "Start of PA subtraction"))

@@ -2,48 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+from itertools import product
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import Signal
 
 
 def marker_code(marker: Column) -> Column:
-    """A recorder's marker as a number: its last three characters if it ends in a digit, 13 for Sync; else null."""
-    digits = F.trim(F.right(marker, F.lit(3)))
-    return F.when(marker.startswith("Sync"), 13).when(marker.rlike("[0-9]$"), F.expr("1") * F.regexp_extract(digits, "([0-9]+)$", 1).cast("int"))
+    """A recorder's marker as a number: its last three characters if it ends in a digit, else 13 for Sync. Others, and
+    those that begin with New, are null."""
+    digits = F.regexp_extract(F.right(marker, F.lit(3)), "([0-9]+)$", 1)
+    return F.when(marker.startswith("New"), None).when(marker.rlike("[0-9]$"), digits.cast("int")).when(marker.startswith("Sync"), 13)
+
+
+def limits_by_markers(markers: DataFrame, first: str, last: str, before: float = 0.0, after: float = 0.0, from_last: int = 1) -> DataFrame:
+    """(rec, begin, until): times of the first marker ``first`` and of the ``from_last``-th last marker ``last``."""
+    begin = markers.where(F.col("marker") == first).groupBy("rec").agg((F.min("t") + before).alias("begin"))
+    nth = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("t"), F.desc("mseq"))) if from_last > 1 else None
+    ends = markers.where(F.col("marker") == last)
+    until = ends.groupBy("rec").agg((F.max("t") + after).alias("until")) if nth is None else ends.withColumn("__n", nth).where(F.col("__n") == from_last).select("rec", (F.col("t") + after).alias("until"))
+    return begin.join(until, "rec")
+
+
+def limits_by_place(s: Signal, low: int, high: int) -> DataFrame:
+    """(rec, begin, until): times of the samples numbered ``low`` and ``high``, or of the ends of shorter recordings."""
+    return s.df.where(F.col("seq").between(low, high)).groupBy("rec").agg(F.min("t").alias("begin"), F.max("t").alias("until"))
 
 
-def trim_by_markers(s: Signal, markers: DataFrame, first: str, last: str, before: float = 0.0, after: float = 0.0) -> Signal:
-    """From the first marker ``first`` to the last marker ``last``, both included, with time and places from 0."""
-    from dataclasses import replace
+def limits_by_time(s: Signal, low: float, high: float) -> DataFrame:
+    """(rec, begin, until): the same times for each recording."""
+    return s.df.select("rec").distinct().select("rec", F.lit(float(low)).alias("begin"), F.lit(float(high)).alias("until"))
 
-    ends = markers.groupBy("rec").agg(F.min(F.when(F.col("marker") == first, F.col("t"))).alias("__a"), F.max(F.when(F.col("marker") == last, F.col("t"))).alias("__b"))
-    inside = s.df.join(ends, "rec").where((F.col("t") >= F.col("__a") + before) & (F.col("t") <= F.col("__b") + after))
+
+def trim(s: Signal, limits: DataFrame) -> Signal:
+    """The samples within the limits, both included, with time and places from 0."""
+    inside = s.df.join(limits, "rec").where((F.col("t") >= F.col("begin")) & (F.col("t") <= F.col("until")))
     origin = inside.groupBy("rec").agg(F.min("seq").alias("__seq"), F.min("t").alias("__t"))
-    df = inside.join(origin, "rec").select("rec", (F.col("seq") - F.col("__seq")).alias("seq"), (F.col("t") - F.col("__t")).alias("t"), *s.channels)
+    df = inside.join(origin, "rec").select("rec", (F.col("seq") - F.col("__seq")).alias("seq"), (F.col("t") - F.col("__t")).alias("t"), *[F.col(f"`{c}`") for c in s.channels])
     return replace(s, df=df)
 
 
+def trim_marks(s: Signal, markers: DataFrame, limits: DataFrame) -> DataFrame:
+    """The markers (rec, mseq, t, marker) within the limits, numbered anew, with times from the first sample that is kept."""
+    origin = s.df.join(limits, "rec").where((F.col("t") >= F.col("begin")) & (F.col("t") <= F.col("until"))).groupBy("rec").agg(F.min("t").alias("__t"))
+    inside = markers.join(limits, "rec").where((F.col("t") >= F.col("begin")) & (F.col("t") <= F.col("until"))).join(origin, "rec")
+    nth = (F.row_number().over(Window.partitionBy("rec").orderBy("t", "mseq")) - 1).cast("bigint")
+    return inside.select("rec", nth.alias("mseq"), (F.col("t") - F.col("__t")).alias("t"), "marker")
+
+
+def trim_by_markers(s: Signal, markers: DataFrame, first: str, last: str, before: float = 0.0, after: float = 0.0, from_last: int = 1) -> Signal:
+    """From the first marker ``first`` to the last (or ``from_last``-th last) marker ``last``, both included."""
+    return trim(s, limits_by_markers(markers, first, last, before, after, from_last))
+
+
 def volume_markers(s: Signal, threshold: float, tr: float, gap: float = 1 / 60, spread: int = 10, off: int = 100, dummies: int = 2) -> DataFrame:
-    """(rec, seq) of volume onsets: steep places of the mean channel after the longest gaps shorter than ``tr * gap``
-    seconds, about ``tr`` apart, without the first ``dummies``.
+    """(rec, seq) of volume onsets: steep places of the mean of all channels but the last (the ECG; a sole channel
+    counts) after the longest gaps shorter than ``tr * gap`` seconds, about ``tr`` apart, without the first ``dummies``.
 
-    Neighbours are found by their numbers, through joins, so that only steep places are sorted by recording.
+    The last onset goes if the first channel's greatest value in the second half of the volume behind it is less than
+    half of that in half a volume before it. Neighbours are found by their numbers, through joins, so that only steep
+    places are sorted by recording.
     """
-    mean = sum(s.values().values()) / len(s.channels)
-    rows = s.df.select("rec", "seq", mean.alias("m"))
-    around = rows.select("rec", (F.col("seq") + 1).alias("seq"), F.col("m").alias("before")).join(rows.select("rec", (F.col("seq") - 1).alias("seq"), F.col("m").alias("after")), ["rec", "seq"])
-    steep = around.where(F.abs(F.col("after") - F.col("before")) / 2 / (1000 / s.fs) > threshold)
+    heard = list(s.values().values())[: max(1, len(s.channels) - 1)]
+    rows = s.df.select("rec", "seq", (sum(heard) / len(heard)).alias("m"), heard[0].alias("v"))
+    prev = rows.select("rec", (F.col("seq") + 1).alias("seq"), F.col("m").alias("before"))
+    follow = rows.select("rec", (F.col("seq") - 1).alias("seq"), F.col("m").alias("after"))
+    around = rows.join(prev, ["rec", "seq"], "left").join(follow, ["rec", "seq"], "left")
+    steps = F.when(F.col("before").isNull() | F.col("after").isNull(), 1).otherwise(2)
+    slope = (F.coalesce("after", "m") - F.coalesce("before", "m")) / steps / (1000 / s.fs)
     by = Window.partitionBy("rec").orderBy("seq")
-    gaps = steep.select("rec", "seq", (F.col("seq") - F.lag("seq").over(by)).alias("gap"))
+    gaps = around.where(F.abs(slope) > threshold).select("rec", "seq", (F.col("seq") - F.lag("seq").over(by)).alias("gap"))
     longest = gaps.where(F.col("gap") < tr * gap * s.fs).groupBy("rec").agg(F.max("gap").alias("longest"))
-    onsets = gaps.join(longest, "rec").where((F.col("gap") >= F.col("longest") - spread) & (F.col("gap") < tr * gap * s.fs))
-    onsets = onsets.select("rec", "seq", F.lead("seq").over(by).alias("next"))
-    kept = onsets.where(F.col("next").isNull() | (F.abs(F.col("next") - F.col("seq") - tr * s.fs) < off))
+    onsets = gaps.join(longest, "rec").where((F.col("gap") >= F.col("longest") - spread) & (F.col("gap") < tr * gap * s.fs)).select("rec", "seq")
+
+    volume = tr * s.fs
+    ends = onsets.groupBy("rec").agg(F.max("seq").alias("__z"))
+    place = F.col("seq") - F.col("__z")
+    sides = rows.join(ends, "rec").groupBy("rec", "__z").agg(
+        F.max(F.when(place.between(-volume / 2, -1), F.col("v"))).alias("pre"), F.max(F.when(place.between(volume / 2 + 1, volume), F.col("v"))).alias("post"), F.min(place).alias("a"), F.max(place).alias("b")
+    )
+    quiet = sides.where((F.col("a") <= -volume / 2) & (F.col("b") >= volume) & (F.col("post") < 0.5 * F.col("pre"))).select("rec", F.col("__z").alias("seq"))
+    onsets = onsets.join(quiet, ["rec", "seq"], "left_anti").select("rec", "seq", F.lead("seq").over(by).alias("next"))
+    kept = onsets.where(F.col("next").isNull() | (F.abs(F.col("next") - F.col("seq") - volume) < off))
     return kept.withColumn("__n", F.row_number().over(by)).where(F.col("__n") > dummies).select("rec", "seq")
 
 
+def accepted_volumes(s: Signal, thresholds: list[float], tr: float, expected: int, tolerance: int, **options) -> DataFrame:
+    """(rec, threshold, seq): for each recording the onsets by the first threshold that finds ``expected`` volumes, give
+    or take less than ``tolerance``; none for recordings where no threshold does. A last volume that is cut off goes."""
+    tried = [volume_markers(s, x, tr, **options).select("rec", "seq", F.lit(i).alias("__i"), F.lit(float(x)).alias("threshold")) for i, x in enumerate(thresholds)]
+    found = tried[0]
+    for other in tried[1:]:
+        found = found.unionByName(other)
+    fitting = found.groupBy("rec", "__i").agg(F.count(F.lit(1)).alias("n")).where(F.abs(F.col("n") - expected) < tolerance).groupBy("rec").agg(F.min("__i").alias("__i"))
+    last = s.df.groupBy("rec").agg(F.max("seq").alias("__last"))
+    return found.join(fitting, ["rec", "__i"]).join(last, "rec").where(F.col("seq") + tr * s.fs - 1 <= F.col("__last")).select("rec", "threshold", "seq")
+
+
 def heart_rate(peaks: DataFrame, s: Signal) -> DataFrame:
     """Beats a minute of each recording."""
     length = s.df.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
@@ -75,6 +134,24 @@ def pick_files(files: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return pairs.drop("__p")
 
 
+def wanted_names(spark: SparkSession, template: str, *words: list[str]) -> DataFrame:
+    """(name) ``template`` filled with each combination of the words, for a semi-join with a table of files."""
+    return spark.createDataFrame([(template.format(*w),) for w in product(*words)], "name string")
+
+
+def peak_labels(s: Signal, markers: DataFrame, marker: str = "QRSi") -> Signal:
+    """The signal with a channel ``label``: 1 at the samples that carry the marker, by number (``seq``), else 0."""
+    hits = markers.where(F.col("marker") == marker).select("rec", "seq").distinct().withColumn("label", F.lit(1.0))
+    both = replace(s, df=s.df.join(hits, ["rec", "seq"], "left"))
+    return both.project({**s.values(), "label": F.coalesce("label", F.lit(0.0))})
+
+
+def closest_factors(n: int) -> tuple[int, int]:
+    """The two factors of ``n`` that lie closest together, the smaller one first: steps of a long decimation."""
+    low = next(k for k in range(isqrt(n), 0, -1) if n % k == 0)
+    return low, n // low
+
+
 def renumber_runs(files: DataFrame) -> DataFrame:
     """``new_name`` with runs numbered from 1 within each name before ``run``, in the order of their old numbers."""
     prefix = F.regexp_extract("name", r"^(.*?)_?run-[0-9]+", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, display, epochs, features, iir, joins, project, spectral, stats, tools
-from ..sources import generator, scenario, tables
+from ..sources import generator, scenario, sinks, tables
 from ..spec import Signal
 
 HOUR = 3600.0
@@ -110,7 +110,15 @@ def ttest_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("n > 1 AND s > 0").select("rec", "epoch_id", (F.round((F.col("m") - 50) / (F.col("s") / F.sqrt("n")), 6) + 0.0).alias("statistic"))
 
 
-query("ttest_1samp")(lambda spark, d: stats.epoch_stat(sliding(spark, d), "ttest_1samp", popmean=50.0).df.select("rec", "epoch_id", "t", "value"))
+# Student's distribution of whole degrees of freedom, as a finite sum over powers of the cosine.
+query(
+    "ttest_1samp",
+    f"""WITH {SLIDING}, sa AS (SELECT rec, epoch_id, max(t) AS t, count(value) - 1 AS v, CASE WHEN count(value) > 1 AND stddev_samp(value) > 0 THEN (avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))) END AS x FROM ep GROUP BY rec, epoch_id),
+    sb AS (SELECT *, CASE WHEN x IS NOT NULL THEN atan(x / sqrt(v)) END AS h FROM sa),
+    sc AS (SELECT *, CASE WHEN v % 2 = 1 THEN 2 / pi() * (h + sin(h) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(j) - lgamma(j + 0.5)) * pow(cos(h), 2 * j - 1) FOR j IN range(1, (v + 1) // 2)]), 0))
+                         ELSE sin(h) * list_sum([exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(h), 2 * j) FOR j IN range(0, v // 2)]) END AS p FROM sb)
+    SELECT rec, epoch_id, round(t, 6) AS t, round((1 + p) / 2, 6) + 0.0 AS value FROM sc""",
+)(lambda spark, d: stats.epoch_stat(sliding(spark, d), "ttest_1samp", popmean=50.0).df.select("rec", "epoch_id", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value")))
 
 STIM = f"""{EVENTS}, m AS (SELECT rec, event_id AS epoch_id, t + {HOUR} AS b, t + {HOUR} + {DAY} AS e, event_type AS label FROM ev WHERE event_type IN ('signup', 'purchase')),
 l AS (SELECT rec, max(t) AS l FROM sig GROUP BY rec),
@@ -174,8 +182,11 @@ query(
 query("latest_spectrum", f"WITH {VECTORS}, last AS (SELECT rec, max(epoch_id) AS epoch_id FROM vec GROUP BY rec), k AS (SELECT unnest(range(32)) AS k) SELECT v.rec, v.epoch_id, round(k * 32.0 / 31, 6) AS freq, round(2.0 / 64 * {DFT.format(x='x', pi=PI)}, 6) + 0.0 AS value FROM vec v JOIN last USING (rec, epoch_id), k GROUP BY v.rec, v.epoch_id, k")(
     lambda spark, d: _lines(spectral.latest_spectrum(spectral.fft_amplitude(tables.vector_epochs(spark, d))))
 )
-query("hilbert_channels")(lambda spark, d: shown(spectral.hilbert(tables.vector_signal(spark, d)), "rec", "seq"))
-query("hilbert_time")(lambda spark, d: shown(spectral.hilbert(tables.vector_epochs(spark, d), "time"), "rec", "epoch_id", "seq"))
+# The analytic signal of 64 values, by the discrete kernel of the Hilbert transform.
+ENVELOPE = f"""WITH {VECTORS}, env AS (SELECT a.rec, a.epoch_id, a.seq, round(sqrt(pow(max(a.x), 2) + pow(sum(CASE WHEN (a.seq - b.seq) % 2 <> 0 THEN b.x / tan({PI} * (a.seq - b.seq) / 64) ELSE 0 END) * 2 / 64, 2)), 6) + 0.0 AS x
+    FROM vec a JOIN vec b ON a.rec = b.rec AND a.epoch_id = b.epoch_id GROUP BY a.rec, a.epoch_id, a.seq)"""
+query("hilbert_channels", f"{ENVELOPE} SELECT rec, epoch_id AS seq, " + ", ".join(f"max(x) FILTER (WHERE seq = {i}) AS e{i}" for i in range(64)) + " FROM env GROUP BY rec, epoch_id")(lambda spark, d: shown(spectral.hilbert(tables.vector_signal(spark, d)), "rec", "seq"))
+query("hilbert_time", f"{ENVELOPE} SELECT rec, epoch_id, seq, x FROM env")(lambda spark, d: shown(spectral.hilbert(tables.vector_epochs(spark, d), "time"), "rec", "epoch_id", "seq"))
 
 
 # Filters: the SQL convolves with the impulse response, which is as long as any recording
@@ -224,6 +235,24 @@ def pa_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(project.select_channels(artifacts.pulse_correction(both, "ECG", peaks, 2, 5, 12 / 250), "name", ["value"]), "rec", "seq")
 
 
+def small_detector(length: int = 16, units: int = 3) -> artifacts.PeakDetector:
+    """A detector with drawn weights, for running the whole chain where no trained one is at hand."""
+    rng = np.random.default_rng(7)
+    weights = {"u": units, "t": length, "wd": rng.normal(size=(2 * units, 1)), "bd": np.array([-2.0])}
+    for layer, width in (("1", 1), ("2", 2 * units)):
+        for way in "fb":
+            for g in "filo":
+                weights |= {f"wx{g}{layer}{way}": rng.normal(size=(width, units)), f"wh{g}{layer}{way}": rng.normal(size=(units, units)), f"b{g}{layer}{way}": rng.normal(size=units)}
+    return artifacts.PeakDetector(weights)
+
+
+@query("pa_correct")
+def pa_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From detection to subtraction."""
+    s = tables.event_signal(spark, sf_dir).project({"value": F.col("value"), "ECG": F.col("value")})
+    return shown(artifacts.pulse_artifact(s, small_detector(), None, None, None, 4, 2, 5, 6 / 250, 12 / 250)[0], "rec", "seq")
+
+
 # Joins on time
 
 query(
@@ -271,7 +300,15 @@ query("generator_oscillator", "WITH g AS (SELECT range AS seq, (range + 1) / 500
     lambda spark, d: shown(generator.generate(spark, "oscillator", 4, 500.0, 100_000), "seq")
 )
 DESCRIBED = {"trials": 4, "sessions": 2, "random": False, "classes": [769, 770], "init": [(32769, 1.0, 1.0)], "loop": [(768, 1.25, 1.25), (None, 1.0, 1.0)], "intersession": [(33025, 2.0, 2.0)], "end": [(32770, 1.0, 1.0)]}
-query("scenario")(lambda spark, d: scenario.scenario(spark, DESCRIBED))
+# Two sessions of a block of either class, four trials each.
+query(
+    "scenario",
+    """WITH b AS (SELECT unnest(range(4)) AS block), tr AS (SELECT block, unnest(range(4)) AS trial FROM b),
+    s AS (SELECT 0 AS o, 0 AS trial, 0 AS step, '32769' AS marker, 1.0::DOUBLE AS d UNION ALL
+          SELECT 1 + 2 * block, trial, 0, '768', 1.25 FROM tr UNION ALL SELECT 1 + 2 * block, trial, 1, CASE WHEN block % 2 = 0 THEN '769' ELSE '770' END, 1.0 FROM tr UNION ALL
+          SELECT 2 + 2 * block, 0, 0, '33025', 2.0 FROM b WHERE block < 3 UNION ALL SELECT 100, 0, 0, '32770', 1.0)
+    SELECT 'scenario' AS rec, row_number() OVER w - 1 AS mseq, coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, marker FROM s WINDOW w AS (ORDER BY o, trial, step)""",
+)(lambda spark, d: scenario.scenario(spark, DESCRIBED))
 
 
 # Frames to draw, and tools
@@ -289,12 +326,37 @@ query(
     f"""WITH {EVENTS}, m AS (SELECT rec, min(t) AS a, max(t) AS b FROM ev WHERE event_type = 'signup' GROUP BY rec), i AS (SELECT s.* FROM sig s JOIN m USING (rec) WHERE s.t >= m.a AND s.t <= m.b)
     SELECT rec, seq - min(seq) OVER w AS seq, round(t - min(t) OVER w, 6) AS t, round(value, 6) + 0.0 AS value FROM i WINDOW w AS (PARTITION BY rec)""",
 )(lambda spark, d: tools.trim_by_markers(tables.event_signal(spark, d), tables.event_markers(spark, d), "signup", "signup").df.select("rec", "seq", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value")))
+query(
+    "trim_last_but_one",
+    f"""WITH {EVENTS}, m AS (SELECT rec, event_id, t, row_number() OVER (PARTITION BY rec ORDER BY t DESC, event_id DESC) AS n FROM ev WHERE event_type = 'signup'),
+    l AS (SELECT rec, min(t) AS a, max(t) FILTER (WHERE n = 2) AS b FROM m GROUP BY rec), i AS (SELECT s.* FROM sig s JOIN l USING (rec) WHERE s.t >= l.a AND s.t <= l.b)
+    SELECT rec, seq - min(seq) OVER w AS seq, round(t - min(t) OVER w, 6) AS t, round(value, 6) + 0.0 AS value FROM i WINDOW w AS (PARTITION BY rec)""",
+)(
+    lambda spark, d: tools.trim_by_markers(tables.event_signal(spark, d), tables.event_markers(spark, d), "signup", "signup", from_last=2).df.select("rec", "seq", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value"))
+)
+query(
+    "trim_by_place",
+    f"""WITH {EVENTS}, i AS (SELECT * FROM sig WHERE seq BETWEEN 10 AND 40) SELECT rec, seq - 10 AS seq, round(t - min(t) OVER (PARTITION BY rec), 6) AS t, round(value, 6) + 0.0 AS value FROM i""",
+)(lambda spark, d: (lambda s: tools.trim(s, tools.limits_by_place(s, 10, 40)).df.select("rec", "seq", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value")))(tables.event_signal(spark, d)))
+query("serial_frames", f"WITH {ITEMS} SELECT printf('00%02X', quantity::BIGINT) AS line, count(*) AS n FROM it GROUP BY quantity")(
+    lambda spark, d: sinks.frames_of(project.select_channels(tables.item_signal(spark, d), "name", ["quantity"])).groupBy(F.hex("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+)
 query("marker_code_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 13 ELSE event_id % 200 END::INT AS code FROM events")(
     lambda spark, d: tables.events(spark, d).select(
         "event_id", tools.marker_code(F.when(F.col("event_id") % 3 == 0, F.lit("Sync On")).otherwise(F.concat(F.lit("Stimulus/S"), F.lpad((F.col("event_id") % 200).cast("string"), 3, " ")))).cast("int").alias("code")
     )
 )
-query("volume_markers")(lambda spark, d: tools.volume_markers(tables.event_signal(spark, d), 5.0, 0.2, 1.0, 10, 100, 2))
+query(
+    "volume_markers",
+    f"""WITH {EVENTS}, n AS (SELECT rec, seq, value, lag(value) OVER w AS b, lead(value) OVER w AS a FROM sig WINDOW w AS (PARTITION BY rec ORDER BY seq)),
+    st AS (SELECT rec, seq, seq - lag(seq) OVER (PARTITION BY rec ORDER BY seq) AS gap FROM n WHERE abs(coalesce(a, value) - coalesce(b, value)) / (CASE WHEN a IS NULL OR b IS NULL THEN 1 ELSE 2 END) / 4 > 5),
+    lo AS (SELECT rec, max(gap) AS longest FROM st WHERE gap < 50 GROUP BY rec),
+    o AS (SELECT rec, seq FROM st JOIN lo USING (rec) WHERE gap >= longest - 10 AND gap < 50), z AS (SELECT rec, max(seq) AS z FROM o GROUP BY rec),
+    q AS (SELECT rec, z, max(value) FILTER (WHERE seq BETWEEN z - 25 AND z - 1) AS pre, max(value) FILTER (WHERE seq BETWEEN z + 26 AND z + 50) AS post, max(seq) AS top FROM sig JOIN z USING (rec) GROUP BY rec, z),
+    k AS (SELECT o.rec, o.seq, lead(o.seq) OVER (PARTITION BY o.rec ORDER BY o.seq) AS nx FROM o LEFT JOIN q ON q.rec = o.rec AND q.z = o.seq WHERE NOT coalesce(q.z >= 25 AND q.z + 50 <= q.top AND q.post < 0.5 * q.pre, false)),
+    r AS (SELECT rec, seq, row_number() OVER (PARTITION BY rec ORDER BY seq) AS i FROM k WHERE nx IS NULL OR abs(nx - seq - 50) < 100)
+    SELECT rec, seq FROM r WHERE i > 2""",
+)(lambda spark, d: tools.volume_markers(tables.event_signal(spark, d), 5.0, 0.2, 1.0, 10, 100, 2))
 query("file_pairs", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'rest' ELSE 'move' END AS task, (event_id % 7)::VARCHAR AS run FROM events")(
     lambda spark, d: tables.events(spark, d).withColumn("p", tools.name_pairs(F.concat(F.lit("task-"), F.when(F.col("rec") % 2 == 0, "rest").otherwise("move"), F.lit("_run-"), (F.col("event_id") % 7).cast("string")))).select(
         "event_id", F.col("p")["task"].alias("task"), F.col("p")["run"].alias("run")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import socket
+import struct
+import uuid
 from collections.abc import Callable
+from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,6 +57,13 @@ def lines_of(s: Signal, sep: str = " ") -> DataFrame:
     return s.df.select(F.concat_ws(sep, *[F.coalesce(v.cast("string"), F.lit("NaN")) for v in s.values().values()]).alias("line"))
 
 
+def frames_of(s: Signal) -> DataFrame:
+    """(line) the bytes of a row for a serial line: 0, then a byte for each channel. Values other than 0 to 255 are an error."""
+    wrong = F.raise_error(F.lit("a serial line takes whole numbers from 0 to 255")).cast("string")
+    byte = lambda v: F.when((v >= 0) & (v <= 255) & (v == F.floor(v)), F.lpad(F.hex(v.cast("bigint")), 2, "0")).otherwise(wrong)
+    return s.df.select(F.unhex(F.concat(F.lit("00"), *[byte(v) for v in s.values().values()])).alias("line"))
+
+
 def datagrams(host: str, port: int) -> Callable[[], Callable[[bytes], None]]:
     """Opens a sender of datagrams; called once in each task."""
 
@@ -72,13 +85,14 @@ class _Sender:
         return True
 
     def process(self, row) -> None:
-        self.send(row["line"].encode())
+        self.send(row["line"].encode() if isinstance(row["line"], str) else bytes(row["line"]))
 
 
-def send(s: Signal, connect: Callable[[], Callable[[bytes], None]], checkpoint: str | None = None) -> StreamingQuery | None:
-    """Each row's channels as text to the transport that ``connect`` opens (``datagrams``, or a caller's own for a
-    serial line or a laboratory network). A task that is run again sends its rows again."""
-    df, sender = lines_of(s), _Sender(connect)
+def send(s: Signal, connect: Callable[[], Callable[[bytes], None]], checkpoint: str | None = None, message: Callable[[Signal], DataFrame] = lines_of) -> StreamingQuery | None:
+    """Each row as a ``message`` (text of its channels, or ``frames_of``) to the transport that ``connect`` opens
+    (``datagrams``, or a caller's own for a serial line or a laboratory network). A task that is run again sends its
+    rows again."""
+    df, sender = message(s), _Sender(connect)
     if df.isStreaming:
         return df.writeStream.foreach(sender).option("checkpointLocation", checkpoint).start()
 
@@ -89,3 +103,47 @@ def send(s: Signal, connect: Callable[[], Callable[[bytes], None]], checkpoint:
 
     df.foreachPartition(each)
     return None
+
+
+def _mat_element(kind: int, body: bytes) -> bytes:
+    return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+
+def _mat_variable(name: str, values: np.ndarray) -> bytes:
+    """One named matrix, of doubles or of characters."""
+    text = values.dtype.kind == "U"
+    flags = _mat_element(6, struct.pack("<II", 4 if text else 6, 0))
+    shape = _mat_element(5, struct.pack("<2i", *values.shape))
+    data = _mat_element(4, np.frompyfunc(ord, 1, 1)(values).astype("<u2").tobytes("F")) if text else _mat_element(9, values.astype("<f8").tobytes("F"))
+    return _mat_element(14, flags + shape + _mat_element(1, name.encode()) + data)
+
+
+def mat_files(s: Signal, rows: int = 1 << 20) -> DataFrame:
+    """(rec, part, content) files of the numeric format of level 5 with ``timestamps``, ``values`` and ``channels``, one for
+    every ``rows`` samples of a recording, so that no task or file has to hold a recording."""
+    s.need("signal")
+    names, rec = list(s.channels), s.df.schema["rec"].dataType.simpleString()
+    width = max(map(len, names))
+    letters = np.array([list(n.ljust(width)) for n in names])
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        head = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H2s", 0x0100, b"IM")
+        parts = {"timestamps": frame["t"].to_numpy(np.float64)[None], "values": frame[names].to_numpy(np.float64), "channels": letters}
+        return pd.DataFrame({"rec": [key[0]], "part": [key[1]], "content": [head + b"".join(_mat_variable(n, v) for n, v in parts.items())]})
+
+    return s.df.withColumn("part", F.floor(F.col("seq") / rows)).groupBy("rec", "part").applyInPandas(pack, f"rec {rec}, part bigint, content binary")
+
+
+def write_mat(s: Signal, folder: str, rows: int = 1 << 20) -> None:
+    """``mat_files`` as files ``<rec>-<part>.mat`` in a folder that all executors share; a task that runs again replaces its files."""
+
+    def write(found) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for row in found:
+            name = f"{folder}/{quote(str(row['rec']), safe='')}-{row['part']}.mat"
+            with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:
+                f.write(row["content"])
+            os.replace(f.name, name)
+
+    mat_files(s, rows).foreachPartition(write)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import iir
+from sigspark.operators import epochs, iir
 from sigspark.sources import brainvision, generator, rda, sinks
 from sigspark.spec import Signal
 from sigspark.streaming import stateful
@@ -122,3 +122,67 @@ def test_streaming_stimulations(spark, landed, tmp_path):
     got = shown(spark, stateful.stimulation_epochs(stream, markers, ["400"], 0.1, 0.4, "2 seconds"), "cues", tmp_path).collect()
     want = {r.seq for r in table.df.where("unix_millis(ts) >= 600 AND unix_millis(ts) < 1000").collect()}
     assert {r.seq for r in got} == want and len(got) == len(want) and {r.epoch_id for r in got} == {1}
+
+
+def test_streaming_marker_epochs(spark, landed, tmp_path):
+    batch, stream, table = landed
+    rec = table.df.first().rec
+    cues = [(0, 0.301, "a"), (1, 0.301, "b"), (2, 0.7, "c"), (3, 1.2004, "d"), (4, 1.9, "e"), (5, 2.5, "f")]
+    marks = spark.createDataFrame(cues, "mseq bigint, t double, marker string").select(F.lit(rec).alias("rec"), "mseq", "t", F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint")).alias("ts"), "marker")
+    for i, (low, high) in enumerate([(0, 1), (1, 9)]):
+        marks.where(F.col("t").between(low, high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "marks"))
+    markers = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "marks"))
+    got = shown(spark, stateful.marker_epochs(stream, markers, "1 second").df, "between", tmp_path).toPandas()
+    seconds = table.df.withColumn("t", F.unix_millis("ts") / 1000)
+    want = epochs.marker_epochs(Signal(seconds, batch.channels, batch.fs), marks.drop("ts"), 1.0).df.toPandas()
+    # The stream's last watermark is a second behind its last row, so the last closed epochs are still held.
+    done = want[want["epoch_id"] <= got["epoch_id"].max()]
+    assert got["epoch_id"].max() >= 1 and len(got) == len(done) == len(got[["rec", "seq"]].drop_duplicates())
+    both = got.merge(done, on=["rec", "seq"], suffixes=("", "_w"))
+    assert len(both) == len(got) and (both["epoch_id"] == both["epoch_id_w"]).all() and (both["label"] == both["label_w"]).all()
+    for c in ("epoch_start", "epoch_end", "Ch1", "Ch2"):
+        np.testing.assert_allclose(both[c], both[f"{c}_w"], atol=1e-6)
+
+
+def test_serial_frames(spark):
+    df = spark.createDataFrame([("r", 0, 0.0, 7.0, 255.0), ("r", 1, 0.1, 0.0, 16.0)], "rec string, seq bigint, t double, a double, b double")
+    s = Signal(df, ("a", "b"), 10.0)
+    assert [bytes(r["line"]) for r in sinks.frames_of(s).collect()] == [b"\0\x07\xff", b"\0\0\x10"]
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as inbox:
+        inbox.bind(("127.0.0.1", 0))
+        inbox.settimeout(20)
+        sinks.send(s, sinks.datagrams("127.0.0.1", inbox.getsockname()[1]), message=sinks.frames_of)
+        assert sorted(inbox.recv(100) for _ in range(2)) == [b"\0\0\x10", b"\0\x07\xff"]
+    with pytest.raises(Exception, match="whole numbers"):
+        sinks.frames_of(s.project({"a": F.col("a") + 0.5})).collect()
+
+
+def elements(raw: bytes):
+    """(kind, body) of a file's elements, by their tags."""
+    at = 0
+    while at < len(raw):
+        kind, n = struct.unpack_from("<II", raw, at)
+        yield kind, raw[at + 8 : at + 8 + n]
+        at += 8 + n + -n % 8
+
+
+def test_numeric_files(spark, tmp_path):
+    df = spark.createDataFrame([("r/1", i, i / 10, float(i), float(-i)) for i in range(5)], "rec string, seq bigint, t double, a double, long double")
+    sinks.write_mat(Signal(df, ("a", "long"), 10.0), str(tmp_path / "mat"), 3)
+    files = sorted((tmp_path / "mat").iterdir())
+    assert [f.name for f in files] == ["r%2F1-0.mat", "r%2F1-1.mat"]
+    for part, f in enumerate(files):
+        raw = f.read_bytes()
+        assert raw[124:128] == b"\x00\x01IM"
+        found = {}
+        for kind, body in elements(raw[128:]):
+            flags, shape, name, data = elements(body)
+            assert (kind, flags[0], shape[0], name[0]) == (14, 6, 5, 1)
+            size = struct.unpack("<2i", shape[1])
+            text = flags[1][0] == 4
+            assert data[0] == (4 if text else 9)
+            found[name[1].decode()] = np.frombuffer(data[1], "<u2" if text else "<f8").reshape(size, order="F")
+        i = np.arange(3 * part, min(3 * part + 3, 5))
+        np.testing.assert_allclose(found["timestamps"], i[None] / 10)
+        np.testing.assert_array_equal(found["values"], np.stack([i, -i], 1))
+        assert ["".join(map(chr, r)).rstrip() for r in found["channels"]] == ["a", "long"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.filters import butter_bandpass, chebyshev_lowpass, from_coefficients, notch
 from sigspark.functions.student import below
-from sigspark.operators import artifacts, epochs, features, iir, project
+from sigspark.operators import artifacts, epochs, features, iir, project, tools
 from sigspark.plans import signals
 from sigspark.sources import generator, scenario, tables
 from sigspark.spec import Signal
@@ -105,3 +105,205 @@ def test_scenario_errors():
         scenario.read_scenario("<config><info/></config>")
     with pytest.raises(scenario.InvalidScenario):
         scenario.read_scenario("<config>")
+
+
+def test_student_against_its_density():
+    x = np.linspace(-60, 60, 2_400_001)
+    for n in (2, 7, 40):
+        density = (1 + x * x / n) ** (-(n + 1) / 2)
+        total = np.cumsum(density) / density.sum()
+        places = [400_000, 1_150_000, 1_200_000, 1_263_000]
+        np.testing.assert_allclose(below(x[places], n), total[places], atol=2e-3 if n == 2 else 1e-5)
+    assert np.isnan(below([np.nan, 1.0], [3, 0])).all()
+    assert below([-np.inf, np.inf, 0.0], 4).tolist() == [0.0, 1.0, 0.5]
+    np.testing.assert_allclose(below(1e9, [1, 30]), 1.0)
+
+
+def test_laplacian_by_legendre_series():
+    """The interpolating spline by its own equations, with the library's polynomials."""
+    rng = np.random.default_rng(5)
+    places = rng.normal(size=(9, 3))
+    places /= np.linalg.norm(places, axis=1, keepdims=True)
+    x, n = rng.normal(size=9), np.arange(1, 8)
+    series = lambda m: np.polynomial.legendre.legval(np.clip(places @ places.T, -1, 1), np.r_[0, (2 * n + 1) / (n * (n + 1.0)) ** m]) / (4 * np.pi)
+    system = np.block([[series(4) + 1e-5 * np.eye(9), np.ones((9, 1))], [np.ones((1, 9)), np.zeros((1, 1))]])
+    weights = np.linalg.solve(system, np.r_[x, 0])[:9]
+    np.testing.assert_allclose(project.laplacian_matrix(places) @ x, series(3) @ weights, rtol=1e-6)
+
+
+def beating(spark, n=700, rec="r"):
+    """A signal with a beat every 50 samples, in the ECG and, smaller, in the channel before it."""
+    rng = np.random.default_rng(3)
+    shape = np.exp(-0.5 * ((np.arange(n) % 50 - 20) / 2.0) ** 2)
+    a, ecg = rng.normal(size=n) * 0.1 + shape, shape + rng.normal(size=n) * 0.01
+    rows = [(rec, i, i / 250, float(a[i]), float(ecg[i]), float(i)) for i in range(n)]
+    return Signal(spark.createDataFrame(rows, "rec string, seq bigint, t double, a double, ecg double, z double"), ("a", "ecg", "z"), 250.0), a, ecg
+
+
+def plain_scores(d, x):
+    """The detector for one window, gate by gate."""
+    w, sig = d.weights, lambda v: 1 / (1 + np.exp(-v))
+    fed = x[:, None]
+    for layer in "12":
+        both = []
+        for way in "fb":
+            h, c, out = np.zeros(d.units), np.zeros(d.units), np.zeros((len(fed), d.units))
+            for k in range(len(fed)) if way == "f" else reversed(range(len(fed))):
+                f, i, new, o = (fed[k] @ w[f"wx{g}{layer}{way}"] + h @ w[f"wh{g}{layer}{way}"] + w[f"b{g}{layer}{way}"] for g in "filo")
+                c = c * sig(f) + sig(i) * np.tanh(new)
+                h = np.tanh(c) * sig(o)
+                out[k] = h
+            both.append(out)
+        fed = np.hstack(both)
+    return sig(fed @ w["wd"] + w["bd"])[:, 0]
+
+
+def plain_peaks(d, heard, stride, least):
+    """Places of the final peaks, window by window."""
+    totals, counts, peaks = {}, {}, []
+    for k in range((len(heard) - 1 - d.length) // stride + 1):
+        x = heard[k * stride : k * stride + d.length]
+        for i, p in enumerate(plain_scores(d, (x - x.min()) * np.float32(2) / (x.max() - x.min()) - np.float32(1))):
+            totals[k * stride + i] = totals.get(k * stride + i, 0) + p
+            counts[k * stride + i] = counts.get(k * stride + i, 0) + 1
+        mean = np.array([totals[k * stride + i] / counts[k * stride + i] for i in range(d.length)])
+        hits, clusters = {}, []
+        for i in np.flatnonzero(mean > 0.05):
+            low = max(0, i - 5)
+            top = low + int(np.argmax(x[low : i + 6]))
+            hits[top] = hits.get(top, 0) + 1
+        for p in sorted(q for q, n in hits.items() if n >= 5):
+            if clusters and p - clusters[-1][0] < least:
+                clusters[-1].append(p)
+            else:
+                clusters.append([p])
+        peaks += [k * stride + p for p in (max(c, key=lambda q: mean[q]) for c in clusters) if p < stride]
+    return peaks
+
+
+def plain_pulses(a, peaks, min_wins, max_wins, longest):
+    """``a`` less its template, sample by sample, and the first sample that changed."""
+    cycles, want, first = {}, a.copy(), None
+    for i in range(len(a)):
+        before = [p for p in peaks if p <= i]
+        if before and i - before[-1] < longest:
+            here = cycles.setdefault(i - before[-1], [])
+            here.append((len(before), a[i]))
+            recent = [v for c, v in here if c > len(before) - max_wins]
+            if len(recent) > min_wins:
+                want[i] -= np.mean(recent)
+                first = i if first is None else first
+    return want, first
+
+
+def test_pulse_artifact_from_detection_to_subtraction(spark):
+    s, a, ecg = beating(spark)
+    d, stride, start = signals.small_detector(60), 10, 25
+    marks = spark.createDataFrame([("r", 0, start / 250 - 1e-4, "go")], "rec string, mseq bigint, t double, marker string")
+    corrected, markers = artifacts.pulse_artifact(s, d, marks, "go", stride=stride, min_wins=3, max_wins=5, min_hc=0.12, max_hc=0.2, threshold=0.05)
+    peaks = [start + p for p in plain_peaks(d, ecg[start:].astype(np.float32), stride, 30)]
+    assert len(peaks) > 8
+    found = markers.toPandas()
+    assert sorted(round(t * 250) for t in found[found["marker"] == "R peak fixed"]["t"]) == peaks
+    assert [round(t * 250) for t in found[found["marker"] == "Start of R peak detection"]["t"]] == [start]
+    want, first = plain_pulses(a, peaks, 3, 5, 50)
+    got = corrected.df.orderBy("seq").toPandas()
+    np.testing.assert_allclose(got["a"], want, atol=1e-9)
+    np.testing.assert_array_equal(got["ecg"], ecg)
+    assert [round(t * 250) for t in found[found["marker"] == "Start of PA subtraction"]["t"]] == [first]
+
+
+def test_pulse_query_by_plain_loops(spark, sf_dir):
+    got = signals.QUERIES["pa_correct"](spark, sf_dir).toPandas()
+    assert len(got) == tables.events(spark, sf_dir).count()
+    changed = 0
+    for _, g in got.sort_values("seq").groupby("rec"):
+        x = g["ECG"].to_numpy()
+        want, first = plain_pulses(x, plain_peaks(signals.small_detector(), x.astype(np.float32), 4, 6), 2, 5, 12)
+        np.testing.assert_allclose(g["value"], want, atol=2e-6)
+        changed += first is not None
+    assert changed > 0
+
+
+def test_pulse_artifact_with_a_filtered_ecg(spark):
+    s, _, _ = beating(spark, 300)
+    corrected, markers = artifacts.pulse_artifact(s, signals.small_detector(60), None, None, stride=10, min_hc=0.12, max_hc=0.2, filter_ecg=True)
+    assert corrected.df.count() == 300 and markers.where("marker = 'R peak fixed'").count() > 0
+    with pytest.raises(ValueError):
+        artifacts.ecg_of(("a", "b"))
+
+
+def marked(spark, rows):
+    return spark.createDataFrame([("r", i, t, m) for i, (t, m) in enumerate(rows)], "rec string, mseq bigint, t double, marker string")
+
+
+def test_trimming(spark):
+    s, _, _ = beating(spark, 100)
+    marks = marked(spark, [(0.02, "a"), (0.1, "b"), (0.2, "b"), (0.3, "b")])
+    z = lambda x: [r["z"] for r in x.df.orderBy("seq").collect()]
+    assert z(tools.trim_by_markers(s, marks, "a", "b")) == list(range(5, 76))
+    assert z(tools.trim_by_markers(s, marks, "a", "b", from_last=2)) == list(range(5, 51))
+    assert z(tools.trim(s, tools.limits_by_place(s, 7, 9))) == [7, 8, 9]
+    assert z(tools.trim(s, tools.limits_by_time(s, 0.011, 0.0205))) == [3, 4, 5]
+    kept = tools.trim_marks(s, marks, tools.limits_by_markers(marks, "a", "b", from_last=2)).orderBy("mseq").collect()
+    assert [(r.mseq, round(r.t, 6), r.marker) for r in kept] == [(0, 0.0, "a"), (1, 0.08, "b"), (2, 0.18, "b")]
+
+
+def test_volumes(spark):
+    """Bursts of ten steep samples open each volume of 100; the ECG, last, is not heard."""
+    n = 905
+    x = [50.0 * (i % 2 * 2 - 1) * (i % 4 < 2) if i % 100 < 12 and i < 800 else 30.0 * (i % 100 > 60) * (i < 800) for i in range(n)]
+    rows = [("r", i, i / 1000, float(v), 1000.0 * (i % 3)) for i, v in enumerate(x)]
+    s = Signal(spark.createDataFrame(rows, "rec string, seq bigint, t double, a double, ecg double"), ("a", "ecg"), 1000.0)
+    found = [r["seq"] for r in tools.volume_markers(s, 20.0, 0.1, 0.95).orderBy("seq").collect()]
+    assert found and all(v % 100 < 2 or v % 100 == 99 for v in found)
+    count = len(found)
+    both = tools.accepted_volumes(s, [1e9, 20.0], 0.1, count, 1, gap=0.95).collect()
+    assert {r["threshold"] for r in both} == {20.0} and len(both) == sum(v + 99 <= n - 1 for v in found)
+    assert tools.accepted_volumes(s, [1e9, 20.0], 0.1, count + 5, 2, gap=0.95).count() == 0
+
+
+def test_small_tools(spark):
+    codes = marked(spark, [(0.0, m) for m in ("S  7", "R128", "Sync On", "New Segment/1", "Comment", "Sync 12")]).select("mseq", tools.marker_code(F.col("marker")).alias("c"))
+    assert [r["c"] for r in codes.orderBy("mseq").collect()] == [7, 128, 13, None, None, 12]
+    assert [r["name"] for r in tools.wanted_names(spark, "sub-{}_run-{}", ["1", "2"], ["a", "b"]).collect()] == ["sub-1_run-a", "sub-1_run-b", "sub-2_run-a", "sub-2_run-b"]
+    assert [tools.closest_factors(n) for n in (20, 17, 36)] == [(4, 5), (1, 17), (6, 6)]
+    s, _, _ = beating(spark, 5)
+    hits = spark.createDataFrame([("r", 2, "QRSi"), ("r", 3, "other")], "rec string, seq bigint, marker string")
+    assert [r["label"] for r in tools.peak_labels(s, hits).df.orderBy("seq").collect()] == [0, 0, 1, 0, 0]
+
+
+def test_training_windows_hold_what_they_promise(spark):
+    s, _, ecg = beating(spark)
+    peaks = {20, 120, 470}
+    rows = tools.training_windows(s, "ecg", spark.createDataFrame([("r", p) for p in peaks], "rec string, seq bigint"), 30, 0.5).toPandas()
+    starts = rows["start"].unique()
+    drawn = {r["seq"] for r in s.df.where(F.pmod(F.xxhash64(F.lit(1), "rec", "seq"), F.lit(1_000_000)) < 500_000).collect()}
+    near = {q + i for q in peaks for i in range(-2, 3)}
+    assert set(starts) == {a for a in drawn if a + 30 <= 700 and near & set(range(a, a + 30))}
+    for a, g in rows.sort_values("seq").groupby("start"):
+        x = ecg[a : a + 30]
+        np.testing.assert_allclose(g["x"], 2 * (x - x.min()) / (x.max() - x.min()) - 1, atol=1e-12)
+        assert g["label"].tolist() == [int(i in near) for i in range(a, a + 30)]
+
+
+def test_downsampling_by_plain_recurrences(spark):
+    """Filtered forth and back over the signal turned about its ends, by the cascade's state equations."""
+    from sigspark.functions.filters import chebyshev_lowpass
+
+    s = wave(spark, 300)
+    x = s.df.orderBy("seq").toPandas()["Ch1"].to_numpy()
+    low = chebyshev_lowpass(8, 0.05, 0.8 / 5)
+
+    def run(v):
+        z, out = low.steady() * v[0], []
+        pulse = np.zeros((2000, 1))
+        pulse[0] = 1
+        h = low.run(pulse, np.zeros((low.order, 1)))[0][:, 0]  # the response to the input alone
+        free = low.run(np.zeros((len(v), 1)), z[:, None])[0][:, 0]  # and to the state alone
+        out = np.convolve(v, h)[: len(v)] + free
+        return out
+
+    padded = np.r_[2 * x[0] - x[27:0:-1], x, 2 * x[-1] - x[-2:-29:-1]]
+    want = run(run(padded)[::-1])[::-1][27:-27][::5]
+    np.testing.assert_allclose(iir.downsample(s, 5).df.orderBy("seq").toPandas()["Ch1"], want, atol=1e-8)
