@@ -6,11 +6,17 @@ of the rules that fit the longest decides. Other urls get the verdict of trees t
 depth, shares of digits, hyphens and vowels, entropies, counts of labels and parameters, and suffix statistics:
 the smoothed log-odds of the top two labels' and of the name's last three characters' hash buckets, counted over
 the labelled urls of the other half (each half gets the other's statistics in training), and kept as arrays of
-``BUCKETS`` numbers. Everything is a projection over ``url``; no url is shuffled to be judged.
+``BUCKETS`` numbers. The trees are a projection over ``url``; no url is shuffled to be judged by them.
+
+Up to ``MAX_RULES`` rules are one expression. Longer lists, and tables of rules, are joined: a url meets the rules of
+each suffix of its host, and there the beginnings of its path that have the length of a rule's path. Both joins deal
+hot suffixes over all tasks, and the verdicts are the same as the expression's.
 
 Defined results: a null url or one without ``://`` has empty host and path, and fits no rule; its features are
-those of the url as it is (a null one's: of the empty url). Without labelled urls of both kinds the trees allow. Repeated rows are judged alike;
-input columns pass through but for those named as a result.
+those of the url as it is (a null one's: of the empty url). Of fitting rules of one length the last by (action, host,
+path) decides; a rule without a path fits every path of its host, and one with a null action or host fits none. Without labelled urls of
+both kinds the trees allow. Repeated rows are judged alike; an empty table gives an empty result; input columns pass
+through but for those named as a result.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosted import Tree, fit_trees, probability
-from .common import lowest_hashes, read_table, with_results, written
+from .common import lowest_hashes, read_table, spread_join, with_results, written
 
 LABELLED = 20_000
 BUCKETS = 512
@@ -50,8 +56,6 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, action) of the longest rule that fits, else nulls."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules do not fit one expression")
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(rule_path))
@@ -60,6 +64,30 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, action
 
 
+def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (with ``__host`` and ``__path``) with ``__rule`` and ``__action`` of the longest of any number of rules.
+
+    ``rules``: (action, host, path).
+    """
+    path = F.coalesce("path", F.lit(""))
+    found = F.struct(F.length(F.concat("host", path)).alias("length"), "action", "host", path.alias("path"))
+    listed = rules.where("action IS NOT NULL AND host IS NOT NULL").select(F.struct("host", path.alias("path")).alias("__key"), found.alias("__found"))
+    listed = written(listed.groupBy("__key").agg(F.max("__found").alias("__found")), "rules")
+    host = F.col("__key.host")
+    lengths = listed.groupBy(host.alias("__suffix")).agg(F.collect_set(F.length("__key.path")).alias("__lengths"))
+    deepest = listed.agg(F.max(F.size(F.split(host, r"\.")))).first()[0] or 1  # no rule has a host of more labels
+    # The numbers of rows must not change when a task is run again.
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    depth = F.least(F.size(F.split("__host", r"\.")), F.lit(deepest))
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), depth), lambda i: F.call_function("substring_index", F.col("__host"), F.lit("."), -i)))
+    met = spread_join(rows.select("__row", "__host", "__path", suffix.alias("__suffix")), lengths, "__suffix", "__row")
+    met = met.select("__row", "__suffix", "__path", F.explode(F.filter("__lengths", lambda n: n <= F.length("__path"))).alias("__length"))
+    keyed = met.select("__row", F.struct(F.col("__suffix").alias("host"), F.left("__path", F.col("__length")).alias("path")).alias("__key"))
+    longest = spread_join(keyed, listed, "__key", "__row").groupBy("__row").agg(F.max("__found").alias("__found"))
+    rows = rows.join(longest, "__row", "left")
+    return rows.withColumns({"__rule": F.concat("__found.host", "__found.path"), "__action": F.col("__found.action")}).drop("__row", "__found")
+
+
 def entropy(text: Column) -> Column:
     """Bits per character."""
     n = F.length(text)
@@ -162,18 +190,23 @@ def fit_urls(labelled: DataFrame, seed: int = 7) -> UrlModel:
     return UrlModel(fit_trees(table, NAMES, seed=seed), [odds((0, 1), k) for k in (0, 1)])
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel, block_at: float = BLOCK_AT) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, model: UrlModel, block_at: float = BLOCK_AT) -> DataFrame:
     """Every row with ``host``, ``path``, ``rule``, ``score`` (probability of being unwanted) and ``verdict``."""
+    if isinstance(rules, list) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, "action string, host string, path string")
     url, host, path = F.col("__url"), F.col("__host"), F.col("__path")
     rows = pages.withColumn("__url", F.coalesce("url", F.lit("")))
     rows = rows.withColumns({"__host": host_of(url), "__path": path_of(url)})
+    if isinstance(rules, DataFrame):
+        rows = with_rules(rows, rules)
+    else:
+        rows = rows.withColumns(dict(zip(("__rule", "__action"), rule_for(host, path, rules), strict=True)))
     top, ending = suffixes(host)
     features = lexical(url, host, path, *(F.element_at(_array(o), b + 1) for o, b in zip(model.odds, (top, ending), strict=True)))
     rows = rows.withColumn("__f", F.struct(*[v.alias(n) for n, v in features.items()]))
     rows = rows.withColumn("__score", probability(model.trees, [F.col("__f")[n] for n in NAMES]))
-    rule, action = rule_for(host, path, rules)
-    verdict = F.coalesce(action, F.when(F.col("__score") > block_at, F.lit("block")).otherwise("allow"))
-    return with_results(rows, pages.columns, {"host": host, "path": path, "rule": rule, "verdict": verdict, "score": F.col("__score")})
+    verdict = F.coalesce("__action", F.when(F.col("__score") > block_at, F.lit("block")).otherwise("allow"))
+    return with_results(rows, pages.columns, {"host": host, "path": path, "rule": F.col("__rule"), "verdict": verdict, "score": F.col("__score")})
 
 
 def op2_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,29 @@ def test_urls_without_scheme_keep_their_features(spark):
     assert (found[1].verdict, found[2].verdict) == ("allow", "block") and {r.host + r.path for r in found.values()} == {""}
 
 
+def test_long_rule_lists(spark):
+    hosts = ["org", "example.org", "a.example.org", "b.org", "com", "x.com", "deep.a.b.x.com", "", "net."]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/é", "/a/b/c/d"]
+    rules = [(("allow", "block")[(i + j) % 2], h, p) for i, h in enumerate(hosts) for j, p in enumerate(paths)]
+    rules += [("block", "com", "/"), ("allow", "b.org", "/a")] + [("block", f"h{i}.example", f"/{i % 7}") for i in range(url_filter.MAX_RULES)]
+    urls = [f"http://{h}{p}{t}" for h in (*hosts, "EXAMPLE.org", "xorg", "z.y.x.com", "net", "h7.example", "s.h14.example") for p in (*paths, "/0", "/ab") for t in ("", "?q=1", "x")]
+    urls += [None, "", "no scheme", "http://" + "a." * 3000 + "com/" + "a/" * 3000] + ["http://x.com/a"] * 500
+    rows = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id bigint, url string, `Rule` string").repartition(5)
+    model = url_filter.UrlModel([], [[0.0] * url_filter.BUCKETS] * 2)
+    found = url_filter.judge_urls(rows, rules, model).collect()
+    assert sorted(r.page_id for r in found) == list(range(len(urls)))
+    for r in found:
+        fit = [x for x in rules if (r.host == x[1] or r.host.endswith("." + x[1])) and r.path.startswith(x[2])]
+        best = max(fit, key=lambda x: (len(x[1] + x[2]), x), default=None)
+        assert (r.rule, r.verdict) == ((best[1] + best[2], best[0]) if best else (None, "allow")), urls[r.page_id]
+    few = url_filter.judge_urls(rows, url_filter.RULES, model)
+    table = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
+    assert sorted(few.collect()) == sorted(url_filter.judge_urls(rows, table, model).collect())
+    none = url_filter.judge_urls(rows, table.limit(0), model)
+    assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "allow")}
+    assert url_filter.judge_urls(rows.limit(0), table, model).count() == 0
+
+
 def test_pipeline(spark, sf_dir, docs):
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
