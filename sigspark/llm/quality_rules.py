@@ -4,7 +4,7 @@ The n-grams are whole words and pairs of neighbouring ones (the last word pairs
 have quality 1 in the labels), the other over all documents. A bucket's weight is the difference of the smoothed log-probabilities in thousandths, an integer,
 so that a document's sum doesn't depend on any order. The sum divided by the number of n-grams is compared
 with a threshold. Everything runs in DataFrame functions; a row is never taken apart to be judged, and the
-shuffles are those of the join with the labels and of bucket counts. The weights reach the rows as one array of ``BUCKETS`` integers.
+shuffles are those of the texts to their labels, once, and of bucket counts. The weights reach the rows as one array of ``BUCKETS`` integers.
 
 Defined results: a null or blank text has no words, all counts 0, score 0, and fails the base rule; without
 labels both multinomials are flat or equal and the ratio is 0, which is kept; repeated rows are judged alike.
@@ -46,8 +46,11 @@ def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
 
 def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
     """By bucket, thousandths of log(p(trusted) / p(all)), as a constant array; ``BUCKETS`` counts pass the driver."""
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("__trusted", F.lit(1)), "doc_id", "left")
+    named = F.col("doc_id").cast("string")
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(named.alias("__key")).distinct().withColumn("__trusted", F.lit(1))
+    # Labels grow with the documents, so they are merged at every size. Rows without an id match nothing; they are spread by their text.
+    key = F.coalesce(named, F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    marked = docs.select("text", key.alias("__key")).join(trusted.hint("merge"), "__key", "left")
     grams = marked.select("__trusted", hashes_of(words_of(text_of())).alias("hashes")).select(
         "__trusted", F.explode(gram_buckets(F.col("hashes"))).alias("bucket")
     )
