@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from . import (
+    byte_bpe,
+    conversation_trie,
+    exact_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    spelling,
+    token_counts,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash_components": near_dedup.op8_hyperminhash_components,
         "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_heavy_path_trie": conversation_trie.op11_heavy_path_trie,
+        "op13_neighbourhood_variants": spelling.op13_neighbourhood_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op10_exact_dedup": exact_dedup.OP10_SQL, "op11_heavy_path_trie": conversation_trie.OP11_SQL, "op13_neighbourhood_variants": spelling.OP13_SQL}
