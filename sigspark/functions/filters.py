@@ -32,6 +32,19 @@ class System:
         """
         n, channels = x.shape
         y, z = np.empty_like(x, dtype=np.float64), z.astype(np.float64).copy()
+        powers, sees, direct, drives = self._parts(part)
+        for begin in range(0, n, part):
+            u = x[begin : begin + part]
+            m = len(u)
+            y[begin : begin + m] = direct[:m, :m] @ u + sees[:m] @ z
+            z = powers[m] @ z + drives[:, part - m :] @ u
+        return y, z
+
+    def _parts(self, part: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The matrices that take a part's inputs and state to its outputs and next state; made once."""
+        known = self.__dict__.get("_known", {})
+        if part in known:
+            return known[part]
         powers = [np.eye(self.order)]
         for _ in range(part):
             powers.append(self.a @ powers[-1])
@@ -40,12 +53,8 @@ class System:
         lag = np.subtract.outer(np.arange(part), np.arange(part))
         direct = np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0)
         drives = np.array([p @ self.b for p in powers[:part]][::-1]).T
-        for begin in range(0, n, part):
-            u = x[begin : begin + part]
-            m = len(u)
-            y[begin : begin + m] = direct[:m, :m] @ u + sees[:m] @ z
-            z = powers[m] @ z + drives[:, part - m :] @ u
-        return y, z
+        object.__setattr__(self, "_known", known | {part: (powers, sees, direct, drives)})
+        return self._known[part]
 
     def advance(self, n: int) -> np.ndarray:
         """What ``n`` samples without input do to a state."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import Signal
+from .blocks import carried
 
 #: The cue that each marker shows or hides.
 CUES = {
@@ -32,9 +33,11 @@ def graz_state(markers: DataFrame, cues: dict[str, str] = CUES) -> DataFrame:
     cue = F.lit(None).cast("string")
     for marker, what in cues.items():
         cue = F.when(F.col("marker") == marker, what).otherwise(cue)
-    upto = Window.partitionBy("rec").orderBy("t", "mseq").rowsBetween(Window.unboundedPreceding, 0)
     rows = markers.withColumn("__cue", cue)
-    cross = F.last(F.when(F.col("__cue") == "show_cross", 1).when(F.col("__cue") == "hide_cross", 0), ignorenulls=True).over(upto)
-    arrow = F.last(F.when(F.col("__cue") == "show_right_arrow", "right").when(F.col("__cue") == "show_left_arrow", "left").when(F.col("__cue") == "hide_arrow", "none"), ignorenulls=True).over(upto)
-    ended = F.max(F.when(F.col("__cue") == "exit", 1).otherwise(0)).over(upto)
-    return rows.select("rec", "mseq", "t", F.coalesce(cross, F.lit(0)).alias("cross"), F.coalesce(arrow, F.lit("none")).alias("arrow"), ended.alias("ended"))
+    shown = {
+        "cross": F.when(F.col("__cue") == "show_cross", 1).when(F.col("__cue") == "hide_cross", 0),
+        "arrow": F.when(F.col("__cue") == "show_right_arrow", "right").when(F.col("__cue") == "show_left_arrow", "left").when(F.col("__cue") == "hide_arrow", "none"),
+        "ended": F.when(F.col("__cue") == "exit", 1),
+    }
+    found = carried(rows, "rec", "t", ["mseq"], shown)
+    return found.select("rec", "mseq", "t", F.coalesce("cross", F.lit(0)).alias("cross"), F.coalesce("arrow", F.lit("none")).alias("arrow"), F.coalesce("ended", F.lit(0)).alias("ended"))

@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import Signal
+from .blocks import numbered
 
 
 def feature_vectors(s: Signal, class_tag: str | None = None) -> Signal:
     """Every row as a vector, numbered from 0 in each recording by time, with a class if one is given."""
-    nth = F.row_number().over(Window.partitionBy("rec").orderBy("t", *[c for c in ("epoch_id", "seq") if c in s.df.columns])) - 1
+    rows = numbered(s.df, "rec", "t", [c for c in ("epoch_id", "seq") if c in s.df.columns], name="vec_id")
     tag = F.lit(class_tag) if class_tag is not None else (F.col("label") if "label" in s.df.columns else F.lit(None).cast("string"))
-    df = s.df.select("rec", nth.cast("bigint").alias("vec_id"), tag.alias("class"), *s.channels)
+    df = rows.select("rec", "vec_id", tag.alias("class"), *s.channels)
     return replace(s, df=df, kind="vector")
 
 

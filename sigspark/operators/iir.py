@@ -1,13 +1,18 @@
 """Recursive filters over recordings of any length.
 
-A recording is cut into blocks of ``BLOCK`` samples. A first pass filters each block from an empty state and keeps
-its last state, one row a block; those rows are chained along the recording (the state that enters a block is what
-the earlier states have become); a second pass filters each block from its true state. Blocks, not recordings, are
-what a task must hold. Recordings of one block need the second pass alone, and no job runs while a plan is built.
+A recording is cut into blocks of ``BLOCK`` samples (the last takes what is left, fewer than two blocks), each gathered
+as arrays in one row. The input is read for that once; all passes go from rows of blocks to rows of blocks. Many blocks are
+filtered at a time: those of one length, of any recordings, are columns of one matrix.
+
+Recordings of more than one block need the state that enters a block. A pass filters their blocks from an empty
+state and keeps each one's last state, one row a block; these rows are chained along the recording (what the earlier states
+have become), and the filtering pass starts from them. Blocks, not recordings, are what a task must hold.
+No job runs while a plan is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -23,55 +28,101 @@ BLOCK = 65_536
 PAD = 27
 
 
-def _filtered(df: DataFrame, channels: list[str], system: System, steady: bool, block: int) -> DataFrame:
-    """``df`` (rec, __i: place from 0, channels, others) with filtered channels."""
-    df = df.withColumn("__block", F.floor(F.col("__i") / block))
-    order, wide = system.order, len(channels)
-
-    def start(frame: pd.DataFrame) -> np.ndarray:
-        first = frame[channels].to_numpy(np.float64)[0]
-        return np.outer(system.steady(), first) if steady else np.zeros((order, wide))
-
-    def states(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__i")
-        z = start(frame) if key[1] == 0 else np.zeros((order, wide))
-        _, z = system.run(frame[channels].to_numpy(np.float64), z)
-        return pd.DataFrame({"rec": [key[0]], "__block": [key[1]], "n": [len(frame)], "z": [z.ravel().tolist()]})
+def gathered(s: Signal, block: int) -> DataFrame:
+    """(rec, block, blocks: how many the recording has, first: number of the block's first sample, t, c0, c1, ...), the
+    last ones arrays over the block's samples."""
+    bounds = s.df.groupBy("rec").agg(F.min("seq").alias("__a"), (F.max("seq") - F.min("seq") + 1).alias("__n"))
+    blocks = F.greatest(F.floor(F.col("__n") / block), F.lit(1))
+    place = F.least(F.floor((F.col("seq") - F.col("__a")) / block), blocks - 1)
+    values = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(s.channels)]
+    rows = s.df.join(bounds, "rec").select("rec", place.alias("block"), blocks.alias("blocks"), F.struct("seq", "t", *values).alias("x"))
+    found = rows.groupBy("rec", "block").agg(F.max("blocks").alias("blocks"), F.array_sort(F.collect_list("x")).alias("x"))
+    return found.select("rec", "block", "blocks", F.col("x")[0]["seq"].alias("first"), F.col("x.t").alias("t"), *[F.col(f"x.c{i}").alias(f"c{i}") for i in range(len(values))])
+
+
+def _by_length(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of rows, samples x rows x channels) for each length of the blocks of a batch."""
+    channels = [c for c in frame.columns if c.startswith("c")]
+    lengths = frame["t"].map(len).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, np.stack([np.stack(frame[c].iloc[at].to_list()) for c in channels], 2).transpose(1, 0, 2).astype(np.float64)
+
+
+def _run(system: System, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``System.run`` for samples x rows x channels, and states order x rows x channels."""
+    n, rows, channels = x.shape
+    y, z = system.run(x.reshape(n, rows * channels), z.reshape(system.order, rows * channels))
+    return y.reshape(n, rows, channels), z.reshape(system.order, rows, channels)
+
+
+def _pass(blocks: DataFrame, system: System, steady: bool, back: bool = False) -> DataFrame:
+    """Blocks filtered along each recording, or against it. ``steady``: the first sample begins as if it had always been."""
+    wide = len([c for c in blocks.columns if c.startswith("c")])
+    names = [f"c{i}" for i in range(wide)]
+    shape, rec = blocks.schema, blocks.schema["rec"].dataType.simpleString()
+    order = system.order
+
+    def begin(frame: pd.DataFrame, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The states that enter blocks, where these are a recording's first ones."""
+        first = (frame["blocks"] - 1 == frame["block"] if back else frame["block"] == 0).to_numpy()[at]
+        z = np.zeros((order, len(at), wide))
+        if steady:
+            z[:, first] = system.steady()[:, None, None] * x[0][None, first]
+        return z
+
+    def states(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [None] * len(frame)
+            for at, x in _by_length(frame):
+                x = x[::-1] if back else x
+                z = _run(system, x, begin(frame, at, x))[1]
+                for k, i in enumerate(at):
+                    out[i] = z[:, k].ravel()
+            yield pd.DataFrame({"rec": frame["rec"], "block": frame["block"], "n": frame["t"].map(len), "z": out})
 
     def chained(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__block")
-        z, blocks, found = np.zeros((order, wide)), [], []
-        for b, n, last in zip(frame["__block"], frame["n"], frame["z"], strict=True):
-            blocks.append(b)
-            found.append(z.ravel().tolist())
+        frame = frame.sort_values("block", ascending=not back)
+        z, found = np.zeros((order, wide)), []
+        for n, last in zip(frame["n"], frame["z"], strict=True):
+            found.append(z.ravel())
             z = system.advance(int(n)) @ z + np.reshape(last, (order, wide))
-        return pd.DataFrame({"rec": [key[0]] * len(blocks), "__block": blocks, "z": found})
+        return pd.DataFrame({"rec": frame["rec"], "block": frame["block"], "z": found})
+
+    def outputs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: dict[str, list] = {c: [None] * len(frame) for c in names}
+            for at, x in _by_length(frame):
+                x = x[::-1] if back else x
+                z = begin(frame, at, x)
+                for k, i in enumerate(at):
+                    if frame["z"].iloc[i] is not None:
+                        z[:, k] += np.reshape(frame["z"].iloc[i], (order, wide))
+                y = _run(system, x, z)[0]
+                y = y[::-1] if back else y
+                for c, name in enumerate(names):
+                    for k, i in enumerate(at):
+                        out[name][i] = y[:, k, c]
+            yield frame.assign(**out)[shape.names]
 
-    rec = df.schema["rec"].dataType.simpleString()
-    shape = df.schema
+    # A block's state matters only to blocks behind it: recordings of one block take no part in the first pass.
+    ends = blocks.where("blocks > 1").mapInPandas(states, f"rec {rec}, block bigint, n bigint, z array<double>")
+    entering = ends.groupBy("rec").applyInPandas(chained, f"rec {rec}, block bigint, z array<double>")
+    return blocks.join(entering, ["rec", "block"], "left").select(*shape.names, "z").mapInPandas(outputs, shape)
 
-    def outputs(key: tuple, frame: pd.DataFrame, entering: pd.DataFrame | None = None) -> pd.DataFrame:
-        frame = frame.sort_values("__i")
-        if not len(frame):
-            return frame
-        z = np.reshape(entering["z"].iloc[0], (order, wide)) if entering is not None and len(entering) and key[1] > 0 else start(frame)
-        frame[channels] = system.run(frame[channels].to_numpy(np.float64), z)[0]
-        return frame
 
-    # A block's state matters only to blocks behind it: recordings of one block take no part in the first pass.
-    longer = df.where("__block > 0").select("rec").distinct()
-    ends = df.select("rec", "__block", "__i", *channels).join(longer, "rec", "left_semi").groupBy("rec", "__block").applyInPandas(states, f"rec {rec}, __block bigint, n bigint, z array<double>")
-    entering = ends.groupBy("rec").applyInPandas(chained, f"rec {rec}, __block bigint, z array<double>")
-    return df.groupBy("rec", "__block").cogroup(entering.groupBy("rec", "__block")).applyInPandas(outputs, shape).drop("__block")
+def _samples(s: Signal, blocks: DataFrame, every: int = 1) -> DataFrame:
+    """Rows of a signal again; of those numbers that ``every`` divides, and divided by it."""
+    each = F.posexplode(F.arrays_zip("t", *[f"c{i}" for i in range(len(s.channels))]))
+    rows = blocks.select("rec", "first", each.alias("i", "x")).withColumn("seq", F.col("first") + F.col("i"))
+    rows = rows.where(F.col("seq") % every == 0) if every > 1 else rows
+    return rows.select("rec", (F.col("seq") / every).cast("bigint").alias("seq") if every > 1 else "seq", "x.t", *[F.col(f"x.c{i}").alias(c) for i, c in enumerate(s.channels)])
 
 
 def linear_filter(s: Signal, system: System, block: int = BLOCK) -> Signal:
     """Causal filtering from an empty state, sample by sample of each recording."""
     s.need("signal")
-    channels = list(s.channels)
-    first = s.df.groupBy("rec").agg(F.min("seq").alias("__first"))
-    df = s.df.select("rec", "seq", "t", *channels).join(first, "rec").withColumn("__i", F.col("seq") - F.col("__first")).drop("__first")
-    return replace(s, df=_filtered(df, channels, system, False, block).select(*s.keys, *channels))
+    return replace(s, df=_samples(s, _pass(gathered(s, block), system, False)))
 
 
 def butter(s: Signal, lowcut: float, highcut: float, order: int = 4, block: int = BLOCK) -> Signal:
@@ -86,37 +137,46 @@ def fir_lowpass(s: Signal, taps: int, cutoff: float, block: int = BLOCK) -> Sign
     return linear_filter(s, from_coefficients(windowed_sinc(taps, cutoff, s.fs), [1.0]), block)
 
 
-def _mirrored(df: DataFrame, channels: list[str]) -> DataFrame:
-    """``df`` (rec, seq, t, channels) with ``__i`` from 0, longer by ``PAD`` samples turned about either end."""
-    ends = df.groupBy("rec").agg(
-        F.min("seq").alias("__a"), F.max("seq").alias("__b"), *[f(F.col(f"`{c}`"), "seq").alias(f"__{n}_{c}") for c in channels for n, f in (("a", F.min_by), ("b", F.max_by))]
-    )
-    both = df.join(ends, "rec").where(F.col("__b") - F.col("__a") >= PAD)  # shorter recordings give nothing
-    place = F.col("seq") - F.col("__a") + PAD
-    length = F.col("__b") - F.col("__a") + 2 * PAD
-
-    def turned(end: str) -> list:
-        return [(2 * F.col(f"`__{end}_{c}`") - F.col(f"`{c}`")).alias(c) for c in channels]
-
-    inner = both.select("rec", "seq", "t", place.alias("__i"), length.alias("__top"), *channels)
-    head = both.where((F.col("seq") > F.col("__a")) & (F.col("seq") <= F.col("__a") + PAD)).select("rec", F.lit(None).cast("bigint").alias("seq"), "t", (2 * PAD - place).alias("__i"), length.alias("__top"), *turned("a"))
-    tail = both.where((F.col("seq") < F.col("__b")) & (F.col("seq") >= F.col("__b") - PAD)).select("rec", F.lit(None).cast("bigint").alias("seq"), "t", (2 * (F.col("__b") - F.col("__a") + PAD) - place).alias("__i"), length.alias("__top"), *turned("b"))
-    return inner.unionByName(head).unionByName(tail)
+def _turned(blocks: DataFrame, on: bool) -> DataFrame:
+    """The first and the last block of each recording longer (``on``) or shorter by ``PAD`` samples, those that stand next
+    to the end, turned about the end sample. Recordings of ``PAD`` samples or fewer have none to turn and give nothing."""
+    wide = len([c for c in blocks.columns if c.startswith("c")])
+    shape = blocks.schema
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            first, last = (frame["block"] == 0).astype(int).tolist(), (frame["block"] == frame["blocks"] - 1).astype(int).tolist()
+            out = {}
+            for c in ["t", *[f"c{i}" for i in range(wide)]]:
+                found = []
+                for x, head, tail in zip(frame[c], first, last, strict=True):
+                    x = np.asarray(x, np.float64)
+                    if on:
+                        before, behind = 2 * x[0] - x[PAD:0:-1], 2 * x[-1] - x[-2 : -PAD - 2 : -1]
+                        x = np.concatenate([*[before] * head, x, *[behind] * tail])
+                    else:
+                        x = x[PAD * head : len(x) - PAD * tail]
+                    found.append(x)
+                out[c] = found
+            yield frame.assign(**out)
+
+    return (blocks.where((F.col("blocks") > 1) | (F.size("t") > PAD)) if on else blocks).mapInPandas(ends, shape)
+
+
+def _zero_phase(s: Signal, system: System, block: int) -> DataFrame:
+    s.need("signal")
+    if block <= PAD:
+        raise ValueError(f"a block has more than {PAD} samples")
+    forth = _pass(_turned(gathered(s, block), True), system, True)
+    return _turned(_pass(forth, system, True, back=True), False)
 
 
 def zero_phase(s: Signal, system: System, block: int = BLOCK) -> Signal:
     """Filtered forwards and backwards over whole recordings; those of ``PAD`` samples or fewer give no rows."""
-    s.need("signal")
-    channels = list(s.channels)
-    forth = _filtered(_mirrored(s.df.select("rec", "seq", "t", *channels), channels), channels, system, True, block)
-    back = _filtered(forth.withColumn("__i", F.col("__top") - F.col("__i")), channels, system, True, block)
-    return replace(s, df=back.where(F.col("seq").isNotNull()).select(*s.keys, *channels))
+    return replace(s, df=_samples(s, _zero_phase(s, system, block)))
 
 
 def downsample(s: Signal, factor: int, block: int = BLOCK) -> Signal:
     """Every ``factor``-th sample behind a low-pass of eighth order without phase."""
-    low = zero_phase(s, chebyshev_lowpass(8, 0.05, 0.8 / factor), block)
-    df = low.df.where(F.col("seq") % factor == 0).withColumn("seq", (F.col("seq") / factor).cast("bigint"))
-    return replace(low, df=df.select(*s.keys, *s.channels), fs=s.fs / factor)
-
-
+    low = _zero_phase(s, chebyshev_lowpass(8, 0.05, 0.8 / factor), block)
+    return replace(s, df=_samples(s, low, factor), fs=s.fs / factor)

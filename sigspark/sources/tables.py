@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import BLOCK, numbered
 from ..spec import Signal
 
 
-def from_table(df: DataFrame, rec: str, time: str, channels: list[str], fs: float = 0.0, order: list[str] | None = None) -> Signal:
-    """A table as a signal: samples numbered by time (and ``order``) within each recording."""
-    nth = F.row_number().over(Window.partitionBy(rec).orderBy(time, *(order or []))) - 1
-    df = df.select(F.col(rec).alias("rec"), nth.cast("bigint").alias("seq"), F.col(time).cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in channels])
-    return Signal(df, tuple(channels), fs)
+def from_table(df: DataFrame, rec: str, time: str, channels: list[str], fs: float = 0.0, order: list[str] | None = None, block: int = BLOCK) -> Signal:
+    """A table as a signal: samples numbered by time (and ``order``) within each recording, in parts of some ``block`` rows."""
+    order = order or []
+    rows = df.select(F.col(rec).alias("rec"), F.col(time).cast("double").alias("t"), *[F.col(c).alias(f"__order{i}") for i, c in enumerate(order)], *[F.col(c).cast("double").alias(c) for c in channels])
+    rows = numbered(rows, "rec", "t", [f"__order{i}" for i in range(len(order))], block)
+    return Signal(rows.select("rec", "seq", "t", *channels), tuple(channels), fs)
 
 
 def shift_clock(s: Signal, offset: float) -> Signal:
