@@ -18,6 +18,7 @@ from . import (
     sharding,
     spelling,
     token_counts,
+    toxicity,
     url_filter,
 )
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_heavy_path_trie": conversation_trie.op11_heavy_path_trie,
+        "op12_calibrated_toxicity": toxicity.op12_calibrated_toxicity,
         "op13_neighbourhood_variants": spelling.op13_neighbourhood_variants,
     }
 
