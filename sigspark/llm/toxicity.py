@@ -25,7 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,13 +46,15 @@ LEAST, ODDS = 2, 10.0
 STRONG = 3.0
 #: Second persons of four languages.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
-#: What stands for a letter in disguise.
+#: Signs that are counted, and what stands for a letter in disguise.
+SIGNS = [ord(c) for c in "#*$%&@|<>"]
 DISGUISE = str.maketrans("013457@$!|", "oieastasii")
 LETTERS = re.compile(r"[^\W\d_]+")
-STRETCH = re.compile(r"(.)\1{2,}")
+STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 INSIDE = re.compile(r"[^\W\d_][0-9@$!|*#]+[^\W\d_]")
 LOUD = re.compile(r"[!?]{2,}")
-KEPT = 200_000
+#: Letters of a word beyond these are of no account to the lexicon.
+LONGEST = 64
 
 NAMES = (
     "hits", "strong", "strong_log", "strongest", "weight", "kinds", "near_second", "second", "capitals", "shouted", "exclaimed", "loud", "signs", "mixed", "stretched",
@@ -60,88 +62,67 @@ NAMES = (
 )
 
 
-def terms(word: str) -> list[str]:
-    """What a lexicon may know of a lower-case word."""
-    return [word, *(word[:k] + "-" for k in (4, 5) if len(word) > k)]
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased."""
+    return LETTERS.findall(text.lower())
 
 
-def plain(token: str) -> str:
-    """The longest run of letters, lower-cased."""
-    return max(LETTERS.findall(token), key=len, default="").lower()
+def terms(word: str) -> list[str]:
+    """What a lexicon may know of a word: itself, and its beginnings, marked by a hyphen."""
+    return [word[:LONGEST], *(word[:k] + "-" for k in (4, 5) if len(word) > k)]
 
 
 def undone(token: str) -> str:
-    """``plain`` without disguises and stretched letters."""
-    return plain(STRETCH.sub(r"\1", token.translate(DISGUISE)))
+    """The longest word of a token without disguises and stretched letters."""
+    return max(words_of(STRETCH.sub(r"\1", token.translate(DISGUISE))), key=len, default="")
 
 
-@dataclass
 class Scorer:
-    """The features of texts by one lexicon; what is known of a token is kept while a task lasts."""
+    """The features of texts by one lexicon."""
 
-    lexicon: dict[str, float]
-    known: dict[str, tuple] = field(default_factory=dict)
+    def __init__(self, lexicon: dict[str, float]):
+        self.whole = {t: w for t, w in lexicon.items() if not t.endswith("-")}
+        self.begins = {t[:-1]: w for t, w in lexicon.items() if t.endswith("-")}
 
     def hit(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if word else 0.0
-
-    def token(self, token: str) -> tuple:
-        """(word, weight, shouted, mixed, stretched, disguised hit)."""
-        found = self.known.get(token)
-        if found is None:
-            word = plain(token)
-            weight, mixed, stretched = self.hit(word), bool(INSIDE.search(token)), bool(STRETCH.search(word))
-            hidden = 0.0
-            if mixed or stretched:
-                hidden = self.hit(undone(token))
-            found = (word, max(weight, hidden), len(word) > 1 and token.isupper(), mixed, stretched, hidden > max(weight, STRONG))
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            if len(token) <= 64:
-                self.known[token] = found
-        return found
+        """The largest weight of a word's terms, 0 without one."""
+        n, begins = len(word), self.begins
+        return max(self.whole.get(word[:LONGEST], 0.0), begins.get(word[:4], 0.0) if n > 4 else 0.0, begins.get(word[:5], 0.0) if n > 5 else 0.0)
 
     def features(self, text: str) -> list[float]:
         tokens = text.split()
         if not tokens:
             return [0.0] * len(NAMES)
-        n, size = len(tokens), max(1, len(text))
-        counts = Counter(tokens)
-        hits = strong = total = second = shouted = mixed = stretched = disguised = 0
-        top, kinds = 0.0, set()
-        for token, many in counts.items():
-            word, weight, loud, odd, long, hidden = self.token(token)
-            if weight > 0:
-                hits += many
-                total += weight * many
-                top = max(top, weight)
-                if weight >= STRONG:
-                    strong += many
-                    kinds.add(word)
-            second += many * (word in SECOND)
-            shouted, mixed, stretched, disguised = shouted + many * loud, mixed + many * odd, stretched + many * long, disguised + many * hidden
-        near = 0
-        if strong and second:
-            words = [self.token(t)[:2] for t in tokens]
-            last = -REACH - 1
-            reached = [False] * n
-            for i, (word, _) in enumerate(words):
-                last = i if word in SECOND else last
-                reached[i] = i - last <= REACH
-            last = n + REACH + 1
-            for i in range(n - 1, -1, -1):
-                last = i if words[i][0] in SECOND else last
-                reached[i] = reached[i] or last - i <= REACH
-            near = sum(r for r, (_, weight) in zip(reached, words, strict=True) if weight >= STRONG)
-        letters = sum(map(len, LETTERS.findall(text)))
-        capitals = sum(map(str.isupper, text))
-        exclaimed, signs = text.count("!"), sum(map(text.count, "#*$%&@|<>"))
+        n, size, words = len(tokens), len(text), words_of(text)
+        counts = Counter(words)
+        weights = {w: weight for w in counts if (weight := self.hit(w))}
+        odd = [t for t in tokens if INSIDE.search(t)] if INSIDE.search(text) else []
+        stretched = [t for t in tokens if STRETCH.search(t)] if STRETCH.search(text) else []
+        # A disguised word counts as the word itself does.
+        hidden = [x for t in (*odd, *stretched) if (x := self.hit(undone(t))) >= STRONG and x > max(map(self.hit, words_of(t)), default=0.0)] if odd or stretched else []
+        strong = {w for w, weight in weights.items() if weight >= STRONG}
+        n_strong = sum(counts[w] for w in strong) + len(hidden)
+        seconds = sum(counts[w] for w in SECOND if w in counts)
+        codes = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+        letters = sum(len(w) * many for w, many in counts.items())
         return [
-            hits / n, strong / n, math.log1p(strong), top, total / n, math.log1p(len(kinds)), near / n, second / n, capitals / max(1, letters), shouted / n,
-            exclaimed / size, len(LOUD.findall(text)) / n, signs / size, mixed / n, stretched / n, disguised / n, math.log1p(n),
+            (sum(counts[w] for w in weights) + len(hidden)) / n, n_strong / n, math.log1p(n_strong), max([*weights.values(), *hidden], default=0.0),
+            (sum(counts[w] * x for w, x in weights.items()) + sum(hidden)) / n,
+            math.log1p(len(strong)), (near_second(words, strong) if strong and seconds else 0) / n, seconds / n, codes[65:91].sum() / max(1, letters),
+            sum(len(t) > 1 for t in filter(str.isupper, tokens)) / n, codes[33] / size, (len(LOUD.findall(text)) if codes[33] + codes[63] > 1 else 0) / n, codes[SIGNS].sum() / size,
+            len(odd) / n, len(stretched) / n, len(hidden) / n, math.log1p(n),
         ]
 
 
+def near_second(words: list[str], strong: set[str]) -> int:
+    """How many strong words have a second person within ``REACH`` words before or behind them."""
+    places = [i for i, w in enumerate(words) if w in SECOND]
+    at = np.array([i for i, w in enumerate(words) if w in strong])
+    k = np.searchsorted(places, at)
+    padded = np.array([-REACH - 1, *places, len(words) + REACH])
+    return int(((at - padded[k] <= REACH) | (padded[k + 1] - at <= REACH)).sum())
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
@@ -183,8 +164,7 @@ def lexicons(rows: DataFrame) -> list[dict[str, float]]:
         for frame in frames:
             counts: Counter = Counter()
             for text, label, fold in zip(frame["text"], frame["label"], frame["fold"], strict=True):
-                words = {plain(t) for t in set(text.split())} - {""}
-                counts.update((t, fold, label) for t in {t for w in words for t in terms(w) if len(t) <= 64})
+                counts.update((t, fold, label) for t in {t for w in set(words_of(text)) for t in terms(w)})
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["term", "fold", "label", "n"])
 
     sizes = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
