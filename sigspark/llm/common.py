@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, for a Java character class (fixed values).
@@ -79,18 +79,39 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner", finer: int = 1) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row a ``key``, so that no task gets all rows of a hot key.
 
     Rows are dealt by (key, salt), the salt coming from column ``by``. The pairs that occur, at most one row a pair and
-    map task, meet ``keyed`` first; there are as many salts as shuffle partitions, so a hot key fills all of them.
+    map task, meet ``keyed`` first; there are ``finer`` times as many salts as shuffle partitions, so a hot key fills
+    all of them, the more evenly the finer.
     """
-    salts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    salts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8) * finer
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     shares = salted.select(key, "__salt").distinct().join(keyed, key)
     return salted.join(shares, [key, "__salt"], how).drop("__salt")
 
 
+def row_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``__row``, a number of its own for each, written to the shared folder, so that a row has the same number
+    whenever it is read again. What tells apart rows that repeat each other goes by it."""
+    return written(rows.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
+def copy_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``__row``) with ``__copy``: 1, 2, ... among those of one ``key``.
+
+    Rows are numbered within (key, part of the input); from part to part goes one row a key and part. So no
+    task holds all rows of a hot key.
+    """
+    rows = rows.withColumn("__part", F.shiftright("__row", 33))
+    shares = rows.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select(key, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(key, "__part").orderBy("__row"))
+    return rows.join(shares, [key, "__part"]).withColumn("__copy", F.col("__before") + nth).drop("__part", "__before")
+
+
 def with_results(df: DataFrame, source: list[str], results: dict[str, Column]) -> DataFrame:
     """The input's columns and the results; a result replaces an input column of the same name (in any case)."""
     taken = {name.lower() for name in results}

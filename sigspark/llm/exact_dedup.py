@@ -7,9 +7,11 @@ is not shuffled), appended, and the batch's rows then read their verdict from th
 Recovery: a batch has a name. If a job dies behind its append and is run again with the same name and rows, the index
 knows the batch's texts as its own, adds nothing, and gives the same verdicts.
 
-Skew: a text may make up a third of all rows. Rows are grouped by (digest, salt), the salt coming from the
-row's id, and these shares are written to the shared folder before anything is joined, so that no plan can skip that
-step; only the shares, as many for a digest as there are shuffle partitions at most, meet at the digest.
+Skew: a text may make up a third of all rows, with ids of their own, with one id or without any. Rows get a number each and
+are written once to the shared folder (``row_numbers``). Verdicts on texts are grouped with a partial aggregation, so that a
+hot text is one row a map task, and go back to the rows by (digest, salt), the salt coming from the row's number
+(``spread_join``): a hot text's rows fill all tasks, whatever their ids. Of rows that repeat both id and text, the one with the
+smallest number stays; no window is needed to find it.
 
 Defined results: a null text is the empty text; null ids sort below all others, so they stay only if the
 text has no row with an id; of rows that repeat both id and text exactly one stays; an empty table gives an
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_path, read_table, remove, text_of, with_results, written
+from .common import discard, fresh_path, read_table, remove, row_numbers, spread_join, text_of, with_results, written
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
@@ -76,40 +78,42 @@ class DigestIndex:
         self._write(new.repartition(self.buckets, "digest"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, salts: int | None = None) -> DataFrame:
+def digested(docs: DataFrame) -> DataFrame:
+    """``docs`` with the digest of each text, which is all that verdicts depend on beside the id."""
+    return docs.withColumn("__digest", F.unhex(F.sha2(text_of(), 256)))
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     ``keep_id``: the id of the row that stays, the largest of its text in the batch that brought the text
     first. ``group_size``: this batch's rows with the text. A text of another batch keeps no row. ``batch`` names this
     one; without a name every call is a batch of its own. Without ``index`` one is made for this call alone.
     """
-    spark = docs.sparkSession
+    return verdicts(digested(docs), docs.columns, index, batch)
+
+
+def verdicts(rows: DataFrame, columns: list[str], index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """``exact_dedup`` for rows that are digested; ``columns`` of theirs pass through."""
     own = index is None
-    index = index or DigestIndex(spark)
+    index = index or DigestIndex(rows.sparkSession)
     batch = batch or uuid.uuid4().hex
-    salts = salts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    rows = docs.withColumns({"__digest": F.unhex(F.sha2(text_of(), 256)), "__salt": salt})
-    shares = written(rows.groupBy("__digest", "__salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "shares")
-    texts = shares.groupBy(F.col("__digest").alias("digest")).agg(F.max("top").alias("keep_id"), F.sum("n").alias("n"))
+    rows = row_numbers(rows, "digested")
+    top = F.max(F.struct("doc_id", (-F.col("__row")).alias("o")))  # a null id is the least
+    texts = rows.groupBy(F.col("__digest").alias("digest")).agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
+    texts = written(texts.select("digest", F.col("top.doc_id").alias("keep_id"), (-F.col("top.o")).alias("first"), "n"), "texts")
     index.append(texts.select("digest", "keep_id"), batch)
-
-    known = texts.select("digest", "n").join(index.rows().hint("merge"), "digest")
-    groups = shares.select("__digest", "__salt").join(
-        known.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("n").alias("__n"), (F.col("batch") == batch).alias("__new")),
-        "__digest",
-    )
-    groups = written(groups, "groups")
-    discard(shares)
+    known = texts.drop("keep_id").join(index.rows().hint("merge"), "digest")
+    kept = F.when(F.col("batch") == batch, F.col("first"))
+    known = written(known.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("n").alias("__n"), kept.alias("__first")), "known")
+    discard(texts)
     if own:
         index.close(delete=True)
-    nth = F.row_number().over(Window.partitionBy("__digest", "__salt").orderBy(F.col("doc_id").desc_nulls_last()))
-    found = rows.join(groups, ["__digest", "__salt"]).withColumn("__nth", nth)
-    kept = F.col("__new") & F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__nth") == 1)
+    found = spread_join(rows, known, "__digest", "__row", finer=16)
     return with_results(
         found,
-        docs.columns,
-        {"keep_id": F.col("__keep"), "group_size": F.col("__n"), "kept": kept, "text_sha256": F.lower(F.hex("__digest"))},
+        columns,
+        {"keep_id": F.col("__keep"), "group_size": F.col("__n"), "kept": F.coalesce(F.col("__row") == F.col("__first"), F.lit(False)), "text_sha256": F.lower(F.hex("__digest"))},
     )
 
 
@@ -121,7 +125,8 @@ def distinct_texts(docs: DataFrame, index: DigestIndex | None = None, batch: str
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = digested(docs).select("doc_id", "__digest")  # texts themselves need not be written
+    return verdicts(rows, ["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP10_SQL = """

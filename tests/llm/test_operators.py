@@ -219,6 +219,39 @@ def test_sharding(docs, odd):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+@pytest.fixture
+def sixteen(spark):
+    """16 tasks a shuffle, which Spark must not even out by itself."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("hot", ["null, cast(null as string)", "7, 'one text'", "id, 'one text'"])
+def test_copies_fill_all_tasks(spark, sixteen, monkeypatch, hot):
+    """A third of the rows repeat each other, with and without an id: no task gets much more than the others."""
+    monkeypatch.setattr(sharding, "ROWS_PER_TASK", 64)
+    few = spark.range(13_333).selectExpr(*[f"{x} AS {n}" for n, x in zip(("doc_id", "text"), hot.split(", ", 1), strict=True)])
+    docs = few.unionByName(spark.range(100_000, 126_667).selectExpr("id AS doc_id", "concat('text ', id) AS text")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    for found in (sharding.shard(docs), exact_dedup.exact_dedup(docs)):
+        sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect())
+        assert sum(sizes) == 40_000 and len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 26_668
+    rows = sharding.shard(docs).toPandas()
+    assert all(sorted(g["slot"]) == list(range(5000)) for _, g in rows.groupby("shard"))
+
+
+def test_sharding_does_not_depend_on_partitions(spark, docs, odd):
+    told = lambda df: sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(df).collect())
+    odd = odd.select("doc_id", "text")
+    both = docs.select("doc_id", "text").unionByName(odd).unionByName(odd)
+    assert told(both) == told(both.repartition(9))
+
+
 def test_url_filter(spark):
     rows = [(1, "https://A.example.ORG/es/1?x"), (2, None), (3, "no scheme"), (4, "http://x.com/fr/2"), (5, "http://x.com"), (6, "https://cheap-pills.example.net/en/3"), (7, "https://therin.example.net/en/3")]
     good = [f"https://{w}.example.net/en/{i}" for i in range(40) for w in ("thering", "ondthe", "athere")]
