@@ -161,11 +161,14 @@ def renumber_runs(files: DataFrame) -> DataFrame:
 
 
 def training_windows(s: Signal, channel: str, peaks: DataFrame, length: int, share: float, seed: int = 1, dilate: int = 2) -> DataFrame:
-    """(rec, start, seq, x, label): windows drawn by a hash of their start that hold a peak; values scaled to [-1, 1],
-    labels 1 within ``dilate`` samples of a peak."""
+    """(rec, start, seq, x, label): windows drawn by their start that hold a peak; values scaled to [-1, 1], labels 1 within
+    ``dilate`` samples of a peak. A start is drawn if the first 8 digits of the MD5 of ``seed:rec:seq``, modulo a
+    million, lie below ``share`` of it."""
     from .joins import between
 
-    drawn = s.df.where(F.pmod(F.xxhash64(F.lit(seed), "rec", "seq"), F.lit(1_000_000)) < int(share * 1_000_000)).select("rec", F.col("seq").cast("double").alias("begin"), (F.col("seq") + length).cast("double").alias("end"), F.col("seq").alias("start"))
+    named = F.concat_ws(":", F.lit(str(seed)), F.col("rec").cast("string"), F.col("seq").cast("string"))
+    mark = F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    drawn = s.df.where(mark % 1_000_000 < int(share * 1_000_000)).select("rec", F.col("seq").cast("double").alias("begin"), (F.col("seq") + length).cast("double").alias("end"), F.col("seq").alias("start"))
     near = peaks.select("rec", F.explode(F.sequence(F.col("seq") - dilate, F.col("seq") + dilate)).alias("seq")).distinct().withColumn("label", F.lit(1))
     rows = s.df.select("rec", "seq", F.col("seq").cast("double").alias("t"), F.col(f"`{channel}`").alias("v")).join(near, ["rec", "seq"], "left")
     inside = between(rows, drawn, float(length)).select("rec", "start", "seq", "v", F.coalesce("label", F.lit(0)).alias("label"))

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, display, epochs, features, iir, joins, project, spectral, stats, tools
-from ..sources import generator, scenario, sinks, tables
+from ..sources import eeglab, generator, scenario, sinks, tables
 from ..spec import Signal
+from ..streaming import artifacts as live
+from ..streaming import epochs as sliding_live
+from ..streaming import landing, stateful
 
 HOUR = 3600.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,7 +209,41 @@ _NOTCH = iir.from_coefficients(*iir.notch(50.0, 2.0, 250.0))
 query("butter_band", _convolution(_BUTTER, 512))(lambda spark, d: shown(iir.butter(tables.event_signal(spark, d), 8.0, 30.0, 2), "rec", "seq"))
 query("notch", _convolution(_NOTCH, 512))(lambda spark, d: shown(iir.notch_filter(tables.event_signal(spark, d), 50.0, 2.0), "rec", "seq"))
 query("fir_lowpass", _convolution(iir.from_coefficients(iir.windowed_sinc(21, 20.0, 250.0), [1.0]), 64))(lambda spark, d: shown(iir.fir_lowpass(tables.event_signal(spark, d), 21, 20.0), "rec", "seq"))
-query("downsample")(lambda spark, d: shown(iir.downsample(tables.event_signal(spark, d), 2), "rec", "seq"))
+
+
+def _downsampling(factor: int) -> str:
+    """Four sections of two poles each, from the closed form of Chebyshev's filter, one after another, sample by sample, forth and
+    back over the signal turned about its ends."""
+    n = range(1, 5)
+
+    def walk(name: str, source: str) -> str:
+        """Each step: the sections' outputs from input and states (o1 to o4), then the new states."""
+        first = ", ".join(f"x - g{k} * x AS p{k}, g{k} * x - d{k} * x AS q{k}" for k in n)
+        outputs = "i.x AS o0, f.*, " + ", ".join(f"c.{v}{k}" for k in n for v in "adg") + ", c.level"
+        chain = f"(SELECT {outputs}, i.n AS nn FROM {name} f JOIN {source} i ON i.rec = f.rec AND i.n = f.n + 1, c)"
+        for k in n:
+            chain = f"(SELECT *, g{k} * o{k - 1} + p{k} AS o{k} FROM {chain})"
+        after = ", ".join(f"2 * g{k} * o{k - 1} - a{k} * o{k} + q{k}, g{k} * o{k - 1} - d{k} * o{k}" for k in n)
+        start = f"(SELECT i.rec, i.n - 1 AS n, i.x, c.* FROM {source} i, c WHERE i.n = 0)"
+        return f"{name} AS (SELECT rec, n, 0.0::DOUBLE AS y, {first} FROM {start} UNION ALL SELECT rec, nn, o4 * level, {after} FROM {chain})"
+
+    return f"""WITH RECURSIVE {EVENTS},
+    r AS (SELECT sqrt(pow(10, 0.05 / 10) - 1) AS e), h AS (SELECT e, asinh(1 / e) / 8 AS m, 4 * tan({PI} * 0.8 / {factor} / 2) AS w FROM r),
+    s AS (SELECT k, -w * sinh(m) * sin({PI} * (2 * k - 1) / 16) AS u, w * cosh(m) * cos({PI} * (2 * k - 1) / 16) AS v, 1 / sqrt(1 + e * e) AS level FROM h, (SELECT unnest(range(1, 5)) AS k)),
+    z AS (SELECT k, level, -2 * (16 - u * u - v * v) / (pow(4 - u, 2) + v * v) AS a, (pow(4 + u, 2) + v * v) / (pow(4 - u, 2) + v * v) AS d FROM s),
+    c AS (SELECT max(level) AS level, {", ".join(f"max(a) FILTER (k = {k}) AS a{k}, max(d) FILTER (k = {k}) AS d{k}, max((1 + a + d) / 4) FILTER (k = {k}) AS g{k}" for k in n)} FROM z),
+    b AS (SELECT rec, count(*) AS m, arg_min(value, seq) AS x0, arg_max(value, seq) AS x1 FROM sig GROUP BY rec HAVING count(*) > 27),
+    pad AS (SELECT rec, seq + 27 AS n, value AS x FROM sig JOIN b USING (rec) UNION ALL
+            SELECT rec, 27 - seq, 2 * x0 - value FROM sig JOIN b USING (rec) WHERE seq BETWEEN 1 AND 27 UNION ALL
+            SELECT rec, 2 * (m - 1) - seq + 27, 2 * x1 - value FROM sig JOIN b USING (rec) WHERE seq BETWEEN m - 28 AND m - 2),
+    {walk("forth", "pad")},
+    turned AS (SELECT rec, m + 53 - n AS n, y AS x FROM forth JOIN b USING (rec) WHERE n >= 0),
+    {walk("back", "turned")}
+    SELECT rec, (m + 53 - n - 27) // {factor} AS seq, round(y, 6) + 0.0 AS value FROM back JOIN b USING (rec)
+    WHERE n >= 0 AND m + 53 - n BETWEEN 27 AND m + 26 AND (m + 53 - n - 27) % {factor} = 0"""
+
+
+query("downsample", _downsampling(2))(lambda spark, d: shown(iir.downsample(tables.event_signal(spark, d), 2), "rec", "seq"))
 
 
 # Artifacts
@@ -290,8 +327,22 @@ def _lda(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
     return found.select("rec", "seq", *(["class"] if output == "class" else [F.round(c, 6).alias(c) for c in found.columns if c.startswith("p_")]))
 
 
-query("lda_class")(lambda spark, d: _lda(spark, d, "class"))
-query("lda_probability")(lambda spark, d: _lda(spark, d, "probability"))
+#: The pooled covariance beside the classes' means, turned into weights by elimination, one column a step.
+DISCRIMINANT = f"""WITH RECURSIVE {VECTORS}, mu AS (SELECT rec, seq, avg(x) AS m, count(*) AS n FROM vec GROUP BY rec, seq), total AS (SELECT count(*) AS n FROM embeddings),
+    cls AS (SELECT rec, row_number() OVER (ORDER BY rec) - 1 AS c FROM (SELECT DISTINCT rec FROM vec)),
+    away AS (SELECT epoch_id, seq, x - m AS d FROM vec JOIN mu USING (rec, seq)),
+    g AS (SELECT 0 AS k, a.seq AS i, b.seq AS j, sum(a.d * b.d) / (SELECT n FROM total) + CASE WHEN a.seq = b.seq THEN 1e-9 ELSE 0 END AS v FROM away a JOIN away b USING (epoch_id) GROUP BY a.seq, b.seq
+          UNION ALL SELECT 0, seq, 64 + c, m FROM mu JOIN cls USING (rec)),
+    solved AS (SELECT k, i, j, v FROM g UNION ALL
+               SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v / p.v ELSE a.v - f.v / p.v * r.v END
+               FROM solved a JOIN solved p ON p.i = a.k AND p.j = a.k JOIN solved f ON f.i = a.i AND f.j = a.k JOIN solved r ON r.i = a.k AND r.j = a.j WHERE a.k < 64),
+    w AS (SELECT i AS seq, rec, v FROM solved JOIN cls ON j = 64 + c WHERE k = 64),
+    o AS (SELECT w.rec, ln(max(mu.n) / (SELECT n FROM total)) - 0.5 * sum(w.v * mu.m) AS o FROM w JOIN mu USING (rec, seq) GROUP BY w.rec),
+    score AS (SELECT vec.rec, vec.epoch_id AS seq, w.rec AS class, sum(vec.x * w.v) + max(o.o) AS s FROM vec JOIN w ON w.seq = vec.seq JOIN o ON o.rec = w.rec GROUP BY vec.rec, vec.epoch_id, w.rec),
+    chance AS (SELECT rec, seq, class, s, exp(s - max(s) OVER v) / sum(exp(s - (SELECT max(s) FROM score q WHERE q.seq = score.seq))) OVER v AS p FROM score WINDOW v AS (PARTITION BY seq))"""
+
+query("lda_class", f"{DISCRIMINANT} SELECT rec, seq, arg_max(class, s)::INT AS class FROM score GROUP BY rec, seq")(lambda spark, d: _lda(spark, d, "class"))
+query("lda_probability", f"{DISCRIMINANT} SELECT rec, seq, " + ", ".join(f"round(max(p) FILTER (class = {k}), 6) AS p_{k}" for k in range(10)) + " FROM chance GROUP BY rec, seq")(lambda spark, d: _lda(spark, d, "probability"))
 
 
 # Sources
@@ -364,9 +415,46 @@ query("file_pairs", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'rest' ELSE
 )
 
 
-@query("training_windows")
+@query(
+    "training_windows",
+    f"""WITH {EVENTS}, dr AS (SELECT rec, seq AS start FROM sig WHERE ('0x' || substr(md5(concat_ws(':', 1, rec, seq)), 1, 8))::BIGINT % 1000000 < 200000),
+    near AS (SELECT DISTINCT rec, seq FROM (SELECT rec, unnest(range(seq - 2, seq + 3)) AS seq FROM sig WHERE value > 90)),
+    i AS (SELECT s.rec, dr.start, s.seq, s.value, (near.seq IS NOT NULL)::INT AS label FROM sig s JOIN dr ON s.rec = dr.rec AND s.seq >= dr.start AND s.seq < dr.start + 16 LEFT JOIN near ON near.rec = s.rec AND near.seq = s.seq)
+    SELECT rec, start, seq, round(2 * (value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) - 1, 6) + 0.0 AS x, label FROM i
+    WINDOW w AS (PARTITION BY rec, start) QUALIFY count(*) OVER w = 16 AND max(label) OVER w = 1""",
+)
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.event_signal(spark, sf_dir)
-    return tools.training_windows(s, "value", s.df.where("value > 90").select("rec", "seq"), 16, 0.2)
+    return tools.training_windows(s, "value", s.df.where("value > 90").select("rec", "seq"), 16, 0.2).withColumn("x", F.round("x", 6) + 0.0)
+
+
+@query("eeglab_round_trip", f"WITH {EVENTS} SELECT rec::VARCHAR AS rec, seq, round(seq / 250.0, 6) AS t, round(value, 6) + 0.0 AS value, CASE WHEN value > 90 THEN 'high' END AS marker FROM sig")
+def eeglab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and the markers at high ones, packed into files of structures and unpacked again."""
+    s = tables.event_signal(spark, sf_dir)
+    s = Signal(s.df.withColumn("t", F.col("seq") / 250.0), s.channels, s.fs)
+    marks = s.df.where("value > 90").select("rec", F.col("seq").alias("mseq"), "t", F.lit("high").alias("marker"))
+    got, found = eeglab.signal_of(eeglab.blocks_of(eeglab.files_of(s, marks).select("rec", "content")), ["value"], s.fs)
+    at = found.select("rec", F.round(F.col("t") * s.fs).cast("bigint").alias("seq"), "marker")
+    return got.df.join(at, ["rec", "seq"], "left").select("rec", "seq", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value"), "marker")
+
+
+# Over streams: tables landed in files, played to their end
+
+query("stream_ga_correct", SQL["ga_correct"])(lambda spark, d: shown(_streamed(spark, tables.event_signal(spark, d), lambda s: live.gradient_correction(s, None, None, 3, 4, 7 / 250)[0]), "rec", "seq"))
+query("stream_epoch_mean", SQL["epoch_time_mean"])(
+    lambda spark, d: _streamed(spark, tables.event_signal(spark, d), lambda s: sliding_live.epoch_stat(sliding_live.gathered_epochs(s, DAY, DAY / 4), "mean")).df.select("rec", "epoch_id", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value"))
+)
+query("stream_butter_band", SQL["butter_band"])(lambda spark, d: shown(_streamed(spark, tables.event_signal(spark, d), lambda s: stateful.butter(s, 8.0, 30.0, 2)), "rec", "seq"))
+
+
+def _streamed(spark: SparkSession, s: Signal, operator: Callable[[Signal], Signal]) -> Signal:
+    """A signal landed in three parts of each recording, and what an operator makes of that stream."""
+    made: list[Signal] = []
 
+    def make() -> DataFrame:
+        made.append(operator(Signal(landing.landed(s.df, "seq", 30, 3), s.channels, s.fs)))
+        return made[0].df
 
+    df = landing.played(spark, make)
+    return Signal(df, made[0].channels, made[0].fs, made[0].kind)

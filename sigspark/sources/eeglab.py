@@ -97,7 +97,8 @@ def files_of(s: Signal, markers: DataFrame, rows: int = 1 << 20, compress: bool
     bounds = s.df.groupBy("rec").agg(F.min("t").alias("__begin"), F.min("seq").alias("__first"), F.max("seq").alias("__last"))
     place = F.round((F.col("t") - F.col("__begin")) * fs).cast("bigint") + F.col("__first")
     marks = markers.join(bounds, "rec").withColumn("__place", place).where((F.col("__place") >= F.col("__first")) & (F.col("__place") <= F.col("__last")))
-    marks = marks.select("rec", F.floor(F.col("__place") / rows).alias("part"), "mseq", (F.col("__place")).alias("place"), "marker")
+    # New names, as markers may stem from the very samples they meet.
+    marks = marks.select("rec", F.floor(F.col("__place") / rows), "mseq", "__place", "marker").toDF("of", "of_part", "mseq", "place", "marker")
     samples = s.df.select("rec", F.floor(F.col("seq") / rows).alias("part"), "seq", "t", *names)
 
     def pack(key: tuple, frame: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +109,7 @@ def files_of(s: Signal, markers: DataFrame, rows: int = 1 << 20, compress: bool
         raw = packed(str(key[0]), frame[names].to_numpy(np.float64).T, frame["t"].to_numpy(np.float64), fs, names, events["marker"].astype(str).tolist(), (events["place"] - first).tolist(), compress)
         return pd.DataFrame({"rec": [key[0]], "part": [key[1]], "content": [raw]})
 
-    return samples.groupBy("rec", "part").cogroup(marks.groupBy("rec", "part")).applyInPandas(pack, f"rec {rec}, part bigint, content binary")
+    return samples.groupBy("rec", "part").cogroup(marks.groupBy("of", "of_part")).applyInPandas(pack, f"rec {rec}, part bigint, content binary")
 
 
 def write(s: Signal, markers: DataFrame, folder: str, rows: int = 1 << 20) -> None:
