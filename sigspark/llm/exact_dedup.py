@@ -119,8 +119,8 @@ def verdicts(rows: DataFrame, columns: list[str], index: DigestIndex | None = No
 
 def distinct_texts(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they came with."""
-    marked = docs.withColumn("__row", F.struct("*")).select("__row", "doc_id", "text")
-    return exact_dedup(marked, index, batch).where("kept").select("__row.*")
+    marked = docs.withColumn("__whole", F.struct("*")).select("__whole", "doc_id", "text")
+    return exact_dedup(marked, index, batch).where("kept").select("__whole.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

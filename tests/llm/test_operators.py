@@ -86,6 +86,14 @@ def test_exact_dedup(docs, odd):
         assert all((r.keep_id, r.group_size) == (best[r.text or ""], size[r.text or ""]) for r in rows)
 
 
+def test_distinct_texts_pass_whole(odd):
+    """Rows that stay, with the columns they came with, those named as the operator's own among them."""
+    df = odd.withColumns({"__row": F.lit(3), "keep_id": F.lit("x")})
+    kept = exact_dedup.distinct_texts(df)
+    assert kept.columns == df.columns and kept.count() == len({r.text or "" for r in odd.collect()})
+    assert {r["keep_id"] for r in kept.collect()} == {"x"}
+
+
 def test_failed_batch_is_run_again(spark, odd, monkeypatch):
     """A job that dies between its append and its read gives the same verdicts when it is run again."""
     want = sorted(map(str, exact_dedup.exact_dedup(odd).collect()))
