@@ -192,23 +192,32 @@ query("hilbert_channels", f"{ENVELOPE} SELECT rec, epoch_id AS seq, " + ", ".joi
 query("hilbert_time", f"{ENVELOPE} SELECT rec, epoch_id, seq, x FROM env")(lambda spark, d: shown(spectral.hilbert(tables.vector_epochs(spark, d), "time"), "rec", "epoch_id", "seq"))
 
 
-# Filters: the SQL convolves with the impulse response, which is as long as any recording
-
-
-def _convolution(system, taps: int = 2048) -> str:
-    pulse = np.zeros((taps, 1))
-    pulse[0] = 1
-    h = system.run(pulse, np.zeros((system.order, 1)))[0][:, 0]
-    last = int(np.flatnonzero(np.abs(h) > 1e-13).max()) + 1 if (np.abs(h) > 1e-13).any() else 1
-    values = ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(h[:last].tolist()))
-    return f"WITH {EVENTS}, h(k, w) AS (VALUES {values}) SELECT a.rec, a.seq, round(sum(h.w * b.value), 6) + 0.0 AS value FROM sig a JOIN sig b ON a.rec = b.rec AND b.seq <= a.seq JOIN h ON h.k = a.seq - b.seq GROUP BY a.rec, a.seq"
-
-
-_BUTTER = iir.from_coefficients(*iir.butter_bandpass(2, 8.0, 30.0, 250.0))
-_NOTCH = iir.from_coefficients(*iir.notch(50.0, 2.0, 250.0))
-query("butter_band", _convolution(_BUTTER, 512))(lambda spark, d: shown(iir.butter(tables.event_signal(spark, d), 8.0, 30.0, 2), "rec", "seq"))
-query("notch", _convolution(_NOTCH, 512))(lambda spark, d: shown(iir.notch_filter(tables.event_signal(spark, d), 50.0, 2.0), "rec", "seq"))
-query("fir_lowpass", _convolution(iir.from_coefficients(iir.windowed_sinc(21, 20.0, 250.0), [1.0]), 64))(lambda spark, d: shown(iir.fir_lowpass(tables.event_signal(spark, d), 21, 20.0), "rec", "seq"))
+# Filters: the SQL convolves with the impulse response, longer than any recording, from the design's closed form
+
+
+def _convolution(design: str) -> str:
+    """``design``: tables that end in h (k, w), the response at lag k."""
+    return f"WITH RECURSIVE {EVENTS}, {design} SELECT a.rec, a.seq, round(sum(h.w * b.value), 6) + 0.0 AS value FROM sig a JOIN sig b ON a.rec = b.rec AND b.seq <= a.seq JOIN h ON h.k = a.seq - b.seq GROUP BY a.rec, a.seq"
+
+
+#: Four poles: the prototype's upper one turned into two of the band, each with its mirror image.
+_BUTTER = f"""w AS (SELECT 4 * tan({PI} * 30 / 250) - 4 * tan({PI} * 8 / 250) AS w, 16 * tan({PI} * 30 / 250) * tan({PI} * 8 / 250) AS c),
+    half AS (SELECT w, c, -w / 2 * sqrt(0.5) AS r, w / 2 * sqrt(0.5) AS i FROM w), sq AS (SELECT *, r * r - i * i - c AS x, 2 * r * i AS y FROM half),
+    root AS (SELECT *, sqrt((sqrt(x * x + y * y) + x) / 2) AS p, sign(y) * sqrt((sqrt(x * x + y * y) - x) / 2) AS q FROM sq),
+    pole AS (SELECT w, r + p AS u, i + q AS v, r - p AS u2, i - q AS v2 FROM root),
+    z AS (SELECT w, pow(4 - u, 2) + v * v AS n, pow(4 - u2, 2) + v2 * v2 AS n2, u, v, u2, v2 FROM pole),
+    s AS (SELECT 16 * w * w / n / n2 AS g, -2 * (16 - u * u - v * v) / n AS a, (pow(4 + u, 2) + v * v) / n AS d, -2 * (16 - u2 * u2 - v2 * v2) / n2 AS e, (pow(4 + u2, 2) + v2 * v2) / n2 AS f FROM z),
+    den AS (SELECT g, a + e AS a1, d + f + a * e AS a2, a * f + d * e AS a3, d * f AS a4 FROM s),
+    h AS (SELECT 0 AS k, g AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM den UNION ALL
+          SELECT k + 1, CASE k + 1 WHEN 2 THEN -2 * g WHEN 4 THEN g ELSE 0 END - a1 * w - a2 * x - a3 * y - a4 * z, w, x, y FROM h, den WHERE k < 511)"""
+_NOTCH = f"""o AS (SELECT cos(2 * {PI} * 50 / 250) AS c, 1 / (1 + tan({PI} * 50 / 250 / 2)) AS g),
+    h AS (SELECT 0 AS k, g AS w, 0.0::DOUBLE AS x FROM o UNION ALL
+          SELECT k + 1, CASE k + 1 WHEN 1 THEN -2 * g * c WHEN 2 THEN g ELSE 0 END + 2 * g * c * w - (2 * g - 1) * x, w FROM h, o WHERE k < 511)"""
+_SINC = f"""r AS (SELECT k, CASE WHEN k = 10 THEN 2 * 20 / 250.0 ELSE sin(2 * {PI} * 20 / 250 * (k - 10)) / ({PI} * (k - 10)) END * (0.54 - 0.46 * cos(2 * {PI} * k / 20)) AS w FROM (SELECT unnest(range(21)) AS k)),
+    h AS (SELECT k, w / (SELECT sum(w) FROM r) AS w FROM r)"""
+query("butter_band", _convolution(_BUTTER))(lambda spark, d: shown(iir.butter(tables.event_signal(spark, d), 8.0, 30.0, 2), "rec", "seq"))
+query("notch", _convolution(_NOTCH))(lambda spark, d: shown(iir.notch_filter(tables.event_signal(spark, d), 50.0, 2.0), "rec", "seq"))
+query("fir_lowpass", _convolution(_SINC))(lambda spark, d: shown(iir.fir_lowpass(tables.event_signal(spark, d), 21, 20.0), "rec", "seq"))
 
 
 def _downsampling(factor: int) -> str:
