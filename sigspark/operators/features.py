@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ class Discriminant:
 
 def fit_lda(df: DataFrame, features: list[str], label: str, ridge: float = 1e-9) -> Discriminant:
     """Counts, means and the pooled covariance: sums of each batch, added up by place; one row a class reaches the driver."""
-    import pandas as pd
-
     low, high = np.triu_indices(len(features))
 
     def batch_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +75,6 @@ def classify(df: DataFrame, features: list[str], model: Discriminant, output: st
 
 def apply_model(df: DataFrame, features: list[str], predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """``class`` by any function from an array of rows to classes, such as a loaded model's."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def scored(*columns: pd.Series) -> pd.Series:
         return pd.Series([str(x) for x in predict(np.column_stack([c.to_numpy(float) for c in columns]))])

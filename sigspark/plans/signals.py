@@ -360,15 +360,16 @@ query("generator_oscillator", "WITH g AS (SELECT range AS seq, (range + 1) / 500
     lambda spark, d: shown(generator.generate(spark, "oscillator", 4, 500.0, 100_000), "seq")
 )
 DESCRIBED = {"trials": 4, "sessions": 2, "random": False, "classes": [769, 770], "init": [(32769, 1.0, 1.0)], "loop": [(768, 1.25, 1.25), (None, 1.0, 1.0)], "intersession": [(33025, 2.0, 2.0)], "end": [(32770, 1.0, 1.0)]}
-# Two sessions of a block of either class, four trials each.
-query(
-    "scenario",
-    """WITH b AS (SELECT unnest(range(4)) AS block), tr AS (SELECT block, unnest(range(4)) AS trial FROM b),
+#: Two sessions of a block of either class, four trials each, as table ``sc``.
+SCENARIO = """b AS (SELECT unnest(range(4)) AS block), tr AS (SELECT block, unnest(range(4)) AS trial FROM b),
     s AS (SELECT 0 AS o, 0 AS trial, 0 AS step, '32769' AS marker, 1.0::DOUBLE AS d UNION ALL
           SELECT 1 + 2 * block, trial, 0, '768', 1.25 FROM tr UNION ALL SELECT 1 + 2 * block, trial, 1, CASE WHEN block % 2 = 0 THEN '769' ELSE '770' END, 1.0 FROM tr UNION ALL
-          SELECT 2 + 2 * block, 0, 0, '33025', 2.0 FROM b WHERE block < 3 UNION ALL SELECT 100, 0, 0, '32770', 1.0)
-    SELECT 'scenario' AS rec, row_number() OVER w - 1 AS mseq, coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, marker FROM s WINDOW w AS (ORDER BY o, trial, step)""",
-)(lambda spark, d: scenario.scenario(spark, DESCRIBED))
+          SELECT 2 + 2 * block, 0, 0, '33025', 2.0 FROM b WHERE block < 3 UNION ALL SELECT 100, 0, 0, '32770', 1.0),
+    sc AS (SELECT 'scenario' AS rec, row_number() OVER w - 1 AS mseq, coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, marker FROM s WINDOW w AS (ORDER BY o, trial, step))"""
+query("scenario", f"WITH {SCENARIO} SELECT * FROM sc")(lambda spark, d: scenario.scenario(spark, DESCRIBED))
+query("gated_scenario", f"WITH {SCENARIO}, g AS (SELECT min(epoch_us(ts) / 1e6) AS t0 FROM events WHERE event_type = 'signup') SELECT rec, mseq, round(t + t0, 6) AS t, marker FROM sc, g")(
+    lambda spark, d: scenario.gated(scenario.scenario(spark, DESCRIBED), tables.event_markers(spark, d), "^sign").select("rec", "mseq", F.round("t", 6).alias("t"), "marker")
+)
 
 
 # Frames to draw, and tools
@@ -448,6 +449,30 @@ def eeglab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.df.join(at, ["rec", "seq"], "left").select("rec", "seq", F.round("t", 6).alias("t"), (F.round("value", 6) + 0.0).alias("value"), "marker")
 
 
+query("heart_rate", f"WITH {EVENTS} SELECT rec, round(60 * count(*) FILTER (value > 90) / (count(*) / 250.0), 6) AS bpm FROM sig GROUP BY rec HAVING count(*) FILTER (value > 90) > 0")(
+    lambda spark, d: (lambda s: tools.heart_rate(s.df.where("value > 90").select("rec", "seq"), s).select("rec", F.round("bpm", 6).alias("bpm")))(tables.event_signal(spark, d))
+)
+query(
+    "detection_quality",
+    "WITH r AS (SELECT value > 50 AS hit, event_type = 'purchase' AS label FROM events) SELECT round(count(*) FILTER (hit AND label) / count(*) FILTER (hit), 6) AS precision, round(avg((hit = label)::INT), 6) AS accuracy FROM r",
+)(
+    lambda spark, d: tools.detection_quality(tables.events(spark, d).select((F.col("value") / 100).alias("p"), (F.col("event_type") == "purchase").cast("int").alias("label"))).select(
+        F.round("precision", 6).alias("precision"), F.round("accuracy", 6).alias("accuracy")
+    )
+)
+query(
+    "renumber_runs",
+    """WITH f AS (SELECT DISTINCT 'sub-' || user_id || '_task-rest' AS prefix, event_id % 50 AS run FROM events), g AS (SELECT prefix, prefix || '_run-' || run AS name, run FROM f)
+    SELECT name, prefix || '_run-' || lpad((row_number() OVER (PARTITION BY prefix ORDER BY run, name))::VARCHAR, 2, '0') AS new_name FROM g""",
+)(
+    lambda spark, d: tools.renumber_runs(
+        tables.events(spark, d).select(F.concat(F.lit("sub-"), F.col("rec").cast("string"), F.lit("_task-rest_run-"), (F.col("event_id") % 50).cast("string")).alias("name")).distinct()
+    ).select("name", "new_name")
+)
+query("apply_model", "SELECT label::BIGINT AS rec, vec_id AS seq, (list_position(embedding, list_max(embedding)) - 1)::VARCHAR AS class FROM embeddings")(
+    lambda spark, d: (lambda s: features.apply_model(s.df, list(s.channels), lambda x: x.argmax(1)).select("rec", "seq", "class"))(tables.vector_signal(spark, d))
+)
+
 # Over streams: tables landed in files, played to their end
 
 query("stream_ga_correct", SQL["ga_correct"])(lambda spark, d: shown(_streamed(spark, tables.event_signal(spark, d), lambda s: live.gradient_correction(s, None, None, 3, 4, 7 / 250)[0]), "rec", "seq"))
