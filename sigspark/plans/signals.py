@@ -359,6 +359,9 @@ query("lda_probability", f"{DISCRIMINANT} SELECT rec, seq, " + ", ".join(f"round
 query("generator_oscillator", "WITH g AS (SELECT range AS seq, (range + 1) / 500.0 AS t FROM range(100000)) SELECT seq, " + r6(*[f"sin(2 * {PI} * {5 + i} * t) * {5 + 5 / (i + 1)!r} AS Ch{i + 1}" for i in range(4)]) + " FROM g")(
     lambda spark, d: shown(generator.generate(spark, "oscillator", 4, 500.0, 100_000), "seq")
 )
+query("generator_on_events", f"WITH {EVENTS} SELECT rec, seq, " + r6(*[f"sin(2 * {PI} * {5 + i} * ((seq + 1) / 500.0)) * {5 + 5 / (i + 1)!r} AS Ch{i + 1}" for i in range(4)]) + " FROM sig")(
+    lambda spark, d: (lambda s: shown(generator.on_times(Signal(s.df.withColumn("t", (F.col("seq") + 1) / 500), s.channels, 500.0), "oscillator", 4), "rec", "seq"))(tables.event_signal(spark, d))
+)
 DESCRIBED = {"trials": 4, "sessions": 2, "random": False, "classes": [769, 770], "init": [(32769, 1.0, 1.0)], "loop": [(768, 1.25, 1.25), (None, 1.0, 1.0)], "intersession": [(33025, 2.0, 2.0)], "end": [(32770, 1.0, 1.0)]}
 #: Two sessions of a block of either class, four trials each, as table ``sc``.
 SCENARIO = """b AS (SELECT unnest(range(4)) AS block), tr AS (SELECT block, unnest(range(4)) AS trial FROM b),
