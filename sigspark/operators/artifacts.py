@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.filters import butter_bandpass, from_coefficients
+from ..shared import kept
 from ..spec import Signal
 from .iir import zero_phase
 from .joins import latest
@@ -196,7 +197,7 @@ def pulse_artifact(
 
     ``filter_ecg`` lets the detector hear 0.5 to 30 Hz, filtered without phase over the whole recording. Markers are
     (rec, t, marker): ``Start of R peak detection``, ``R peak fixed`` for each final peak, and ``Start of PA
-    subtraction``. Both results run the detector; ``r_peaks`` and ``pulse_correction`` with written peaks run it once.
+    subtraction``. Peaks are written to the shared folder when this is called, so that the detector runs once.
     """
     s.need("signal")
     ecg = ecg or ecg_of(s.channels)
@@ -205,7 +206,7 @@ def pulse_artifact(
     if filter_ecg:
         heard = zero_phase(heard, from_coefficients(*butter_bandpass(4, 0.5, 30.0, s.fs)))
     gated = replace(heard, df=heard.df.join(starts.select("rec", "__start"), "rec").where(F.col("seq") >= F.col("__start")).drop("__start"))
-    peaks = r_peaks(gated, ecg, detector, stride, min_hc, threshold)
+    peaks = kept(r_peaks(gated, ecg, detector, stride, min_hc, threshold), "peaks")
     corrected = pulse_correction(s, ecg, peaks, min_wins, max_wins, max_hc, all_channels)
     rows, enough, _ = _cycles(s, peaks, min_wins, max_wins, max_hc)
     named = lambda df, name: df.select("rec", "t", F.lit(name).alias("marker"))

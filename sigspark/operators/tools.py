@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import Signal
+from .blocks import BLOCK
 
 
 def marker_code(marker: Column) -> Column:
@@ -59,48 +60,63 @@ def trim_by_markers(s: Signal, markers: DataFrame, first: str, last: str, before
     return trim(s, limits_by_markers(markers, first, last, before, after, from_last))
 
 
-def volume_markers(s: Signal, threshold: float, tr: float, gap: float = 1 / 60, spread: int = 10, off: int = 100, dummies: int = 2) -> DataFrame:
-    """(rec, seq) of volume onsets: steep places of the mean of all channels but the last (the ECG; a sole channel
-    counts) after the longest gaps shorter than ``tr * gap`` seconds, about ``tr`` apart, without the first ``dummies``.
+def slopes(s: Signal, block: int = BLOCK) -> DataFrame:
+    """(rec, seq, v: the first channel, slope a millisecond of the mean of all channels but the last; a sole channel counts).
 
-    The last onset goes if the first channel's greatest value in the second half of the volume behind it is less than
-    half of that in half a volume before it. Neighbours are found by their numbers, through joins, so that only steep
-    places are sorted by recording.
+    Neighbours are found within blocks of samples; the samples at a block's ends go to the next block, too.
     """
     heard = list(s.values().values())[: max(1, len(s.channels) - 1)]
-    rows = s.df.select("rec", "seq", (sum(heard) / len(heard)).alias("m"), heard[0].alias("v"))
-    prev = rows.select("rec", (F.col("seq") + 1).alias("seq"), F.col("m").alias("before"))
-    follow = rows.select("rec", (F.col("seq") - 1).alias("seq"), F.col("m").alias("after"))
-    around = rows.join(prev, ["rec", "seq"], "left").join(follow, ["rec", "seq"], "left")
+    own = F.floor(F.col("seq") / block)
+    blocks = F.filter(F.array(own, F.when(F.col("seq") % block == 0, own - 1), F.when(F.col("seq") % block == block - 1, own + 1)), lambda b: b.isNotNull())
+    rows = s.df.select("rec", "seq", (sum(heard) / len(heard)).alias("m"), heard[0].alias("v"), F.explode(blocks).alias("__block"))
+    by = Window.partitionBy("rec", "__block").orderBy("seq")
+    near = lambda f, d: F.when(f("seq").over(by) == F.col("seq") + d, f("m").over(by))
+    rows = rows.withColumns({"before": near(F.lag, -1), "after": near(F.lead, 1)}).where(F.col("__block") == own)
     steps = F.when(F.col("before").isNull() | F.col("after").isNull(), 1).otherwise(2)
-    slope = (F.coalesce("after", "m") - F.coalesce("before", "m")) / steps / (1000 / s.fs)
-    by = Window.partitionBy("rec").orderBy("seq")
-    gaps = around.where(F.abs(slope) > threshold).select("rec", "seq", (F.col("seq") - F.lag("seq").over(by)).alias("gap"))
-    longest = gaps.where(F.col("gap") < tr * gap * s.fs).groupBy("rec").agg(F.max("gap").alias("longest"))
-    onsets = gaps.join(longest, "rec").where((F.col("gap") >= F.col("longest") - spread) & (F.col("gap") < tr * gap * s.fs)).select("rec", "seq")
+    return rows.select("rec", "seq", "v", ((F.coalesce("after", "m") - F.coalesce("before", "m")) / steps / (1000 / s.fs)).alias("slope"))
+
+
+def volume_markers(s: Signal, threshold: float, tr: float, gap: float = 1 / 60, spread: int = 10, off: int = 100, dummies: int = 2) -> DataFrame:
+    """(rec, seq) of volume onsets: places with a slope beyond ``threshold`` after the longest gaps shorter than ``tr * gap``
+    seconds, about ``tr`` apart, without the first ``dummies``.
+
+    The last onset goes if the first channel's greatest value in the second half of the volume behind it is less than
+    half of that in half a volume before it. Only steep places are sorted by recording.
+    """
+    return onsets(s, [threshold], tr, gap, spread, off, dummies).select("rec", "seq")
+
+
+def onsets(s: Signal, thresholds: list[float], tr: float, gap: float = 1 / 60, spread: int = 10, off: int = 100, dummies: int = 2) -> DataFrame:
+    """(rec, nth: of the thresholds, from 0, seq) of ``volume_markers`` for each threshold; slopes are found once."""
+    places = slopes(s)
+    tried = F.posexplode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("nth", "threshold")
+    steep = places.where(F.abs("slope") > min(thresholds)).select("rec", "seq", "slope", tried).where(F.abs("slope") > F.col("threshold"))
+    by = Window.partitionBy("rec", "nth").orderBy("seq")
+    gaps = steep.select("rec", "nth", "seq", (F.col("seq") - F.lag("seq").over(by)).alias("gap"))
+    longest = gaps.where(F.col("gap") < tr * gap * s.fs).groupBy("rec", "nth").agg(F.max("gap").alias("longest"))
+    found = gaps.join(longest, ["rec", "nth"]).where((F.col("gap") >= F.col("longest") - spread) & (F.col("gap") < tr * gap * s.fs)).select("rec", "nth", "seq")
 
     volume = tr * s.fs
-    ends = onsets.groupBy("rec").agg(F.max("seq").alias("__z"))
+    ends = found.groupBy("rec", "nth").agg(F.max("seq").alias("__z"))
+    bounds = s.df.groupBy("rec").agg(F.min("seq").alias("__a"), F.max("seq").alias("__b"))
+    ends = ends.join(bounds, "rec").where((F.col("__a") - F.col("__z") <= -volume / 2) & (F.col("__b") - F.col("__z") >= volume))
     place = F.col("seq") - F.col("__z")
-    sides = rows.join(ends, "rec").groupBy("rec", "__z").agg(
-        F.max(F.when(place.between(-volume / 2, -1), F.col("v"))).alias("pre"), F.max(F.when(place.between(volume / 2 + 1, volume), F.col("v"))).alias("post"), F.min(place).alias("a"), F.max(place).alias("b")
-    )
-    quiet = sides.where((F.col("a") <= -volume / 2) & (F.col("b") >= volume) & (F.col("post") < 0.5 * F.col("pre"))).select("rec", F.col("__z").alias("seq"))
-    onsets = onsets.join(quiet, ["rec", "seq"], "left_anti").select("rec", "seq", F.lead("seq").over(by).alias("next"))
-    kept = onsets.where(F.col("next").isNull() | (F.abs(F.col("next") - F.col("seq") - volume) < off))
-    return kept.withColumn("__n", F.row_number().over(by)).where(F.col("__n") > dummies).select("rec", "seq")
+    around = s.df.select("rec", "seq", next(iter(s.values().values())).alias("v")).join(ends, "rec").where(place.between(-volume / 2, volume))
+    sides = around.groupBy("rec", "nth", "__z").agg(F.max(F.when(place.between(-volume / 2, -1), F.col("v"))).alias("pre"), F.max(F.when(place.between(volume / 2 + 1, volume), F.col("v"))).alias("post"))
+    quiet = sides.where(F.col("post") < 0.5 * F.col("pre")).select("rec", "nth", F.col("__z").alias("seq"))
+    found = found.join(quiet, ["rec", "nth", "seq"], "left_anti").select("rec", "nth", "seq", F.lead("seq").over(by).alias("next"))
+    whole = found.where(F.col("next").isNull() | (F.abs(F.col("next") - F.col("seq") - volume) < off))
+    return whole.withColumn("__n", F.row_number().over(by)).where(F.col("__n") > dummies).select("rec", "nth", "seq")
 
 
 def accepted_volumes(s: Signal, thresholds: list[float], tr: float, expected: int, tolerance: int, **options) -> DataFrame:
     """(rec, threshold, seq): for each recording the onsets by the first threshold that finds ``expected`` volumes, give
     or take less than ``tolerance``; none for recordings where no threshold does. A last volume that is cut off goes."""
-    tried = [volume_markers(s, x, tr, **options).select("rec", "seq", F.lit(i).alias("__i"), F.lit(float(x)).alias("threshold")) for i, x in enumerate(thresholds)]
-    found = tried[0]
-    for other in tried[1:]:
-        found = found.unionByName(other)
-    fitting = found.groupBy("rec", "__i").agg(F.count(F.lit(1)).alias("n")).where(F.abs(F.col("n") - expected) < tolerance).groupBy("rec").agg(F.min("__i").alias("__i"))
+    found = onsets(s, thresholds, tr, **options)
+    fitting = found.groupBy("rec", "nth").agg(F.count(F.lit(1)).alias("n")).where(F.abs(F.col("n") - expected) < tolerance).groupBy("rec").agg(F.min("nth").alias("nth"))
     last = s.df.groupBy("rec").agg(F.max("seq").alias("__last"))
-    return found.join(fitting, ["rec", "__i"]).join(last, "rec").where(F.col("seq") + tr * s.fs - 1 <= F.col("__last")).select("rec", "threshold", "seq")
+    threshold = F.element_at(F.array(*[F.lit(float(x)) for x in thresholds]), F.col("nth") + 1).alias("threshold")
+    return found.join(fitting, ["rec", "nth"]).join(last, "rec").where(F.col("seq") + tr * s.fs - 1 <= F.col("__last")).select("rec", threshold, "seq")
 
 
 def heart_rate(peaks: DataFrame, s: Signal) -> DataFrame:

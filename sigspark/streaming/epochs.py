@@ -154,50 +154,71 @@ def epoch_stat(s: Signal, stat: str, quantile: float | None = None, iqr_quantile
     return replace(s, df=df, kind="signal", fs=s.epoch_fs or 0.0, epoch_fs=None)
 
 
-class Latest(StatefulProcessor):
-    """Rows that are not final yet, in entries of a second each, and the last right row before them."""
+def packed(frame: pd.DataFrame) -> bytes:
+    import pyarrow as pa
 
-    def __init__(self, left: list[str], right: list[str]):
-        self.left, self.right = left, right
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "second bigint", "rows binary")
-        self.last = handle.getValueState("last", "row binary")
 
-    def _packed(self, frame: pd.DataFrame) -> bytes:
-        import pyarrow as pa
+def unpacked(raw: bytes) -> pd.DataFrame:
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(raw).read_all().to_pandas()
+
+
+class Waiting:
+    """Rows (row_ms, ...) that the watermark hasn't passed, in entries of a second each, with a timer for each."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.entries = handle, handle.getMapState("waiting", "second bigint, part bigint", "rows binary")
+
+    def add(self, frame: pd.DataFrame) -> None:
+        known = {}
+        for second, part in self.entries.keys():
+            known[second] = max(part, known.get(second, -1))
+        for second, group in frame.groupby(frame["row_ms"] // 1000):
+            second = int(second)
+            self.entries.updateValue((second, known.get(second, -1) + 1), (packed(group),))
+            self.handle.registerTimer((second + 1) * 1000)
+
+    def taken(self, mark: int) -> list[pd.DataFrame]:
+        """Rows below ``mark``, in milliseconds, which are kept no longer."""
+        out = []
+        for entry in sorted(k for k in self.entries.keys() if k[0] * 1000 < mark):
+            rows = unpacked(self.entries.getValue(entry)[0])
+            final = rows["row_ms"] < mark
+            out.append(rows[final])
+            self.entries.removeKey(entry)
+            if not final.all():
+                self.entries.updateValue(entry, (packed(rows[~final]),))
+        return out
+
 
-        table = pa.Table.from_pandas(frame, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        return sink.getvalue().to_pybytes()
+class Latest(StatefulProcessor):
+    """Rows that are not final yet, and the last right row before them."""
 
-    def _rows(self, raw: bytes) -> pd.DataFrame:
-        import pyarrow as pa
+    def __init__(self, left: list[str], right: list[str]):
+        self.left, self.right = left, right
 
-        return pa.ipc.open_stream(raw).read_all().to_pandas()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting, self.last = Waiting(handle), handle.getValueState("last", "row binary")
 
     def _final(self, key, mark: int) -> Iterator[pd.DataFrame]:
         """Left rows below the watermark, in milliseconds, each with the last right row at or before its time; null for NaN."""
-        frames = []
-        for (second,) in sorted(k for k in self.waiting.keys() if k[0] * 1000 < mark):
-            rows = self._rows(self.waiting.getValue((second,))[0])
-            below_mark = rows["row_ms"] < mark
-            frames.append(rows[below_mark])
-            self.waiting.removeKey((second,))
-            if not below_mark.all():
-                self.waiting.updateValue((second,), (self._packed(rows[~below_mark]),))
+        frames = self.waiting.taken(mark)
         before = self.last.get()
         if not sum(map(len, frames)):
             return
-        rows = pd.concat([*([self._rows(before[0])] if before else []), *frames])
+        rows = pd.concat([*([unpacked(before[0])] if before else []), *frames])
         # Right rows before left ones of the same time; of several right ones the largest comes last.
         rows = rows.sort_values(["t", "row_side", *self.right], na_position="first", ignore_index=True)
         is_right = rows["row_side"] == 0
         if is_right.any():
-            self.last.update((self._packed(rows[is_right].tail(1)),))
+            self.last.update((packed(rows[is_right].tail(1)),))
         found = np.where(is_right, np.arange(len(rows)), -1)
         found = np.maximum.accumulate(found)
         plain = lambda values: [None if v is None or v != v else v for v in values]  # noqa: E731, PLR0124
@@ -209,13 +230,7 @@ class Latest(StatefulProcessor):
             yield pd.DataFrame(out, dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows))
-        for second, group in frame.groupby(frame["row_ms"] // 1000):
-            entry = (int(second),)
-            if self.waiting.containsKey(entry):
-                group = pd.concat([self._rows(self.waiting.getValue(entry)[0]), group])
-            self.waiting.updateValue(entry, (self._packed(group),))
-            self.handle.registerTimer((int(second) + 1) * 1000)
+        self.waiting.add(pd.concat(list(rows)))
         yield from self._final(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -249,3 +264,89 @@ def latest(left: DataFrame, right: DataFrame, delay: str, name: str = "found") -
     out = both.groupBy("rec").transformWithStateInPandas(processor, shape, "append", "eventTime")
     payload = F.struct(*[F.col(f"`__found_{c}`").alias(c) for c in ["t", *[f.name for f in fields]]])
     return out.select("rec", *[F.col(f"`{f.name}`") for f in kept], F.when(F.col("__found_t").isNotNull(), payload).alias(name))
+
+
+class BetweenMarkers(StatefulProcessor):
+    """What is not final yet, and the samples of the open epoch in entries that are only added until it closes."""
+
+    def __init__(self, channels: list[str]):
+        self.channels = channels
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = Waiting(handle)
+        self.open = handle.getValueState("open", "number bigint, label string, opened bigint, begin bigint, entries bigint")
+        self.held = handle.getMapState("held", "entry bigint", "x binary")
+
+    def _final(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        rows = [f for f in self.waiting.taken(mark) if len(f)]
+        if not rows:
+            return
+        rows = pd.concat(rows).sort_values(["us", "row_side", "seq"], ignore_index=True)
+        number, label, opened, begin, entries = self.open.get() or (0, "first epoch", None, 0, 0)
+        samples = rows["row_side"] == 1
+        last = rows.loc[samples, "us"].max() if samples.any() else None
+        marks = np.flatnonzero(~samples)
+        # A marker without a later final sample waits, and all that follows it.
+        stop = next((int(i) for i in marks if last is None or rows["us"].iloc[i] >= last), len(rows))
+        if stop < len(rows):
+            self.waiting.add(rows.iloc[stop:])
+        if opened is None and samples.iloc[:stop].any():
+            opened = int(rows.loc[samples, "us"].iloc[0])
+        numbers = rows[["seq", "t", "us", *self.channels]].to_numpy(np.float64)
+        wide, at, closing, out = 3 + len(self.channels), 0, None, []
+
+        def keep(upto: int) -> None:
+            nonlocal entries
+            new = numbers[at:upto][samples.to_numpy()[at:upto]]
+            if len(new):
+                self.held.updateValue((entries,), (new.tobytes(),))
+                entries += 1
+
+        for i in (int(i) for i in marks if i < stop):
+            us = int(rows["us"].iloc[i])
+            if us == closing or (number and us == opened):
+                continue  # of markers at one time the first counts
+            keep(i)
+            if entries > begin:
+                x = np.concatenate([np.frombuffer(self.held.getValue((k,))[0], np.float64).reshape(-1, wide) for k in range(begin, entries)])
+                for k in range(begin, entries):
+                    self.held.removeKey((k,))
+                frame = pd.DataFrame({"rec": key[0], "epoch_id": number, "epoch_start": opened, "epoch_end": us, "label": label, "seq": x[:, 0].astype(np.int64), "t": x[:, 1], "us": x[:, 2].astype(np.int64)})
+                out.append(frame.assign(**{c: x[:, 3 + j] for j, c in enumerate(self.channels)}))
+            number, label, opened, closing, begin, at = number + 1, str(rows["marker"].iloc[i]), us, us, entries, i
+        keep(stop)
+        self.open.update((number, label, opened, begin, entries))
+        if out:
+            yield pd.concat(out, ignore_index=True).astype({"rec": object, "label": object})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.waiting.add(pd.concat(list(rows)))
+        yield from self._final(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._final(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def marker_epochs(s: Signal, markers: DataFrame, delay: str) -> Signal:
+    """Windows from marker to marker, as ``operators.epochs.marker_epochs`` gives them, each once it is closed.
+
+    ``markers``: (rec, mseq, ts, marker). Both streams share one watermark, ``delay`` behind the latest row of either, so
+    an idle marker source holds nothing up. Rows become final when the watermark passes them; an epoch is given out
+    when its closing marker and a later sample are final. Later rows than ``delay`` are dropped. The state holds what
+    is not final yet and the samples of the open epoch; a trigger adds entries to it, and rewrites none of that epoch's.
+    """
+    s.need("signal")
+    channels, rec = list(s.channels), s.df.schema["rec"].dataType.simpleString()
+    nothing = [F.lit(None).cast("double").alias(c) for c in channels]
+    left = s.df.select("rec", "ts", F.lit(1).alias("row_side"), "seq", "t", F.lit(None).cast("string").alias("marker"), *[v.cast("double").alias(c) for c, v in s.values().items()])
+    right = markers.select("rec", "ts", F.lit(0).alias("row_side"), F.col("mseq").alias("seq"), F.lit(None).cast("double").alias("t"), F.col("marker").cast("string"), *nothing)
+    both = left.unionByName(right).where("rec IS NOT NULL AND ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withColumn("row_ms", F.unix_millis("ts")).withWatermark("ts", delay)
+    shape = ", ".join([f"rec {rec}, epoch_id bigint, epoch_start bigint, epoch_end bigint, label string, seq bigint, t double, us bigint", *[f"`{c}` double" for c in channels]])
+    out = both.groupBy("rec").transformWithStateInPandas(BetweenMarkers(channels), shape, "append", "eventTime")
+    values = [F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) for c in channels]
+    times = [(F.col(c) / 1e6).alias(c) for c in ("epoch_start", "epoch_end")]
+    df = out.select("rec", "epoch_id", *times, "label", "seq", "t", F.timestamp_micros("us").alias("ts"), *values)
+    return replace(s, df=df, kind="epoch", epoch_fs=0.0)

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from ..shared import shared_folder
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or, on one machine, a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sigspark.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sigspark-")
-        spark.conf.set("sigspark.shared.dir", found)
-    return f"{found.rstrip('/')}/sigspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def landed(df: DataFrame, by: str, per_part: int, parts: int) -> DataFrame:

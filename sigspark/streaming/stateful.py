@@ -6,7 +6,6 @@ filters need no version of their own: their column expressions work on streams a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -83,66 +82,3 @@ def stimulation_epochs(s: Signal, markers: DataFrame, stimulation: list[str], of
     inside = (F.col("ts") >= F.col("__at") + after(offset)) & (F.col("ts") < F.col("__at") + after(offset + duration))
     both = s.df.withWatermark("ts", delay).join(wanted, (F.col("rec") == F.col("__rec")) & inside)
     return both.select("rec", "epoch_id", (F.col("__at") + after(offset)).alias("epoch_start"), "label", "seq", "t", "ts", *[F.col(f"`{c}`") for c in s.channels])
-
-
-def marker_epochs(s: Signal, markers: DataFrame, delay: str) -> Signal:
-    """Windows from marker to marker, as ``epochs.marker_epochs`` gives them, each once it is closed.
-
-    ``markers``: (rec, mseq, ts, marker). Both streams share one watermark, ``delay`` behind the latest row of either, so
-    an idle marker source holds nothing up. Rows become final when the watermark passes them; an epoch is given out
-    when its closing marker and a later sample are final. Later rows than ``delay`` are dropped. The state holds what
-    is not final yet and the samples of the open epoch.
-    """
-    s.need("signal")
-    channels = list(s.channels)
-    left = s.df.select("rec", "ts", F.lit(1).alias("side"), "seq", "t", F.lit(None).cast("string").alias("marker"), F.array(*[F.col(f"`{c}`").cast("double") for c in channels]).alias("v"))
-    right = markers.select("rec", "ts", F.lit(0).alias("side"), F.col("mseq").alias("seq"), F.lit(None).cast("double").alias("t"), F.col("marker").cast("string"), F.lit(None).cast("array<double>").alias("v"))
-    both = left.unionByName(right).where("rec IS NOT NULL AND ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
-    wide = len(channels)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Rows are (us, side, seq, t, marker, v); the open epoch's rows come first, with side 2.
-        number, label, opened, rows = 0, "first epoch", None, []
-        if state.exists:
-            number, label, opened, us, side, seq, t, marker, v = state.get
-            rows = [(us[i], side[i], seq[i], t[i], marker[i], v[wide * i : wide * (i + 1)]) for i in range(len(us))]
-        for f in frames:
-            blank = [math.nan] * wide
-            rows += [(int(r.us), int(r.side), int(r.seq), r.t, r.marker, blank if r.v is None else [math.nan if x is None else float(x) for x in r.v]) for r in f.itertuples()]
-        mark = state.getCurrentWatermarkMs() * 1000
-        # What lies at the watermark itself may still get company.
-        final = sorted((r for r in rows if r[1] < 2 and r[0] < mark), key=lambda r: r[:3])
-        waiting = [r for r in rows if r[1] < 2 and r[0] >= mark]
-        held, closing, out = [r for r in rows if r[1] == 2], None, []
-        last = max((r[0] for r in final if r[1] == 1), default=None)
-        if opened is None and final:
-            opened = next((r[0] for r in final if r[1] == 1), None)
-        for i, r in enumerate(final):
-            if r[1] == 1:
-                held.append((r[0], 2, *r[2:]))
-            elif last is None or r[0] >= last:
-                # No later sample is final yet: this and all that follows wait.
-                waiting += final[i:]
-                break
-            elif r[0] != closing and not (number and r[0] == opened):
-                closing = r[0]
-                out += [(number, opened, closing, label, h[2], h[3], h[0], h[5]) for h in held]
-                number, label, opened, held = number + 1, r[4], closing, []
-        kept = held + waiting
-        state.update((number, label, opened, *[[r[i] for r in kept] for i in range(5)], [x for r in kept for x in r[5]]))
-        ahead = [r[0] // 1000 + 1 for r in waiting if r[0] >= mark]
-        if ahead:
-            state.setTimeoutTimestamp(max(max(ahead), state.getCurrentWatermarkMs() + 1))
-        names = ["epoch_id", "epoch_start", "epoch_end", "label", "seq", "t", "us", "v"]
-        done = pd.DataFrame(out, columns=names)
-        done.insert(0, "rec", key[0])
-        yield done
-
-    rec = s.df.schema["rec"].dataType.simpleString()
-    kept = "number bigint, label string, opened bigint, us array<bigint>, side array<bigint>, seq array<bigint>, t array<double>, marker array<string>, v array<double>"
-    shape = f"rec {rec}, epoch_id bigint, epoch_start bigint, epoch_end bigint, label string, seq bigint, t double, us bigint, v array<double>"
-    out = both.groupBy("rec").applyInPandasWithState(run, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    values = [F.nanvl(F.col("v")[i], F.lit(None)).alias(c) for i, c in enumerate(channels)]
-    times = [(F.col(c) / 1e6).alias(c) for c in ("epoch_start", "epoch_end")]
-    df = out.select("rec", "epoch_id", *times, "label", "seq", "t", F.timestamp_micros("us").alias("ts"), *values)
-    return replace(s, df=df, kind="epoch", epoch_fs=0.0)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from sigspark.operators import epochs, iir
 from sigspark.sources import brainvision, generator, rda, sinks
 from sigspark.spec import Signal
+from sigspark.streaming import epochs as sliding
 from sigspark.streaming import stateful
 
+from .test_streaming_artifacts import store  # noqa: F401
+
 
 def message(kind: int, body: bytes) -> bytes:
     return struct.pack(rda.HEAD, b"i" * 16, rda.HEAD_SIZE + len(body), kind) + body
@@ -124,7 +127,7 @@ def test_streaming_stimulations(spark, landed, tmp_path):
     assert {r.seq for r in got} == want and len(got) == len(want) and {r.epoch_id for r in got} == {1}
 
 
-def test_streaming_marker_epochs(spark, landed, tmp_path):
+def test_streaming_marker_epochs(spark, landed, tmp_path, store):  # noqa: F811
     batch, stream, table = landed
     rec = table.df.first().rec
     cues = [(0, 0.301, "a"), (1, 0.301, "b"), (2, 0.7, "c"), (3, 1.2004, "d"), (4, 1.9, "e"), (5, 2.5, "f")]
@@ -132,7 +135,7 @@ def test_streaming_marker_epochs(spark, landed, tmp_path):
     for i, (low, high) in enumerate([(0, 1), (1, 9)]):
         marks.where(F.col("t").between(low, high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "marks"))
     markers = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "marks"))
-    got = shown(spark, stateful.marker_epochs(stream, markers, "1 second").df, "between", tmp_path).toPandas()
+    got = shown(spark, sliding.marker_epochs(stream, markers, "1 second").df, "between", tmp_path).toPandas()
     seconds = table.df.withColumn("t", F.unix_millis("ts") / 1000)
     want = epochs.marker_epochs(Signal(seconds, batch.channels, batch.fs), marks.drop("ts"), 1.0).df.toPandas()
     # The stream's last watermark is a second behind its last row, so the last closed epochs are still held.

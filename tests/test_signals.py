@@ -265,6 +265,12 @@ def test_volumes(spark):
     assert tools.accepted_volumes(s, [1e9, 20.0], 0.1, count + 5, 2, gap=0.95).count() == 0
 
 
+def test_slopes_do_not_depend_on_blocks(spark):
+    s, _, _ = beating(spark, 100)
+    told = lambda b: sorted((r.seq, r.slope) for r in tools.slopes(s, b).collect())
+    assert told(7) == told(1000) and len(told(7)) == 100
+
+
 def test_small_tools(spark):
     codes = marked(spark, [(0.0, m) for m in ("S  7", "R128", "Sync On", "New Segment/1", "Comment", "Sync 12")]).select("mseq", tools.marker_code(F.col("marker")).alias("c"))
     assert [r["c"] for r in codes.orderBy("mseq").collect()] == [7, 128, 13, None, None, 12]
