@@ -7,7 +7,6 @@ import time
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sigspark.sources import brainvision, live, rda
 
@@ -77,8 +76,9 @@ def test_socket_in_three_batches_and_a_restart(spark, recorder, tmp_path):
 
     def keep(batch, number):
         signal, markers = live.rda_signal(batch, start, offset=0.5)
-        signal.df.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{tmp_path}/signal")
-        markers.write.mode("append").parquet(f"{tmp_path}/markers")
+        # A batch that was stopped half way is run again, and replaces what it left.
+        signal.df.write.mode("overwrite").parquet(f"{tmp_path}/signal/batch={number}")
+        markers.write.mode("overwrite").parquet(f"{tmp_path}/markers/batch={number}")
 
     def begun():
         messages = live.rda_messages(spark, recorder.port, f"{tmp_path}/spool", "127.0.0.1", "r")
@@ -96,6 +96,7 @@ def test_socket_in_three_batches_and_a_restart(spark, recorder, tmp_path):
     wait_for(lambda: there() == 5)
     recorder.say(frames[1][20:] + frames[2])
     wait_for(lambda: there() == 15)
+    query.processAllAvailable()
     query.stop()
     seen = recorder.came
     query = begun()
