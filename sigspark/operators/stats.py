@@ -17,7 +17,7 @@ STATS = ("mean", "min", "max", "std", "range", "median", "quantile", "iqr", "tte
 def epoch_stat(s: Signal, stat: str, quantile: float | None = None, iqr_quantile: tuple[float, float] | None = None, popmean: float | None = None) -> Signal:
     """One row an epoch, at the time of its last sample; values that are NaN or null don't count.
 
-    ``ttest_1samp`` is the p-value of the one-sided test that the mean lies below ``popmean``.
+    ``ttest_1samp`` is the p-value of the one-sided test that the mean lies below ``popmean``; null where all values are equal.
     """
     s.need("epoch")
     if stat not in STATS:
@@ -40,7 +40,7 @@ def epoch_stat(s: Signal, stat: str, quantile: float | None = None, iqr_quantile
             "median": lambda: F.percentile(x, F.lit(0.5)),
             "quantile": lambda: F.percentile(x, F.lit(quantile)),
             "iqr": lambda: F.percentile(x, F.lit(iqr_quantile[1])) - F.percentile(x, F.lit(iqr_quantile[0])),
-            "ttest_1samp": lambda: t_below((F.avg(x) - popmean) / (F.stddev_samp(x) / F.sqrt(F.count(x))), F.count(x) - 1),
+            "ttest_1samp": lambda: t_below((F.avg(x) - popmean) / (F.nullif(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(x))), F.count(x) - 1),
         }[stat]()
 
     keys = [k for k in ("rec", "parent", "epoch_id", "label") if k in s.df.columns]

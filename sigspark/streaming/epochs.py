@@ -135,8 +135,7 @@ def epoch_stat(s: Signal, stat: str, quantile: float | None = None, iqr_quantile
         if not len(x) or (stat in ("std", "ttest_1samp") and len(x) < 2):
             return None
         if stat == "ttest_1samp":
-            error = x.std(ddof=1) / np.sqrt(len(x))
-            return float(below((x.mean() - popmean) / error, len(x) - 1)) if error else None
+            return float(below((x.mean() - popmean) / (x.std(ddof=1) / np.sqrt(len(x))), len(x) - 1)) if np.ptp(x) else None
         return float({
             "mean": np.mean, "min": np.min, "max": np.max, "std": lambda v: v.std(ddof=1), "range": np.ptp, "median": np.median,
             "quantile": lambda v: np.quantile(v, quantile), "iqr": lambda v: np.quantile(v, iqr_quantile[1]) - np.quantile(v, iqr_quantile[0]),

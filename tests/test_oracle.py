@@ -101,3 +101,15 @@ def test_counted_out(spark, sf_dir):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_equal_values_have_no_p_value(spark, sf_dir, tmp_path):
+    """Epochs whose values are all equal, as copies of one event make them."""
+    rows = pd.read_parquet(f"{sf_dir}/events.parquet")
+    copies = pd.concat([rows.assign(event_id=rows["event_id"] + i * (rows["event_id"].max() + 1)) for i in range(3)])
+    spark.createDataFrame(copies, spark.read.parquet(f"{sf_dir}/events.parquet").schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = con.execute(entry.oracle_sql()["ttest_1samp"]).df()
+    assert wanted["value"].isna().any() and wanted["value"].notna().any()
+    same(entry.queries()["ttest_1samp"](spark, str(tmp_path)).toPandas(), wanted)

@@ -71,3 +71,13 @@ def test_latest_over_streams(spark, tmp_path):
     assert told(spark.table("asof")) == want and any(x[3] != "None" for x in want) and any(x[3] == "None" for x in want)
     with pytest.raises(ValueError):
         live.latest(spark.table("asof").withColumn("ts", F.current_timestamp()), spark.table("asof").withColumn("ts", F.current_timestamp()), "1 second")
+
+
+def test_no_p_value_without_spread(spark):
+    values = {0: [0.1, 0.1, 0.1], 1: [0.2, 0.3, 0.4], 2: [0.7], 3: [None, float("nan")], 4: [0.5, 0.5, None]}
+    samples = [("r", k, 0.0, 1.0, "x", i, float(i), v) for k, vs in values.items() for i, v in enumerate(vs)]
+    want = Signal(spark.createDataFrame(samples, "rec string, epoch_id bigint, epoch_start double, epoch_end double, label string, seq bigint, t double, a double"), ("a",), 1.0, "epoch")
+    gathered = [("r", k, 0.0, 1.0, "x", list(range(len(vs))), [float(i) for i in range(len(vs))], vs) for k, vs in values.items()]
+    kept = Signal(spark.createDataFrame(gathered, "rec string, epoch_id bigint, epoch_start double, epoch_end double, label string, seq array<bigint>, t array<double>, a array<double>"), ("a",), 1.0, "epoch")
+    for found in (stats.epoch_stat(want, "ttest_1samp", popmean=0.5), live.epoch_stat(kept, "ttest_1samp", popmean=0.5)):
+        assert {r.epoch_id: r.a and round(r.a, 6) for r in found.df.collect()} == {0: None, 1: 0.03709, 2: None, 3: None, 4: None}
