@@ -37,11 +37,19 @@ def hashes_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def joined_hashes(hashes: Column, apart: int) -> Column:
+    """A hash of each item and the one ``apart`` places behind it (0 behind the end)."""
+    later = F.slice(hashes, apart + 1, F.greatest(F.size(hashes) - apart, F.lit(0)))
+    return F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(0).cast("bigint"))))
+
+
+def bucket_of(h: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
 def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     """Two buckets for each word's hash: its own, and that of it and the next word's."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: bucket(a, F.coalesce(b, F.lit(0).cast("bigint"))))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
+    return F.transform(F.concat(hashes, joined_hashes(hashes, 1)), lambda h: bucket_of(h, buckets))
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
@@ -66,28 +74,30 @@ def gram_weights(docs: DataFrame, labels: DataFrame) -> Column:
     return F.expr("cast(split('" + ",".join(str(weight(*counts.get(b, (0, 0)))) for b in range(BUCKETS)) + "', ',') as array<int>)")
 
 
-def repeated_words(hashes: Column, words: Column) -> Column:
-    """Words inside windows whose hash another window shares. ``hashes``: of each window, by its first word."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(_shared(placed)))
+# Each step of these is a column of its own: an expression that is named twice inside another is also evaluated twice.
+
+
+def window_hashes(fours: Column, n: Column) -> Column:
+    """A hash of each window of ``n`` words, by its first word. ``fours``: hashes of four words, by their first."""
+    return F.slice(joined_hashes(fours, WINDOW // 2), 1, F.greatest(n - WINDOW + 1, F.lit(0)))
+
 
+def placed(hashes: Column) -> Column:
+    """(hash, first word) of all windows, sorted, if any two have one hash; else nothing."""
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs))
 
-def _shared(placed: Column) -> Column:
+
+def shared(placed: Column) -> Column:
     """Sorted first words of the windows that have a twin. ``placed``: (hash, first word), sorted."""
-    before = F.concat(F.array(F.lit(None).cast("bigint")), placed.getField("h"))
-    after = F.concat(F.slice(placed.getField("h"), 2, F.greatest(F.size(placed) - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
-    flagged = F.zip_with(
-        F.zip_with(placed, before, lambda p, b: F.struct(p.alias("p"), b.alias("b"))),
-        F.concat(after, F.array(F.lit(None).cast("bigint"))),
-        lambda pb, a: F.when((pb["p"]["h"] == pb["b"]) | (pb["p"]["h"] == a), pb["p"]["i"]),
-    )
-    return F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))
+    twin = lambda p, k: F.coalesce(p["h"] == F.get(placed, k - 1)["h"], F.lit(False)) | F.coalesce(p["h"] == F.get(placed, k + 1)["h"], F.lit(False))
+    return F.sort_array(F.transform(F.filter(placed, twin), lambda p: p["i"]))
 
 
-def _covered(starts: Column) -> Column:
+def covered(starts: Column) -> Column:
     """Words in the union of windows that begin at these places: the last counts whole, others up to the next."""
     gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), starts, lambda b, a: F.least(b - a, F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(0), lambda total, gap: total + F.coalesce(gap, F.lit(WINDOW)))
+    return F.coalesce(F.aggregate(gaps, F.lit(0), lambda total, gap: total + F.coalesce(gap, F.lit(WINDOW))), F.lit(0))
 
 
 def judge(docs: DataFrame, weights: Column | None = None, labels: DataFrame | None = None, threshold: int = THRESHOLD) -> DataFrame:
@@ -97,25 +107,24 @@ def judge(docs: DataFrame, weights: Column | None = None, labels: DataFrame | No
     text = F.col("__text")
     rows = docs.withColumn("__text", text_of())
     rows = rows.withColumns({"__words": words_of(text), "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
-    rows = rows.withColumn("__each", hashes_of(F.col("__words")))
     n = F.size("__words")
-    first = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumns(
-        {
-            "__hashes": F.transform(first, lambda i: F.xxhash64(F.slice(F.col("__each"), i, WINDOW))),
-            "__sum": F.aggregate(gram_buckets(F.col("__each")), F.lit(0).cast("bigint"), lambda s, b: s + F.element_at(weights, b + 1)),
-        }
-    )
-    bare = F.regexp_replace(text, f"[{SPACE}]+", "")
+    rows = rows.withColumn("__each", hashes_of(F.col("__words")))
+    rows = rows.withColumn("__pairs", joined_hashes(F.col("__each"), 1))
+    weight_of = lambda h: F.get(weights, bucket_of(h))
+    grams = F.zip_with("__each", "__pairs", lambda a, b: weight_of(a) + weight_of(b))
+    rows = rows.withColumns({"__fours": joined_hashes(F.col("__pairs"), 2), "__sum": F.aggregate(grams, F.lit(0).cast("bigint"), lambda s, w: s + w)})
+    rows = rows.withColumn("__windows", window_hashes(F.col("__fours"), n))
+    rows = rows.withColumn("__placed", placed(F.col("__windows")))
+    rows = rows.withColumn("__shared", shared(F.col("__placed")))
+    rows = rows.withColumn("__repeat", covered(F.col("__shared")).cast("bigint"))
     symbols = F.regexp_replace(text, f"[^{SYMBOLS}]+", "")
-    rows = rows.withColumn("__repeat", repeated_words(F.col("__hashes"), F.col("__words")).cast("bigint"))
     failed = (n < 20) | (100 * F.col("__repeat") > 30 * n)
     return with_results(
         rows,
         docs.columns,
         {
             "n_words": n.cast("bigint"),
-            "word_chars": F.length(bare).cast("bigint"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("bigint"),
             "n_symbols": F.length(symbols).cast("bigint"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": F.col("__repeat"),

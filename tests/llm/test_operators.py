@@ -1,6 +1,7 @@
 """The operators against plain versions: on the small tables, and on rows that are odd in every way."""
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -310,3 +311,9 @@ def test_pipeline(spark, sf_dir, docs):
         if name == "exact_dedup":
             assert step.count() == before.select("text").distinct().count()
     assert packing.pack(step).select("doc_id").distinct().count() == step.count()
+
+
+def test_windows_are_sorted_once(docs):
+    """Twice a document at most: windows by their hashes, and twins by their places; no expression that sorts stands inside another one twice."""
+    plan = quality_rules.judge(docs, weights=F.array(F.lit(0)))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("sort_array|array_sort|arraysort", plan)) == 2
