@@ -31,6 +31,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -46,7 +47,7 @@ from .common import read_table, small_batches, text_of
 
 LENGTH, CLOSE = 2048, 1
 WIDTH, DIMS, BITS = 512, 4, 15
-MEMO, MEMO_CHARS, TOGETHER = 400_000, 48, 1_000_000
+MEMO, MEMO_CHARS, TOGETHER = 700_000, 48, 1_000_000
 #: Bytes of text a range holds; beyond ``RANGES`` ranges they hold more.
 TASK_BYTES, RANGES = 16 << 20, 100_000
 PER_RANGE, SAMPLE = 200, 1_000_000
@@ -65,11 +66,16 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.memo: dict[str, bytes] = {}
-        # The same model for words that are lower case already, parted by spaces; letters stand for bytes.
+        # The same model for words that are lower case already, parted by spaces; ``letters`` has the letter for each byte.
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
+        table = [chr(b) for b in range(256)]
+        for c in range(128, 256):
+            if chr(c).isalpha():
+                for b, letter in zip(chr(c).encode(), to_bytes.pre_tokenize_str(chr(c))[0][0], strict=True):
+                    table[b] = letter
+        self.letters = "".join(table)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -103,15 +109,17 @@ class Encoder:
         """Remember the ids of words, and those of their letters and signs; the ones too long to be kept come back."""
         memo, letters, rest, both = self.memo, set(), set(), []
         for w in words:
-            stem = w.rstrip(SIGNS)
+            stem = w if w.isalpha() else w.rstrip(SIGNS)
             # Within Latin-1 lower case goes letter by letter, as in the tokenizer, and nothing is left to compose.
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                low, sign = stem.lower(), w[len(stem) :]
-                both.append((w, low, sign))
+                low = stem.lower()
                 if low not in memo:
                     letters.add(low)
-                if sign not in memo:
-                    rest.add(sign)
+                if low != w:
+                    sign = w[len(stem) :]
+                    both.append((w, low, sign))
+                    if sign not in memo:
+                        rest.add(sign)
             else:
                 rest.add(w)
         if letters:
@@ -122,12 +130,14 @@ class Encoder:
                 memo[w] = np.array(e.ids, "<u4").tobytes()
         for w, low, sign in both:
             memo[w] = memo[low] + memo[sign]
+        if max(map(len, words)) <= MEMO_CHARS:  # letters and signs are no longer than their words
+            return []
         return [w for w in (*words, *letters, *rest) if len(w) > MEMO_CHARS]
 
     def _learn_letters(self, words: list[str]) -> None:
         """Words of lower-case letters of Latin-1 in one call; the tokens that end a word part their ids."""
         joined = " ".join(words)
-        ids = np.array(self.words.encode_batch_fast([joined if joined.isascii() else joined.translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.words.encode_batch_fast([charmap_decode(joined.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         raw, begin = ids.tobytes(), 0
         for w, end in zip(words, ends, strict=True):

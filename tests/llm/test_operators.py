@@ -317,3 +317,15 @@ def test_windows_are_sorted_once(docs):
     """Twice a document at most: windows by their hashes, and twins by their places; no expression that sorts stands inside another one twice."""
     plan = quality_rules.judge(docs, weights=F.array(F.lit(0)))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("sort_array|array_sort|arraysort", plan)) == 2
+
+
+def test_words_are_learned_once():
+    """Words that are their own lower-case letters are learned as such, with nothing put together again; all letters of Latin-1 are the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path)
+    encoder.ids("word stra\u00dfe")
+    assert set(encoder.memo) == {"word", "stra\u00dfe"}
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    texts = [*letters, " ".join(a + b for a in letters for b in letters), "\u00d1AND\u00da! \u00f1and\u00fa, Word WORD. " + "\u00c9" * 99 + "!"]
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
